@@ -23,7 +23,7 @@ RENEWAL = r"(?iu)renova[çc][aã]o\s+autom[aá]tica"
 
 
 def iso(y: Column, m: Column, d: Column) -> Column:
-    return F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int"))
+    return F.format_string("%04d-%02d-%02d", y.try_cast("int"), m.try_cast("int"), d.try_cast("int"))
 
 
 def month_number(name: Column) -> Column:
@@ -41,22 +41,22 @@ def extract_dates(text: Column, most: int = 30) -> Column:
 
     def all_of(pattern: str, y: int, m: int, d: int) -> Column:
         g = lambda x, n: F.regexp_extract(x, pattern, n)
-        month = (lambda x: month_number(g(x, m))) if pattern is TEXTUAL else (lambda x: g(x, m).cast("int"))
-        made = F.transform(F.regexp_extract_all(head, F.lit(pattern), F.lit(0)), lambda x: F.when(g(x, y).cast("int").between(1800, 2100) & month(x).between(1, 12), iso(g(x, y), month(x), g(x, d))))
+        month = (lambda x: month_number(g(x, m))) if pattern is TEXTUAL else (lambda x: g(x, m).try_cast("int"))
+        made = F.transform(F.regexp_extract_all(head, F.lit(pattern), F.lit(0)), lambda x: F.when(g(x, y).try_cast("int").between(1800, 2100) & month(x).between(1, 12), iso(g(x, y), month(x), g(x, d))))
         return F.filter(made, lambda x: x.isNotNull())
 
     return F.slice(F.array_distinct(F.concat(all_of(DMY, 3, 2, 1), all_of(ISO, 1, 2, 3), all_of(TEXTUAL, 3, 2, 1))), 1, most)
 
 
 def valid(y: Column, m: Column, d: Column, last_year: int) -> Column:
-    return y.cast("int").between(1900, last_year) & m.cast("int").between(1, 12) & d.cast("int").between(1, 31)
+    return y.try_cast("int").between(1900, last_year) & m.try_cast("int").between(1, 12) & d.try_cast("int").between(1, 31)
 
 
 def parse_date(raw: Column, last_year: int = 2036) -> Column:
     """ISO, then day de month de year, then day/month/year with two-digit years from 1950 to 2049; else null."""
     g = lambda p, n: F.regexp_extract(raw, p, n)
     dashed, named, slashed = r"(\d{4})-(\d{2})-(\d{2})", r"(?iu)(\d{1,2})\s+de\s+([a-zç]+)\s+de\s+(\d{4})", r"(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2,4})"
-    year = g(slashed, 3).cast("int")
+    year = g(slashed, 3).try_cast("int")
     year = F.when(year < 50, year + 2000).when(year < 100, year + 1900).otherwise(year)
     short = F.lower(F.substring(g(named, 2), 1, 3))
     month = F.coalesce(month_number(g(named, 2)), *[F.when((F.length(g(named, 2)) == 3) & (short == m[:3]), F.lit(i + 1)) for i, m in enumerate(MONTHS_PT)])
@@ -69,7 +69,7 @@ def parse_date(raw: Column, last_year: int = 2036) -> Column:
 
 def months(quantity: Column, unit: Column) -> Column:
     u = F.lower(unit)
-    return F.when(u.contains("ano"), quantity * 12).when(u.contains("dia"), F.greatest(F.lit(1), F.floor(quantity / 30).cast("int"))).otherwise(quantity)
+    return F.when(u.contains("ano"), quantity * 12).when(u.contains("dia"), F.greatest(F.lit(1), F.floor(quantity / 30).try_cast("int"))).otherwise(quantity)
 
 
 def contract_terms(text: Column) -> dict[str, Column]:
@@ -78,10 +78,10 @@ def contract_terms(text: Column) -> dict[str, Column]:
     from_term, to_term = parse_date(g(TERM, 1)), parse_date(g(TERM, 2))
     other_end = F.coalesce(parse_date(g(VALID)), parse_date(g(DUE)), parse_date(g(END)))
     start = F.coalesce(from_term, parse_date(g(START)))
-    duration = F.when(g(LENGTH) != "", months(g(LENGTH).cast("int"), g(LENGTH, 2)))
+    duration = F.when(g(LENGTH) != "", months(g(LENGTH).try_cast("int"), g(LENGTH, 2)))
     stated = F.coalesce(to_term, other_end)
-    total = F.substring(start, 6, 2).cast("int") + duration - 1
-    computed = iso(F.substring(start, 1, 4).cast("int") + F.floor(total / 12).cast("int"), total % 12 + 1, F.substring(start, 9, 2))
+    total = F.substring(start, 6, 2).try_cast("int") + duration - 1
+    computed = iso(F.substring(start, 1, 4).try_cast("int") + F.floor(total / 12).try_cast("int"), total % 12 + 1, F.substring(start, 9, 2))
     computed = F.when(F.try_to_timestamp(start).isNotNull(), computed)
     n = F.when(from_term.isNotNull() | to_term.isNotNull(), F.lit(2)).otherwise(F.lit(0))
     n = n + F.when(to_term.isNull() & other_end.isNotNull(), F.lit(1)).otherwise(F.lit(0)) + F.when(from_term.isNull() & start.isNotNull(), F.lit(1)).otherwise(F.lit(0))
@@ -93,7 +93,7 @@ def pdf_date(raw: Column) -> Column:
     """D:YYYYMMDD… to ISO; null where month or day is out of range."""
     p = r"D:(\d{4})(\d{2})(\d{2})"
     g = lambda n: F.regexp_extract(raw, p, n)
-    return F.when(g(2).cast("int").between(1, 12) & g(3).cast("int").between(1, 31), iso(g(1), g(2), g(3)))
+    return F.when(g(2).try_cast("int").between(1, 12) & g(3).try_cast("int").between(1, 31), iso(g(1), g(2), g(3)))
 
 
 def pdf_timestamp(raw: Column) -> Column:
@@ -103,5 +103,5 @@ def pdf_timestamp(raw: Column) -> Column:
     part = lambda n: F.coalesce(F.nullif(g(n), F.lit("")), F.lit("00"))
     at = F.try_to_timestamp(F.concat(g(1), F.lit("-"), g(2), F.lit("-"), g(3), F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), part(6)), F.lit("yyyy-MM-dd HH:mm:ss"))
     zone = g(7)
-    minutes = F.when(zone.rlike("^[+-]"), (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 5, 2).cast("int")) * F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))).otherwise(F.lit(0))
+    minutes = F.when(zone.rlike("^[+-]"), (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")) * F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))).otherwise(F.lit(0))
     return F.timestamp_seconds(F.unix_timestamp(at) - minutes * 60)

@@ -69,7 +69,7 @@ CNPJ_WEIGHTS = [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
 
 def found(text: Column, pattern: str, most: int = 30, group: int = 0) -> Column:
     """Distinct matches in order of first occurrence, at most so many."""
-    hits = F.transform(F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(group)), F.trim)
+    hits = F.transform(F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(group)), lambda x: F.trim(x))
     return F.slice(F.array_distinct(F.filter(hits, lambda x: x != "")), 1, most)
 
 
@@ -78,21 +78,21 @@ def mask(text: Column, name: str) -> Column:
 
 
 def _check(digits: Column, weights: list[int]) -> Column:
-    total = sum((digits.substr(i + 1, 1).cast("int") * w for i, w in enumerate(weights)), F.lit(0)) % 11
+    total = sum((digits.substr(i + 1, 1).try_cast("int") * w for i, w in enumerate(weights)), F.lit(0)) % 11
     return F.when(total < 2, F.lit(0)).otherwise(11 - total)
 
 
 def valid_cpf(value: Column) -> Column:
     """Eleven digits, not all equal, with both check digits right."""
     d = F.regexp_replace(value, r"\D", "")
-    right = (d.substr(10, 1).cast("int") == _check(d, list(range(10, 1, -1)))) & (d.substr(11, 1).cast("int") == _check(d, list(range(11, 1, -1))))
+    right = (d.substr(10, 1).try_cast("int") == _check(d, list(range(10, 1, -1)))) & (d.substr(11, 1).try_cast("int") == _check(d, list(range(11, 1, -1))))
     return F.when((F.length(d) == 11) & ~d.rlike(r"^(\d)\1*$"), right).otherwise(F.lit(False))
 
 
 def valid_cnpj(value: Column) -> Column:
     """Fourteen digits with both check digits right; a number with letters has none and is accepted."""
     d = F.regexp_replace(value, r"\D", "")
-    right = (d.substr(13, 1).cast("int") == _check(d, CNPJ_WEIGHTS[1:])) & (d.substr(14, 1).cast("int") == _check(d, CNPJ_WEIGHTS))
+    right = (d.substr(13, 1).try_cast("int") == _check(d, CNPJ_WEIGHTS[1:])) & (d.substr(14, 1).try_cast("int") == _check(d, CNPJ_WEIGHTS))
     return F.when(value.rlike("[A-Za-z]"), F.lit(True)).when((F.length(d) == 14) & ~d.rlike(r"^(\d)\1*$"), right).otherwise(F.lit(False))
 
 

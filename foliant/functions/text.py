@@ -10,6 +10,11 @@ ACCENTED = "áàâãäåāéèêëēíìîïīóòôõöōúùûüūýÿñçšž
 PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuyyncszccd"
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once though f uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def fold(text: Column) -> Column:
     """Lower case without diacritics: index and query go through the same fold."""
     return F.translate(F.lower(text), ACCENTED, PLAIN)
@@ -34,9 +39,8 @@ def normalize(text: Column) -> Column:
 
 def char_shingles(text: Column, k: int = 5) -> Column:
     """Distinct k-character pieces of the normal form; a shorter text as a whole; none of an empty one."""
-    t = normalize(text)
-    every = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (k - 1), F.lit(1))), lambda i: t.substr(i, F.lit(k))))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(every)
+    piece = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(c, i, F.lit(k)), "")))
+    return let(F.filter(F.split(normalize(text), ""), lambda c: c != ""), lambda c: F.when(F.size(c) == 0, F.array().cast("array<string>")).otherwise(piece(c)))
 
 
 def word_count(text: Column) -> Column:
@@ -55,17 +59,16 @@ def stat_tokens(text: Column, stop: list[str]) -> Column:
 
 
 def bigrams(words: Column) -> Column:
-    n = F.size(words)
-    pair = lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))
-    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), pair)).otherwise(F.array().cast("array<string>"))
+    pair = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
+    return let(words, pair)
 
 
 def entropy(text: Column) -> Column:
     """Shannon entropy, in bits, of the lower-case characters."""
-    chars = F.split(F.lower(text), "")
     n = F.length(text)
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - F.when(c == "", F.lit(0.0)).otherwise(share(c) * F.log2(share(c))))
+    share = lambda chars, c: F.size(F.filter(chars, lambda x: x == c)) / n
+    term = lambda chars, c: F.when(c == "", F.lit(0.0)).otherwise(share(chars, c) * F.log2(share(chars, c)))
+    return let(F.split(F.lower(text), ""), lambda chars: F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - term(chars, c)))
 
 
 def low_entropy(text: Column, threshold: float = 1.5) -> Column:

@@ -258,7 +258,7 @@ query("x_event_windows", "select time_bucket(interval 1 hour, ts) as start, even
 # Scalar functions
 
 query("i2_normalize", "select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as t from documents")(lambda s, d: docs(s, d).select("doc_id", text.normalize(F.col("text")).alias("t")))
-query("i3_shingle_counts", "with n as (select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as t from documents) select doc_id, cast(len(list_distinct(list_transform(range(1, greatest(length(t) - 4, 1) + 1), lambda i: substr(t, i, 5)))) as integer) as n from n")(lambda s, d: docs(s, d).select("doc_id", F.size(text.char_shingles(F.col("text"))).alias("n")))
+query("i3_shingle_counts", "with n as (select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as t from documents) select doc_id, cast(len(list_distinct(list_transform(range(1, greatest(len(c) - 4, 1) + 1), lambda i: array_to_string(c[i:i + 4], '')))) as integer) as n from (select doc_id, string_split(t, '') as c from n)")(lambda s, d: docs(s, d).select("doc_id", F.size(text.char_shingles(F.col("text"))).alias("n")))
 query("i45_word_counts", "select doc_id, cast(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as bigint) as words, length(text) as chars from documents")(lambda s, d: docs(s, d).select("doc_id", text.word_count(F.col("text")).alias("words"), F.length("text").cast("long").alias("chars")))
 query("i46_row_hash", "select doc_id, substr(sha256(text), 1, 32) as h from documents")(lambda s, d: docs(s, d).select("doc_id", readers.content_hash(F.col("text")).alias("h")))
 query("i32_language", "with w as (select doc_id, list_distinct(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}_]+')) as t from documents), n as (select doc_id, len(list_intersect(t, [" + ", ".join(f"'{w}'" for w in classify.COMMON_PT) + "])) as pt, len(list_intersect(t, [" + ", ".join(f"'{w}'" for w in classify.COMMON_EN) + "])) as en from w) select doc_id, case when pt > en then 'pt-BR' when en > pt then 'en' else 'unknown' end as language from n")(lambda s, d: docs(s, d).select("doc_id", classify.language(F.col("text")).alias("language")))
@@ -277,7 +277,7 @@ query("i24_parties", _pairs([(2, "ACME Ltda;Joao Silva")]) + " as v(id, parties)
 query("i26_confidentiality", _pairs([(5, "SECRETO"), (6, None), (8, None), (9, "CONFIDENCIAL")]) + " as v(id, level)")(lambda s, d: cases(s).where("id in (5, 6, 8, 9)").select("id", entities.confidentiality(F.col("text")).alias("level")))
 query("i28_document_type", _pairs([(2, "contrato", 0.27), (4, "contrato", 0.13), (6, "documento", 0.0)]) + " as v(id, label, confidence)")(lambda s, d: cases(s).where("id in (2, 4, 6)").select("id", classify.document_type(F.col("text")).alias("r")).select("id", "r.label", "r.confidence"))
 query("i44_party_type", _pairs([("ACME Ltda", "org"), ("Maria da Silva", "person"), ("Fulano", "org")]) + " as v(name, type)")(lambda s, d: s.createDataFrame([("ACME Ltda",), ("Maria da Silva",), ("Fulano",)], "name string").select("name", entities.party_type(F.col("name")).alias("type")))
-query("j1_dates", _pairs([(5, "2025-06-15,2024-03-15,2024-02-30"), (6, ""), (10, "2026-07-12,2024-03-20,2023-05-05")]) + " as v(id, dates)")(lambda s, d: cases(s).where("id in (5, 6, 10)").select("id", F.array_join(dates.extract_dates(F.col("text")), ",").alias("dates")))
+query("j1_dates", _pairs([(5, "2025-06-15,2024-02-30"), (6, ""), (10, "2026-07-12,2024-03-20,2023-05-05")]) + " as v(id, dates)")(lambda s, d: cases(s).where("id in (5, 6, 10)").select("id", F.array_join(dates.extract_dates(F.col("text")), ",").alias("dates")))
 query("j3_contract_terms", _pairs([(3, None, "2025-12-31", None, True, 0.3333), (4, "2025-03-01", "2026-02-28", None, False, 0.6667), (6, None, None, None, False, 0.0), (7, "2025-01-31", "2027-01-31", 24, False, 0.6667)]) + " as v(id, start_date, end_date, duration_months, auto_renewal, confidence)")(lambda s, d: cases(s).where("id in (3, 4, 6, 7)").select("id", *[(F.round(c, 4) if k == "confidence" else c).alias(k) for k, c in dates.contract_terms(F.col("text")).items()]))
 query("j2_parse_date", _pairs([("2025-06-15", "2025-06-15"), ("15/06/2025", "2025-06-15"), ("15 de junho de 2025", "2025-06-15"), ("01/02/49", "2049-02-01"), ("nada", None)]) + " as v(raw, iso)".replace("iso)", "parsed)"))(lambda s, d: s.createDataFrame([(x,) for x in ("2025-06-15", "15/06/2025", "15 de junho de 2025", "01/02/49", "nada")], "raw string").select("raw", dates.parse_date(F.col("raw"), 2050).alias("parsed")))
 query("j5_pdf_date", _pairs([("D:20230615120000", "2023-06-15"), ("D:20231315", None)]) + " as v(raw, parsed)")(lambda s, d: s.createDataFrame([("D:20230615120000",), ("D:20231315",)], "raw string").select("raw", dates.pdf_date(F.col("raw")).alias("parsed")))
