@@ -13,7 +13,7 @@ from foliant.llm.common import cuts, offsets_of, utf8
 
 END = 2
 #: Distinct words that a worker remembers, and bytes of text that it looks at together.
-KNOWN_WORDS, SLICE = 1_000_000, 8 << 20
+KNOWN_WORDS, SLICE = 500_000, 4 << 20
 #: Words that the tokenizer gets in one call: its time for a word grows with the length of a call.
 CALL_WORDS = 500
 
