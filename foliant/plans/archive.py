@@ -258,7 +258,7 @@ query("x_event_windows", "select time_bucket(interval 1 hour, ts) as start, even
 # Scalar functions
 
 query("i2_normalize", "select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as t from documents")(lambda s, d: docs(s, d).select("doc_id", text.normalize(F.col("text")).alias("t")))
-query("i3_shingle_counts", "with n as (select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as t from documents) select doc_id, cast(len(list_distinct(list_transform(range(1, greatest(len(c) - 4, 1) + 1), lambda i: array_to_string(c[i:i + 4], '')))) as integer) as n from (select doc_id, string_split(t, '') as c from n)")(lambda s, d: docs(s, d).select("doc_id", F.size(text.char_shingles(F.col("text"))).alias("n")))
+query("i3_shingle_counts", "with n as (select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as t from documents), ch as (select doc_id, length(t) as n, unnest(string_split(t, '')) as c, generate_subscripts(string_split(t, ''), 1) as i from n), g as (select doc_id, n, c || lead(c, 1) over w || lead(c, 2) over w || lead(c, 3) over w || lead(c, 4) over w as s from ch window w as (partition by doc_id order by i)) select doc_id, cast(greatest(count(distinct s), least(max(n), 1)) as integer) as n from g group by doc_id")(lambda s, d: docs(s, d).select("doc_id", F.size(text.char_shingles(F.col("text"))).alias("n")))
 query("i45_word_counts", "select doc_id, cast(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as bigint) as words, length(text) as chars from documents")(lambda s, d: docs(s, d).select("doc_id", text.word_count(F.col("text")).alias("words"), F.length("text").cast("long").alias("chars")))
 query("i46_row_hash", "select doc_id, substr(sha256(text), 1, 32) as h from documents")(lambda s, d: docs(s, d).select("doc_id", readers.content_hash(F.col("text")).alias("h")))
 query("i32_language", "with w as (select doc_id, list_distinct(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}_]+')) as t from documents), n as (select doc_id, len(list_intersect(t, [" + ", ".join(f"'{w}'" for w in classify.COMMON_PT) + "])) as pt, len(list_intersect(t, [" + ", ".join(f"'{w}'" for w in classify.COMMON_EN) + "])) as en from w) select doc_id, case when pt > en then 'pt-BR' when en > pt then 'en' else 'unknown' end as language from n")(lambda s, d: docs(s, d).select("doc_id", classify.language(F.col("text")).alias("language")))
