@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant.functions.text import let
+
 # Patterns of the masks, in the order in which a span is given to the first that matches it.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _HEX = r"[0-9A-Fa-f]{1,4}"
@@ -28,8 +30,19 @@ ENTITIES = {
     "processos": r"\b\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}\b",
     "hashes": r"(?i)\b[a-f0-9]{32}(?:[a-f0-9]{8}(?:[a-f0-9]{24})?)?\b",
     "timestamps": r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?(?:[+-]\d{2}:?\d{2}|Z)?\b",
-    "placas": r"\b[A-Z]{3}-?\d[A-Z0-9]\d{2}\b",
+    "placas": r"\b(?!(?i:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC))[A-Z]{3}-?\d[A-Z0-9]\d{2}\b",
+    "phones": r"(?<!\d)(?:\+55[\s.-]?\(?[1-9]\d\)?[\s.-]?9?\d{4}[-.\s]\d{4}|\([1-9]\d\)[\s.-]?9?\d{4}[-.\s]\d{4}|[1-9]\d[\s.-]9?\d{4}[-.]\d{4})(?!\d)",
+    "protocolos": r"(?i)\b(?:Protocolo|Ref|Ofício|Memorando|SEI)\.?\s*(?:n[.ºo°]?\s*)?(?=[A-Z./-]*\d)[\dA-Z][\dA-Z./-]{2,30}\b",
+    "leis": r"(?i)\b(?:Lei|Art(?:igo)?|Decreto|Portaria|Instrução\s+Normativa|Resolução|Medida\s+Provisória|Emenda\s+Constitucional)\.?\s*(?:n[.ºo°]?\s*)?\d[\d./-]{0,20}\d",
 }
+RG = r"(?i)\b(?:RG|R\.G\.|Identidade|Carteira\s+de\s+Identidade)\s*[:nº.°]*\s*(\d[\d.\s-]{4,14}\d[- ]?[A-Za-z0-9]?)"
+COORDINATES = r"(-?\d{1,3}\.\d{4,8})\s*[,;\s]\s*(-?\d{1,3}\.\d{4,8})"
+# Top-level domains, those with which a root of three characters is enough, roots that are words, damaged "www".
+TLDS = "com|org|net|gov|edu|mil|int|info|biz|name|pro|aero|asia|cat|coop|jobs|mobi|museum|tel|travel|xxx|io|ai|app|dev|tech|online|site|xyz|me|co|tv|cc|ly|us|uk|br|pt|es|fr|de|it|nl|be|lu|ch|at|se|no|fi|dk|pl|cz|sk|hu|gr|ro|bg|ua|ru|tr|il|ae|sa|za|eg|ma|ng|ke|jp|cn|hk|tw|kr|in|id|my|sg|th|ph|vn|au|nz|ca|mx|ar|cl|co|pe|uy|bo|ve|cr|pa"
+COMMON_TLDS = "com org net gov edu mil int info biz br pt es fr uk us ca au jp cn kr it".split()
+WORD_ROOTS = "in on at is it me my or as to do go so be of if no we he us an by up the and for but you are not all any can had her his how one our out see two who use de da do em no na os as se um uma que por com sem mas mio el la en es lo ya su yo ver ser".split()
+DOMAIN = rf"(?i)(?<![\w.-])(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:{TLDS})(?![\w-])"
+DAMAGED_WWW = "^(?i)[a-z]?v?w{2,3}$"
 # Currencies in the order in which they are listed.
 MONEY = {
     "BRL": r"(?i)\bR\s*\$\s*\d[\d.,]*(?:\s*(?:mil|milhão|milhões|k|mm|mi))?",
@@ -102,9 +115,45 @@ def entities(text: Column) -> dict[str, Column]:
     out["cpfs"] = F.slice(F.filter(F.array_distinct(mask(text, "cpf")), valid_cpf), 1, 30)
     out["cnpjs"] = F.slice(F.filter(F.array_distinct(mask(text, "cnpj")), valid_cnpj), 1, 30)
     out["urls"] = F.slice(F.array_distinct(F.transform(mask(text, "url"), lambda u: F.regexp_replace(u, "[.,;:)\"']+$", ""))), 1, 30)
+    out["domains"] = domains(text, out["emails"], out["urls"])
+    out["rgs"] = found(text, RG, group=1)
+    pair = lambda c, i: F.regexp_extract(c, COORDINATES, i)
+    inside = F.filter(found(text, COORDINATES, 1 << 20), lambda c: (F.abs(pair(c, 1).try_cast("double")) <= 90) & (F.abs(pair(c, 2).try_cast("double")) <= 180))
+    out["coordenadas"] = F.slice(F.array_distinct(F.transform(inside, lambda c: F.concat_ws(", ", pair(c, 1), pair(c, 2)))), 1, 30)
     return out | {k: found(text, p) for k, p in ENTITIES.items()}
 
 
+def valid_domain(value: Column) -> Column:
+    """4 to 253 characters, two to five labels without hyphens at their ends, and a root, the first label but for "www", that isn't
+    a common word, has three characters (four before an uncommon ending) and at most two hyphens; no label between them has a
+    hyphen and digits."""
+    d = F.lower(F.trim(value))
+
+    def judged(labels: Column) -> Column:
+        first = F.when((F.get(labels, 0) == "www") & (F.size(labels) >= 3), F.lit(1)).otherwise(F.lit(0))
+        root = F.get(labels, first)
+        between = F.slice(labels, first + 2, F.greatest(F.size(labels) - first - 2, F.lit(0)))
+        least = F.when(F.element_at(labels, -1).isin(COMMON_TLDS), F.lit(3)).otherwise(F.lit(4))
+        return (
+            F.size(labels).between(2, 5)
+            & F.forall(labels, lambda v: (v != "") & ~v.rlike("^-|-$"))
+            & ~root.isin(WORD_ROOTS)
+            & (F.length(root) >= least)
+            & (F.length(root) - F.length(F.replace(root, F.lit("-"), F.lit(""))) <= 2)
+            & ~F.exists(between, lambda v: v.contains("-") & v.rlike(r"\d"))
+        )
+
+    return F.length(d).between(4, 253) & let(F.split(d, r"\."), judged)
+
+
+def domains(text: Column, emails: Column, urls: Column) -> Column:
+    """Valid domains that are no part of the e-mails or links found; a first label that is a damaged "www" is repaired."""
+    alone = F.filter(F.regexp_extract_all(text, F.lit("(?U)" + DOMAIN), F.lit(0)), lambda d: ~F.array_contains(emails, d) & ~F.exists(urls, lambda u: u.contains(d)))
+    rest = lambda d: F.regexp_replace(d, r"^[^.]*\.", "")
+    repaired = F.transform(alone, lambda d: F.when(F.get(F.split(d, r"\."), 0).rlike(DAMAGED_WWW), F.concat(F.lit("www."), rest(d))).otherwise(d))
+    return F.slice(F.array_distinct(F.filter(repaired, valid_domain)), 1, 30)
+
+
 def money(text: Column) -> Column:
     """array of (currency, value_str), currency by currency, distinct, at most 20."""
     one = lambda c: F.transform(F.filter(found(text, MONEY[c], 1 << 20), lambda v: v.rlike(r"\d")), lambda v: F.struct(F.lit(c).alias("currency"), v.alias("value_str")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -61,3 +62,9 @@ def near_pairs(signed: DataFrame, threshold: float, bands: int = BANDS) -> tuple
     left, right = least.select(F.col("class").alias("a"), F.col("signature").alias("_a")), least.select(F.col("class").alias("b"), F.col("signature").alias("_b"))
     judged = meet.join(left, "a").join(right, "b").select("a", "b", agreement(F.col("_a"), F.col("_b")).alias("similarity"))
     return judged.where(F.col("similarity") >= threshold), members
+
+
+def all_pairs(signed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """near_pairs that misses none: with one band more than places that may differ, a pair that agrees enough shares a whole band."""
+    differing = HASHES - math.ceil(HASHES * threshold)
+    return near_pairs(signed, threshold, min(HASHES, differing + 1))

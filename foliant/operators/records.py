@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,3 +137,19 @@ def newest_searches(saved: DataFrame) -> DataFrame:
     """saved with rank, the last updated first."""
     # one row a search that somebody named: a small table
     return saved.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("updated_at"), "name")))
+
+
+def unified_diff(pairs: DataFrame, context: int = 2) -> DataFrame:
+    """pairs (a, b: texts; null counts as empty) with unified (lines), additions, deletions, identical, pair by pair in Arrow batches."""
+
+    def changes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a, b):
+            old, new = (x or "").splitlines(), (y or "").splitlines()
+            lines = list(difflib.unified_diff(old, new, "a", "b", n=context, lineterm=""))
+            begin = lambda mark: sum(v.startswith(mark) and not v.startswith(mark * 3) for v in lines)
+            rows.append((lines, begin("+"), begin("-"), old == new))
+        return pd.DataFrame(rows, columns=["unified", "additions", "deletions", "identical"])
+
+    made = F.pandas_udf(changes, "unified array<string>, additions int, deletions int, identical boolean")
+    return pairs.withColumn("_d", made("a", "b")).select(*pairs.columns, "_d.*")

@@ -293,12 +293,12 @@ def j23(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from foliant.plans import records  # noqa: F401 - adds its own
+    from foliant.plans import content, records  # noqa: F401 - adds its own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from foliant.plans import records  # noqa: F401
+    from foliant.plans import content, records  # noqa: F401
 
     return dict(SQL)
