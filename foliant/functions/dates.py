@@ -105,3 +105,17 @@ def pdf_timestamp(raw: Column) -> Column:
     zone = g(7)
     minutes = F.when(zone.rlike("^[+-]"), (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")) * F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))).otherwise(F.lit(0))
     return F.timestamp_seconds(F.unix_timestamp(at) - minutes * 60)
+
+
+def shown_pdf_date(raw: Column) -> Column:
+    """D:YYYYMMDD[HHMM…] as DD/MM/YYYY[ HH:MM]; null for a date or time that there can't be."""
+    g = lambda n: F.regexp_extract(F.trim(raw), r"^D:(\d{4})(\d{2})(\d{2})(\d{2})?(\d{2})?", n)
+    day = F.concat_ws("/", g(3), g(2), g(1))
+    timed = (g(4) != "") & (g(5) != "")
+    at = F.try_to_timestamp(F.concat(g(1), F.lit("-"), g(2), F.lit("-"), g(3), F.when(timed, F.concat(F.lit(" "), g(4), F.lit(":"), g(5))).otherwise(F.lit(" 00:00"))), F.lit("yyyy-MM-dd HH:mm"))
+    return F.when(at.isNotNull(), F.when(timed, F.concat(day, F.lit(" "), g(4), F.lit(":"), g(5))).otherwise(day))
+
+
+def any_date(raw: Column) -> Column:
+    """The first that parses: PDF date, ISO, day de month de year, day/month/year (two-digit years from 1950 to 2049)."""
+    return F.coalesce(pdf_date(raw), parse_date(raw))

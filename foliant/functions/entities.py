@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import let
 
+# Top-level domains, those with which a root of three characters is enough, roots that are words, damaged "www".
+TLDS = "com|org|net|gov|edu|mil|int|info|biz|name|pro|aero|asia|cat|coop|jobs|mobi|museum|tel|travel|xxx|io|ai|app|dev|tech|online|site|xyz|me|co|tv|cc|ly|us|uk|br|pt|es|fr|de|it|nl|be|lu|ch|at|se|no|fi|dk|pl|cz|sk|hu|gr|ro|bg|ua|ru|tr|il|ae|sa|za|eg|ma|ng|ke|jp|cn|hk|tw|kr|in|id|my|sg|th|ph|vn|au|nz|ca|mx|ar|cl|co|pe|uy|bo|ve|cr|pa"
+COMMON_TLDS = "com org net gov edu mil int info biz br pt es fr uk us ca au jp cn kr it".split()
+WORD_ROOTS = "in on at is it me my or as to do go so be of if no we he us an by up the and for but you are not all any can had her his how one our out see two who use de da do em no na os as se um uma que por com sem mas mio el la en es lo ya su yo ver ser".split()
+DOMAIN = rf"(?i)(?<![\w.-])(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:{TLDS})(?![\w-])"
 # Patterns of the masks, in the order in which a span is given to the first that matches it.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _HEX = r"[0-9A-Fa-f]{1,4}"
@@ -17,13 +22,14 @@ MASKS = {
     "cpf": r"\b\d{3}(?:\.\d{3}){2}-\d{2}\b|\b\d{11}\b",
     "cnpj": r"\b\d{2}(?:\.\d{3}){2}/\d{4}-\d{2}\b|\b\d{14}\b|\b[A-Za-z0-9]{2}(?:\.[A-Za-z0-9]{3}){2}/[A-Za-z0-9]{4}-\d{2}\b",
     "email": r"\b[\w.%-+]+@(?:[\w-]+\.)+[A-Za-z]{2,}\b",
+    "domain": DOMAIN,
     "url": r"(?i)https?://[^\s<>\"']+",
     "social_twitter": _SOCIAL + r"(?:twitter\.com|x\.com)/\S+",
     "social_instagram": _SOCIAL + r"(?:instagram\.com)/\S+",
     "social_facebook": _SOCIAL + r"(?:fb\.com|facebook\.com)/\S+",
     "social_linkedin": _SOCIAL + r"(?:linkedin\.com)/\S+",
 }
-ALIASES = {"ip": ["ipv4", "ipv6"], "e-mail": ["email"], "link": ["url"], "twitter": ["social_twitter"], "instagram": ["social_instagram"], "facebook": ["social_facebook"], "linkedin": ["social_linkedin"]}
+ALIASES = {"ip": ["ipv4", "ipv6"], "e-mail": ["email"], "link": ["url"], "dominio": ["domain"], "domínio": ["domain"], "fqdn": ["domain"], "twitter": ["social_twitter"], "instagram": ["social_instagram"], "facebook": ["social_facebook"], "linkedin": ["social_linkedin"]}
 # Further entities.
 ENTITIES = {
     "ceps": r"(?<!\d)\d{5}-\d{3}(?!\d)",
@@ -37,11 +43,6 @@ ENTITIES = {
 }
 RG = r"(?i)\b(?:RG|R\.G\.|Identidade|Carteira\s+de\s+Identidade)\s*[:nº.°]*\s*(\d[\d.\s-]{4,14}\d[- ]?[A-Za-z0-9]?)"
 COORDINATES = r"(-?\d{1,3}\.\d{4,8})\s*[,;\s]\s*(-?\d{1,3}\.\d{4,8})"
-# Top-level domains, those with which a root of three characters is enough, roots that are words, damaged "www".
-TLDS = "com|org|net|gov|edu|mil|int|info|biz|name|pro|aero|asia|cat|coop|jobs|mobi|museum|tel|travel|xxx|io|ai|app|dev|tech|online|site|xyz|me|co|tv|cc|ly|us|uk|br|pt|es|fr|de|it|nl|be|lu|ch|at|se|no|fi|dk|pl|cz|sk|hu|gr|ro|bg|ua|ru|tr|il|ae|sa|za|eg|ma|ng|ke|jp|cn|hk|tw|kr|in|id|my|sg|th|ph|vn|au|nz|ca|mx|ar|cl|co|pe|uy|bo|ve|cr|pa"
-COMMON_TLDS = "com org net gov edu mil int info biz br pt es fr uk us ca au jp cn kr it".split()
-WORD_ROOTS = "in on at is it me my or as to do go so be of if no we he us an by up the and for but you are not all any can had her his how one our out see two who use de da do em no na os as se um uma que por com sem mas mio el la en es lo ya su yo ver ser".split()
-DOMAIN = rf"(?i)(?<![\w.-])(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:{TLDS})(?![\w-])"
 DAMAGED_WWW = "^(?i)[a-z]?v?w{2,3}$"
 # Currencies in the order in which they are listed.
 MONEY = {

@@ -8,9 +8,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.entities import ALIASES, MASKS
 from foliant.functions.text import ACCENTED, PLAIN, tokens
 
 KEY = ["file_id", "page"]
@@ -102,3 +104,41 @@ def fuse(lists: list[tuple[DataFrame, float]], key: list[str], k: int = 60) -> D
     """Weighted reciprocal rank fusion of ranked lists (key, rank): one aggregation over their union."""
     every = reduce(DataFrame.unionByName, [d.select(*key, (F.lit(w) / (k + F.col("rank"))).alias("part")) for d, w in lists])
     return every.groupBy(*key).agg(F.sum("part").alias("score"))
+
+
+def mask_hits(texts: DataFrame, term: str | None = None) -> DataFrame:
+    """texts (id, text) to id, mask, start, end, matched (code points, end exclusive), in Arrow batches over whole texts.
+
+    First every place of term in any case (mask "term"), then the masks that term is an alias of, each place of them; if it is
+    none, or without a term, all masks in their order, a span only for the first mask that matches it."""
+    alias = (term or "").lower().strip()
+    chosen = [alias] if alias in MASKS else ALIASES.get(alias)
+    patterns = {k: MASKS[k] for k in chosen or MASKS}
+
+    def find(batch: pd.Series) -> pd.Series:
+        compiled = {k: re.compile(p) for k, p in patterns.items()}
+        literal = re.compile(re.escape(term), re.IGNORECASE) if term else None
+        rows = []
+        for text in batch:
+            found, seen = [], set()
+            for m in literal.finditer(text or "") if literal else ():
+                found.append({"mask": "term", "start": m.start(), "end": m.end(), "matched": m[0]})
+            for k, p in compiled.items():
+                for m in p.finditer(text or ""):
+                    if chosen or m.span() not in seen:
+                        seen.add(m.span())
+                        found.append({"mask": k, "start": m.start(), "end": m.end(), "matched": m[0]})
+            rows.append(found)
+        return pd.Series(rows, dtype=object)
+
+    places = F.pandas_udf(find, "array<struct<mask:string,start:int,end:int,matched:string>>")
+    return texts.select("id", F.posexplode(places("text")).alias("nth", "h")).select("id", "nth", "h.*")
+
+
+def with_synonyms(query: str, synonyms: dict[str, str]) -> str:
+    """query with each bare term that has a synonym as "term OR synonym"; operators and phrases stay."""
+    quoted = lambda w: f'"{w}"' if " " in w else w
+    known = {k.strip().lower(): v.strip() for k, v in synonyms.items() if k.strip() and v.strip()}
+    terms = re.findall(r'"[^"]*"|\S+', query)
+    hit = [t for t in terms if t.lower() in known and t not in OPERATORS]
+    return " OR ".join([query] + [" ".join(quoted(known[u.lower()]) if u == t else u for u in terms) for t in dict.fromkeys(hit)])

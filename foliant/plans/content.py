@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.functions import entities, formulas, signatures, structure, text
-from foliant.operators import records
-from foliant.plans.archive import _pairs, docs, pages, query, vecs
+from foliant.functions import dates, entities, forensics, formulas, signatures, structure, text
+from foliant.operators import catalog, fulltext, ingest, records
+from foliant.plans.archive import CAT, PAGE, _id, _pairs, cat, docs, pages, query, vecs
 from foliant.plans.records import signed
 from foliant.sources import pdf, pdf_writer
+from foliant.sources.readers import content_hash, table
 
 PARTS = "string_split(coalesce(text, ''), chr(10))"
 
@@ -114,3 +115,90 @@ def _cosine(a: str, b: str):
     from foliant.functions.vectors import dot, unit
 
     return dot(unit(F.col(a)), unit(F.col(b)))
+
+
+# Forensics of files, dates
+
+SCANS = [
+    (1, "D:20240101000000Z", "x", "<xmp:CreateDate>2024-01-03T00:00:00+02:00</xmp:CreateDate>", "1.4", ["Arial"], 10, 10_240),
+    (2, "D:20240101000000Z", "MyScan 2", "<xmp:CreateDate>2024-01-01T12:00:00Z</xmp:CreateDate>", "1.3", ["ABC+Helvetica"], 10, 10_240),
+    (3, None, None, None, None, None, 600, 10_240),
+    (4, "D:20240101000000Z", "x", "", "1.7", [], 10, 0),
+]
+
+
+@query("j14_j21_scan_forensics", _pairs([(1, "xmp_docinfo_date_conflict", 40, "1 anomalia detectada (risco médio)"), (2, "pdf_version_anachronism,text_fonts_in_scanned_document", 40, "2 anomalias detectadas (risco médio)"), (3, "high_xref_ratio", 5, "1 anomalia detectada (risco baixo)"), (4, "", 0, "Nenhuma anomalia detectada.")]) + " as v(id, anomalies, score, summary)")
+def j14(s, d):
+    df = s.createDataFrame(SCANS, "id int, created string, producer string, xmp string, version string, fonts array<string>, n_objects int, file_size long")
+    found = df.select("id", forensics.scan_anomalies(*[F.col(c) for c in df.columns[1:]]).alias("a"))
+    score = forensics.risk_score(F.col("a"))
+    return found.select("id", F.array_join(F.transform("a", lambda x: x["type"]), ",").alias("anomalies"), score.alias("score"), forensics.summary(F.col("a"), score).alias("summary"))
+
+
+strings = lambda s, rows: s.createDataFrame([(x,) for x in rows], "raw string")
+XMP = ["2024-03-15T12:00:00+02:00", "2024-03-15", "2024-02-30", "15/03/2024"]
+query("j13_xmp_dates", _pairs(list(zip(XMP, ["2024-03-15 10:00:00", "2024-03-15 00:00:00", None, None]))) + " as v(raw, utc)")(lambda s, d: strings(s, XMP).select("raw", F.date_format(forensics.xmp_timestamp(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("utc")))
+SHOWN = ["D:20240315120000+00'00'", "D:20240315", "D:20240230", "D:20241399", "2024"]
+query("j11_shown_pdf_dates", _pairs(list(zip(SHOWN, ["15/03/2024 12:00", "15/03/2024", None, None, None]))) + " as v(raw, shown)")(lambda s, d: strings(s, SHOWN).select("raw", dates.shown_pdf_date(F.col("raw")).alias("shown")))
+ANY = ["D:20230615", "2023-06-15", "15 de junho de 2023", "15/06/23", "nada"]
+query("j6_j7_j8_j9_any_date", _pairs(list(zip(ANY, ["2023-06-15"] * 4 + [None]))) + " as v(raw, parsed)")(lambda s, d: strings(s, ANY).select("raw", dates.any_date(F.col("raw")).alias("parsed")))
+query("j4_months", _pairs([(2, "anos", 24), (45, "dias", 1), (5, "dias", 1), (7, "meses", 7)]) + " as v(n, unit, months)")(lambda s, d: s.createDataFrame([(2, "anos"), (45, "dias"), (5, "dias"), (7, "meses")], "n int, unit string").select("n", "unit", dates.months(F.col("n"), F.col("unit")).alias("months")))
+
+# Masks and synonyms
+
+MASKED = [(1, "ip 10.0.0.1, a@b.com e b.com"), (2, "11144477735"), (3, None)]
+masked = lambda s, term: fulltext.mask_hits(s.createDataFrame(MASKED, "id int, text string"), term)
+HIT = " as v(id, nth, mask, start, \"end\", matched)"
+query("c8_masks", _pairs([(1, 0, "ipv4", 3, 11, "10.0.0.1"), (1, 1, "email", 13, 20, "a@b.com"), (1, 2, "domain", 15, 20, "b.com"), (1, 3, "domain", 23, 28, "b.com"), (2, 0, "cpf", 0, 11, "11144477735")]) + HIT)(lambda s, d: masked(s, None))
+query("c9_c10_term_and_mask", _pairs([(1, 0, "term", 0, 2, "ip"), (1, 1, "ipv4", 3, 11, "10.0.0.1")]) + HIT)(lambda s, d: masked(s, "IP"))
+query("c8_masks_of_documents")(lambda s, d: fulltext.mask_hits(docs(s, d).select(F.col("doc_id").alias("id"), "text")))
+query("h7_synonyms", _pairs([("carro AND azul", "carro AND azul OR automovel AND azul"), ("casa", "casa")]) + " as v(query, rewritten)")(lambda s, d: s.createDataFrame([(q, fulltext.with_synonyms(q, {"Carro": "automovel"})) for q in ("carro AND azul", "casa")], "query string, rewritten string"))
+
+# Catalog, timeline and log variants
+
+query("b30_delete_by_id_or_name", CAT + " select id, name from cat where ingest_seq <> 7 and name <> 'doc-9.pdf'")(lambda s, d: catalog.removed(catalog.removed(cat(s, d), s.createDataFrame([(_id(7),)], "id string")), s.createDataFrame([("doc-9.pdf",)], "id string"), "name").select("id", "name"))
+query("b31_delete_postings", PAGE + " select unnest(t) as token, file_id, page from tok where ingest_seq <> 7")(lambda s, d: catalog.removed(fulltext.postings(pages(s, d)), s.createDataFrame([(_id(7),)], "id string"), "file_id").select("token", "file_id", F.col("page").cast("long").alias("page")))
+query("c2_lookup", CAT + " select name from cat where ingest_seq = 7")(lambda s, d: catalog.find(cat(s, d), _id(7)).select("name"))
+query("c19_projection", CAT + " select id, coalesce(doc_type, 'documento') as doc_type, coalesce(language, '') as language, substr(indexed_at, 1, 10) as day from cat")(lambda s, d: cat(s, d).select("id", F.coalesce("doc_type", F.lit("documento")).alias("doc_type"), F.coalesce("language", F.lit("")).alias("language"), F.substring("indexed_at", 1, 10).alias("day")))
+query("e10_counts", CAT + " select count(*) as files, sum(num_pages)::bigint as pages from cat")(lambda s, d: cat(s, d).agg(F.count("*").alias("files"), F.sum("num_pages").alias("pages")))
+query("e14_year_month", CAT + " select cast(substr(indexed_at, 1, 4) as integer) as year, cast(substr(indexed_at, 6, 2) as integer) as month, count(*) as n from cat group by 1, 2")(lambda s, d: cat(s, d).groupBy(F.substring("indexed_at", 1, 4).cast("int").alias("year"), F.substring("indexed_at", 6, 2).cast("int").alias("month")).agg(F.count("*").alias("n")))
+query("e16_date_range", CAT + " select min(indexed_at) as first, max(indexed_at) as last from cat")(lambda s, d: cat(s, d).agg(F.min("indexed_at").alias("first"), F.max("indexed_at").alias("last")))
+query("e29_e30_counters", "select event_type, count(*) filter (value > 50) as hits, count(*) filter (not coalesce(value > 50, false)) as misses from events group by 1")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("hits"), F.count_if(~F.coalesce(F.col("value") > 50, F.lit(False))).alias("misses")))
+query("f12_expired", "select event_id from events where ts >= (select max(ts) from events) - interval 24 hours")(lambda s, d: table(s, d, "events").crossJoin(F.broadcast(table(s, d, "events").agg(F.max("ts").alias("now")))).where("ts >= now - interval 24 hours").select("event_id"))
+query("g2_outer_union", "select coalesce(a.doc_id, b.doc_id) as id, a.doc_id is not null as fts, b.doc_id is not null as semantic from (select doc_id from documents where lang = 'en') a full join (select doc_id from labels where quality = 1) b on a.doc_id = b.doc_id")(lambda s, d: docs(s, d).where("lang = 'en'").select(F.col("doc_id").alias("id"), F.lit(True).alias("fts")).join(table(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("semantic")), "id", "full_outer").select("id", F.coalesce("fts", F.lit(False)).alias("fts"), F.coalesce("semantic", F.lit(False)).alias("semantic")))
+query("g3_orphan_postings", "select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")(lambda s, d: docs(s, d).select("doc_id").join(table(s, d, "labels"), "doc_id", "left_anti"))
+
+
+# Configuration of full text, chunks of other lists
+
+query("h2_sanitized", _pairs([("a.b AND c", '"a.b" AND c'), ('"x y" z*', '"x y" z*'), ("foo-bar baz", '"foo-bar" baz')]) + " as v(raw, sanitized)")(lambda s, d: s.createDataFrame([(q, fulltext.sanitize(q)) for q in ("a.b AND c", '"x y" z*', "foo-bar baz")], "raw string, sanitized string"))
+query("f5_weighted_rrf", "with a as (select doc_id, row_number() over (order by doc_id) as r from (select doc_id from documents order by doc_id limit 20)), b as (select doc_id, row_number() over (order by doc_id desc) as r from (select doc_id from documents order by doc_id limit 30)), u as (select doc_id, 10.0 / (60 + r) as s from a union all select doc_id, 1.0 / (60 + r) from b) select doc_id, round(sum(s), 6)::double as score from u group by 1")(lambda s, d: _fused(s, d))
+query("g8_parties", "select distinct trim(source) as party from documents where trim(source) <> ''")(lambda s, d: docs(s, d).select(F.trim("source").alias("party")).where("party <> ''").distinct())
+query("i33_cloud_text", "select doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')) as t from documents")(lambda s, d: docs(s, d).select("doc_id", F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_]+", " ")).alias("t")))
+query("i6_agreement", _pairs([(1, 1.0), (2, 0.5), (3, 0.0), (4, 0.0)]) + " as v(id, share)")(lambda s, d: s.createDataFrame([(1, [1, 2], [1, 2]), (2, [1, 2], [1, 3]), (3, [1], [1, 2]), (4, [], [])], "id int, a array<long>, b array<long>").select("id", signatures.agreement(F.col("a"), F.col("b")).alias("share")))
+
+
+def _fused(s, d):
+    ranked = lambda n, order: docs(s, d).select("doc_id").orderBy("doc_id").limit(n).withColumn("rank", F.row_number().over(Window.orderBy(order)))  # noqa: E731 - n rows
+    return fulltext.fuse([(ranked(20, F.asc("doc_id")), 10.0), (ranked(30, F.desc("doc_id")), 1.0)], ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+# Ingest
+
+# copies have one record, that of the least path; contents of paths that end in 7 are known before
+FIRSTS = "(select min(cast(doc_id as varchar)) as path, coalesce(text, '') as text, bool_or(cast(doc_id as varchar) like '%7') as known from documents group by coalesce(text, ''))"
+query("k4_ingest", f"select path as name, len({PARTS}) as num_pages, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as word_count from {FIRSTS} where not known")(lambda s, d: _ingested(s, d).select("name", F.col("num_pages").cast("long").alias("num_pages"), "word_count"))
+query("k4_ingest_records")(lambda s, d: _ingested(s, d).drop("text"))
+query("b28_b29_sealed", "select doc_id, text, text is not null as changed from documents")(lambda s, d: docs(s, d).select("doc_id", F.col("text").cast("binary").alias("p")).withColumn("e", ingest.sealed(F.col("p"), _key())).select("doc_id", ingest.opened(F.col("e"), _key()).cast("string").alias("text"), (F.coalesce(F.col("e"), F.lit("").cast("binary")) != F.coalesce(F.col("p"), F.lit("").cast("binary"))).alias("changed")))
+query("a6_pages_for_ocr", PAGE + r" select file_id, cast(page as bigint) as page from page where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 50")(lambda s, d: pages(s, d).where(ingest.needs_ocr(F.col("text")) & (F.length(text.strip(F.col("text"))) < 50)).select("file_id", F.col("page").cast("long").alias("page")))
+
+
+def _key():
+    return F.lit("0123456789abcdef").cast("binary")
+
+
+def _ingested(s, d):
+    # files of equal pages differ in their titles: here they have none
+    made = docs(s, d).select(F.col("doc_id").cast("string").alias("path"), pdf_writer.pdf(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit("")).alias("content"))
+    known = made.where("path like '%7'").select(content_hash(F.col("content")).alias("content_hash"))
+    return ingest.ingest(made, known)
