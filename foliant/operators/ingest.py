@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import classify, entities, forensics, structure
-from foliant.functions.dates import contract_terms, extract_dates
+from foliant.functions.dates import extract_dates
 from foliant.functions.text import corrupt, display_name, low_entropy, strip, word_count
 from foliant.sources import pdf
 from foliant.sources.readers import content_hash, file_id
@@ -44,7 +44,7 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def records(scanned: DataFrame) -> DataFrame:
-    """A record for each file that could be read: identity, text, language, type, entities, contract terms, anomalies, zones, kind."""
+    """A record for each file that could be read: identity, text, language, type, entities, anomalies, zones, kind."""
     info = lambda k: F.coalesce(F.col("info")[k], F.lit(""))
     base = scanned.where("status = 'ok'").select(
         file_id(F.col("path")).alias("id"),
@@ -60,9 +60,11 @@ def records(scanned: DataFrame) -> DataFrame:
     per_page = lambda f: F.when(F.col("num_pages") > 0, F.aggregate("pages", F.lit(0.0), lambda a, p: a + f(p)) / F.col("num_pages")).otherwise(F.lit(0.0))
     pictures = per_page(lambda p: F.size(p["images"]))
     # a scan's one picture covers its page; places of pictures aren't read
-    kind = structure.document_kind(per_page(lambda p: F.coalesce(F.length(p["text"]), F.lit(0))), pictures, per_page(lambda p: F.size(p["drawings"])), F.least(pictures, F.lit(1.0)), F.col("producer"), F.col("creationdate"), F.size("fields") > 0)
+    averages = {"chars": per_page(lambda p: F.coalesce(F.length(p["text"]), F.lit(0))), "pictures": pictures, "drawn": per_page(lambda p: F.size(p["drawings"]))}
+    kind = structure.document_kind(F.col("chars"), F.col("pictures"), F.col("drawn"), F.least("pictures", F.lit(1.0)), F.col("producer"), F.col("creationdate"), F.size("fields") > 0)
     zones = structure.redactions(F.col("pages"), F.col("layers"))
-    found = base.withColumns({"label": classify.document_type(F.col("text")), "anomalies": F.concat(dated, filed), "kind": kind, "terms": F.struct(*[c.alias(k) for k, c in contract_terms(F.col("text")).items()])})
+    found = base.withColumns(averages | {"label": classify.document_type(F.col("text")), "dated": dated, "filed": filed})
+    found = found.withColumns({"anomalies": F.concat("dated", "filed"), "kind": kind})
     return found.select(
         "id", "original_path", "name", "num_pages", "file_size", "text", "title", "author", "fields", "attachments",
         word_count(F.col("text")).alias("word_count"),
@@ -74,7 +76,6 @@ def records(scanned: DataFrame) -> DataFrame:
         entities.parties(F.col("text")).alias("parties"),
         entities.money(F.col("text")).alias("monetary_values"),
         extract_dates(F.col("text")).alias("identified_dates"),
-        F.col("terms").alias("contract_data"),
         "anomalies",
         forensics.risk_score(F.col("anomalies")).alias("risk_score"),
         zones["zones"].alias("redacted_zones"),

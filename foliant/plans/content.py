@@ -188,7 +188,6 @@ def _fused(s, d):
 # copies have one record, that of the least path; contents of paths that end in 7 are known before
 FIRSTS = "(select min(cast(doc_id as varchar)) as path, coalesce(text, '') as text, bool_or(cast(doc_id as varchar) like '%7') as known from documents group by coalesce(text, ''))"
 query("k4_ingest", f"select path as name, len({PARTS}) as num_pages, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as word_count from {FIRSTS} where not known")(lambda s, d: _ingested(s, d).select("name", F.col("num_pages").cast("long").alias("num_pages"), "word_count"))
-query("k4_ingest_records")(lambda s, d: _ingested(s, d).drop("text"))
 query("b28_b29_sealed", "select doc_id, text, text is not null as changed from documents")(lambda s, d: docs(s, d).select("doc_id", F.col("text").cast("binary").alias("p")).withColumn("e", ingest.sealed(F.col("p"), _key())).select("doc_id", ingest.opened(F.col("e"), _key()).cast("string").alias("text"), (F.coalesce(F.col("e"), F.lit("").cast("binary")) != F.coalesce(F.col("p"), F.lit("").cast("binary"))).alias("changed")))
 query("a6_pages_for_ocr", PAGE + r" select file_id, cast(page as bigint) as page from page where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 50")(lambda s, d: pages(s, d).where(ingest.needs_ocr(F.col("text")) & (F.length(text.strip(F.col("text"))) < 50)).select("file_id", F.col("page").cast("long").alias("page")))
 

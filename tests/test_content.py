@@ -131,3 +131,37 @@ def test_all_pairs_of_signatures(spark):
     for t in (0.5, 0.75, 1.0):
         got = {(r.a, r.b) for r in signatures.all_pairs(df, t)[0].collect()}
         assert got == {(i, j) for i, x in rows for j, y in rows if i < j and alike(x, y) >= t}
+
+
+def test_masks_of_nulls_and_synonyms(spark):
+    from foliant.operators import fulltext
+
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "Link http://a.org/x and LINK")], "id int, text string")
+    got = [(r.id, r.mask, r.start, r.end) for r in fulltext.mask_hits(df, "link").orderBy("nth").collect()]
+    assert got == [(3, "term", 0, 4), (3, "term", 24, 28), (3, "url", 5, 19)]
+    assert fulltext.with_synonyms('a "b c"', {"a": "x y"}) == 'a "b c" OR "x y" "b c"'
+
+
+def test_ingest_of_new_files_only(spark):
+    from foliant.operators import ingest
+
+    old, new = pdf_writer.pdf_bytes(["known text"]), pdf_writer.pdf_bytes(["SECRET\nthe report of the year"], "T")
+    files = spark.createDataFrame([("a.pdf", bytearray(old)), ("c.pdf", bytearray(new)), ("b.pdf", bytearray(new)), ("d.pdf", None), ("e.pdf", bytearray(b"no"))], "path string, content binary")
+    known = ingest.new_files(files.where("path = 'a.pdf'"), spark.createDataFrame([], "content_hash string")).count()
+    assert known == 1
+    from foliant.sources.readers import content_hash
+
+    hashes = files.where("path = 'a.pdf'").select(content_hash(F.col("content")).alias("content_hash"))
+    rows = ingest.ingest(files, hashes).collect()
+    assert [(r.original_path, r.title, r.confidentiality, r.num_pages, r.pages_for_ocr) for r in rows] == [("b.pdf", "T", "SECRETO", 1, [1])]
+
+
+def test_sealed_payloads(spark):
+    from foliant.operators import ingest
+
+    df = spark.createDataFrame([(bytearray(b"x"),), (bytearray(b""),), (None,)], "p binary")
+    key, wrong = F.lit("k" * 16).cast("binary"), F.lit("w" * 16).cast("binary")
+    sealed = ingest.sealed(F.col("p"), key)
+    got = df.select(ingest.opened(sealed, key).alias("o"), ingest.opened(sealed, wrong).alias("w"), ingest.opened(F.col("p"), key).alias("plain")).collect()
+    assert [(r.o and bytes(r.o), r.w, r.plain and bytes(r.plain)) for r in got] == [(b"x", None, b"x"), (r1 := got[1].o, None, got[1].plain), (None, None, None)]
+    assert bytes(r1) == b""
