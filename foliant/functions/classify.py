@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant.functions.text import let
+
 # Words of each document type, in the order that decides ties.
 KEYWORDS = {
     "contrato": ["contrato", "cláusula", "obrigações", "vigência", "pacto", "outorgantes", "partes contratantes", "contratante", "contratada"],
@@ -37,11 +39,17 @@ def document_type(text: Column) -> Column:
 
     Ties go to the earlier type. Under 0.10 the label is "documento"; without any word the top of the text may still
     look like an e-mail or an invoice (0.5)."""
-    raw = F.lower(F.substring(text, 1, 8000))
+    return let(F.lower(F.substring(text, 1, 8000)), lambda raw: let(_best(raw), lambda best: _judged(raw, best)))
+
+
+def _best(raw: Column) -> Column:
+    """struct<score, order, label> of the type with most points."""
     head, rest = F.substring(raw, 1, 1500), F.substring(raw, 1501, 8000)
     points = lambda ws: sum((F.when(head.contains(w), 2).otherwise(0) + F.when(rest.contains(w), 1).otherwise(0) for w in ws), F.lit(0))
-    scores = F.array(*[F.struct(points(ws).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("label")) for i, (k, ws) in enumerate(KEYWORDS.items())])
-    best = F.array_max(scores)
+    return F.array_max(F.array(*[F.struct(points(ws).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("label")) for i, (k, ws) in enumerate(KEYWORDS.items())]))
+
+
+def _judged(raw: Column, best: Column) -> Column:
     sure = F.least(F.lit(1.0), best["score"] / 15.0)
     top = F.substring(raw, 1, 500)
     result = lambda label, c: F.struct(label.alias("label"), c.alias("confidence"))

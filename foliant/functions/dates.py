@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant.functions.text import let
+
 # Month names.
 MONTHS_PT = ["janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro"]
 MONTHS_EN = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
@@ -54,6 +56,10 @@ def valid(y: Column, m: Column, d: Column, last_year: int) -> Column:
 
 def parse_date(raw: Column, last_year: int = 2036) -> Column:
     """ISO, then day de month de year, then day/month/year with two-digit years from 1950 to 2049; else null."""
+    return let(raw, lambda r: _parsed(r, last_year))
+
+
+def _parsed(raw: Column, last_year: int) -> Column:
     g = lambda p, n: F.regexp_extract(raw, p, n)
     dashed, named, slashed = r"(\d{4})-(\d{2})-(\d{2})", r"(?iu)(\d{1,2})\s+de\s+([a-zç]+)\s+de\s+(\d{4})", r"(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2,4})"
     year = g(slashed, 3).try_cast("int")
@@ -73,20 +79,31 @@ def months(quantity: Column, unit: Column) -> Column:
 
 
 def contract_terms(text: Column) -> dict[str, Column]:
-    """start_date, end_date, duration_months, auto_renewal, confidence. An end from a duration keeps the start's day as it is."""
+    """start_date, end_date, duration_months, auto_renewal, confidence. An end from a duration keeps the start's day as it is.
+
+    Each part is bound once: written out, the expression outgrows the driver as soon as text is a table's column."""
     g = lambda p, n=1: F.regexp_extract(text, p, n)
-    from_term, to_term = parse_date(g(TERM, 1)), parse_date(g(TERM, 2))
-    other_end = F.coalesce(parse_date(g(VALID)), parse_date(g(DUE)), parse_date(g(END)))
-    start = F.coalesce(from_term, parse_date(g(START)))
-    duration = F.when(g(LENGTH) != "", months(g(LENGTH).try_cast("int"), g(LENGTH, 2)))
-    stated = F.coalesce(to_term, other_end)
-    total = F.substring(start, 6, 2).try_cast("int") + duration - 1
-    computed = iso(F.substring(start, 1, 4).try_cast("int") + F.floor(total / 12).try_cast("int"), total % 12 + 1, F.substring(start, 9, 2))
-    computed = F.when(F.try_to_timestamp(start).isNotNull(), computed)
-    n = F.when(from_term.isNotNull() | to_term.isNotNull(), F.lit(2)).otherwise(F.lit(0))
-    n = n + F.when(to_term.isNull() & other_end.isNotNull(), F.lit(1)).otherwise(F.lit(0)) + F.when(from_term.isNull() & start.isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    n = n + F.when(stated.isNull() & computed.isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    return {"start_date": start, "end_date": F.coalesce(stated, computed), "duration_months": duration, "auto_renewal": text.rlike(RENEWAL), "confidence": F.least(F.lit(1.0), n / 3)}
+    found = F.struct(
+        parse_date(g(TERM, 1)).alias("from_term"),
+        parse_date(g(TERM, 2)).alias("to_term"),
+        F.coalesce(parse_date(g(VALID)), parse_date(g(DUE)), parse_date(g(END))).alias("other_end"),
+        parse_date(g(START)).alias("other_start"),
+        F.when(g(LENGTH) != "", months(g(LENGTH).try_cast("int"), g(LENGTH, 2))).alias("duration"),
+    )
+
+    def joined(p: Column) -> Column:
+        start, duration = F.coalesce(p["from_term"], p["other_start"]), p["duration"]
+        stated = F.coalesce(p["to_term"], p["other_end"])
+        total = F.substring(start, 6, 2).try_cast("int") + duration - 1
+        computed = iso(F.substring(start, 1, 4).try_cast("int") + F.floor(total / 12).try_cast("int"), total % 12 + 1, F.substring(start, 9, 2))
+        computed = F.when(F.try_to_timestamp(start).isNotNull(), computed)
+        n = F.when(p["from_term"].isNotNull() | p["to_term"].isNotNull(), F.lit(2)).otherwise(F.lit(0))
+        n = n + F.when(p["to_term"].isNull() & p["other_end"].isNotNull(), F.lit(1)).otherwise(F.lit(0)) + F.when(p["from_term"].isNull() & start.isNotNull(), F.lit(1)).otherwise(F.lit(0))
+        n = n + F.when(stated.isNull() & computed.isNotNull(), F.lit(1)).otherwise(F.lit(0))
+        return F.struct(start.alias("start_date"), F.coalesce(stated, computed).alias("end_date"), duration.alias("duration_months"), F.least(F.lit(1.0), n / 3).alias("confidence"))
+
+    terms = let(found, joined)
+    return {"start_date": terms["start_date"], "end_date": terms["end_date"], "duration_months": terms["duration_months"], "auto_renewal": text.rlike(RENEWAL), "confidence": terms["confidence"]}
 
 
 def pdf_date(raw: Column) -> Column:

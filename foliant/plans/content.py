@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.functions import dates, entities, forensics, formulas, signatures, structure, text
+from foliant.functions import classify, dates, entities, forensics, formulas, signatures, structure, text
 from foliant.operators import catalog, fulltext, ingest, records
 from foliant.plans.archive import CAT, PAGE, _id, _pairs, cat, docs, pages, query, vecs
 from foliant.plans.records import signed
@@ -154,6 +154,39 @@ query("c9_c10_term_and_mask", _pairs([(1, 0, "term", 0, 2, "ip"), (1, 1, "ipv4",
 query("c8_masks_of_documents")(lambda s, d: fulltext.mask_hits(docs(s, d).select(F.col("doc_id").alias("id"), "text")))
 query("h7_synonyms", _pairs([("carro AND azul", "carro AND azul OR automovel AND azul"), ("casa", "casa")]) + " as v(query, rewritten)")(lambda s, d: s.createDataFrame([(q, fulltext.with_synonyms(q, {"Carro": "automovel"})) for q in ("carro AND azul", "casa")], "query string, rewritten string"))
 
+# The extractors above over all documents: a row for each document, or for each hit where one row is one hit
+
+
+def over_documents(spark: SparkSession, sf: str, **made) -> DataFrame:
+    return docs(spark, sf).select("doc_id", *[c.alias(k) for k, c in made.items()])
+
+
+def hits(spark: SparkSession, sf: str, values) -> DataFrame:
+    """doc_id, value: what an array of texts has, distinct by document."""
+    return docs(spark, sf).select("doc_id", F.explode(F.array_distinct(values)).alias("value"))
+
+
+body = lambda: F.col("text")  # noqa: E731 - a column needs a session
+query("i16_i22_entities_of_documents")(lambda s, d: over_documents(s, d, **entities.entities(body())))
+query("i19_cpf_check_of_documents")(lambda s, d: hits(s, d, entities.mask(body(), "cpf")).withColumn("ok", entities.valid_cpf(F.col("value"))))
+query("i20_cnpj_check_of_documents")(lambda s, d: hits(s, d, entities.mask(body(), "cnpj")).withColumn("ok", entities.valid_cnpj(F.col("value"))))
+query("i21_domain_check_of_documents")(lambda s, d: hits(s, d, entities.mask(body(), "domain")).withColumn("ok", entities.valid_domain(F.col("value"))))
+query("i23_money_of_documents")(lambda s, d: over_documents(s, d, money=entities.money(body())))
+query("i24_parties_of_documents")(lambda s, d: over_documents(s, d, parties=entities.parties(body())))
+query("i44_party_type_of_documents")(lambda s, d: hits(s, d, entities.parties(body())).withColumn("type", entities.party_type(F.col("value"))))
+query("i25_tags_of_documents")(lambda s, d: over_documents(s, d, tags=entities.tags(classify.document_type(body())["label"], body())))
+query("i26_confidentiality_of_documents")(lambda s, d: over_documents(s, d, level=entities.confidentiality(body())))
+query("i28_document_type_of_documents")(lambda s, d: over_documents(s, d, r=classify.document_type(body())).select("doc_id", "r.*"))
+query("j1_dates_of_documents")(lambda s, d: over_documents(s, d, dates=dates.extract_dates(body())))
+query("j2_parse_date_of_documents")(lambda s, d: over_documents(s, d, parsed=dates.parse_date(body())))
+query("j6_j7_j8_j9_any_date_of_documents")(lambda s, d: over_documents(s, d, parsed=dates.any_date(body())))
+query("j3_contract_terms_of_documents")(lambda s, d: over_documents(s, d, **dates.contract_terms(body())))
+query("i1_normalize_text_of_documents")(lambda s, d: over_documents(s, d, t=text.normalize_text(body())))
+query("i36_latex_of_documents")(lambda s, d: over_documents(s, d, latex=formulas.latex(body())))
+query("e21_formula_counts_of_documents")(lambda s, d: formulas.counts(formulas.page_hits(pages(s, d))))
+query("i39_formula_sections_of_documents")(lambda s, d: formulas.markdown(formulas.page_hits(pages(s, d))))
+query("c9_c10_term_and_mask_of_documents")(lambda s, d: fulltext.mask_hits(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "the"))
+
 # Catalog, timeline and log variants
 
 query("b30_delete_by_id_or_name", CAT + " select id, name from cat where ingest_seq <> 7 and name <> 'doc-9.pdf'")(lambda s, d: catalog.removed(catalog.removed(cat(s, d), s.createDataFrame([(_id(7),)], "id string")), s.createDataFrame([("doc-9.pdf",)], "id string"), "name").select("id", "name"))
