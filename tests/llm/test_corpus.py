@@ -291,6 +291,30 @@ def test_line_dedup(spark, odd, empty):
     assert linededup.drop_repeats(odd).count() == len(ODD) and linededup.drop_repeats(empty).count() == 0
 
 
+def brute_lines(rows):
+    """The lines that stay, by doc_id: of equal ones, by words in lower case, the first."""
+    fold, seen, out = {i: i + 32 for i in range(65, 91)}, set(), {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        out[r.doc_id] = []
+        for line in (r.text or "").split("\n"):
+            w = tuple(re.findall(r"[^\x20\x09-\x0D]+", line.translate(fold)))
+            if not w or w not in seen:
+                out[r.doc_id].append(line)
+            seen.add(w)
+    return out
+
+
+def test_all_lines_equal_brute_force(spark, tmp_path):
+    from foliant.llm.queries import queries
+
+    more = [(10**6, "By To.\n\nBy To.\nreleased under the mit license."), (10**6 + 1, " Released under the MIT license.\nkept\n\nby to."), (10**6 + 2, None)]
+    spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_lines(spark.read.parquet(f"{tmp_path}/documents.parquet").collect())
+    got = {r.doc_id: r for r in queries()["op8_all_lines"](spark, str(tmp_path)).collect()}
+    assert {i: r.kept_md5 for i, r in got.items()} == {i: hashlib.md5("\n".join(k).encode()).hexdigest() for i, k in want.items()}
+    assert want[10**6 + 1] == ["kept", ""] and got[10**6 + 1].n_removed == 2
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(6).tolist()) for i in range(700)] + [(700, None), (701, [1.0, None]), (702, [float("nan")] * 6), (0, None), (703, []), (None, [1.0])]
