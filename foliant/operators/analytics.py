@@ -103,11 +103,15 @@ def contract_summary(contracts: DataFrame, today: str) -> DataFrame:
 def graph_edges(mentions: DataFrame) -> DataFrame:
     """source < target, weight: entities that occur in the same document, by mentions (doc, entity).
 
-    A document's entities are distinct and sorted, and its pairs are made from its own array; the lists have a fixed
-    size by extraction, so no group of documents is gathered."""
-    one = mentions.groupBy("doc").agg(F.array_sort(F.collect_set("entity")).alias("e"))
-    pairs = F.flatten(F.transform("e", lambda a: F.transform(F.filter("e", lambda b: b > a), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    return one.select(F.explode(pairs).alias("p")).groupBy("p.source", "p.target").agg(F.count("*").alias("weight"))
+    A document's pairs are made from its own array, one entity at a time, so that no row holds all of them."""
+    one = mentions.groupBy("doc").agg(F.collect_set("entity").alias("e"))
+    sides = one.select("e", F.explode("e").alias("source")).select("source", F.explode(F.filter("e", lambda b: b > F.col("source"))).alias("target"))
+    return sides.groupBy("source", "target").agg(F.count("*").alias("weight"))
+
+
+def document_edges(mentions: DataFrame) -> DataFrame:
+    """source (doc: and the document), target, weight: an edge from each document to each of its entities."""
+    return mentions.where("entity is not null").groupBy(F.concat(F.lit("doc:"), F.col("doc").cast("string")).alias("source"), F.col("entity").alias("target")).agg(F.count("*").alias("weight"))
 
 
 def graph_nodes(mentions: DataFrame) -> DataFrame:

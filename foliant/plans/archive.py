@@ -198,8 +198,23 @@ query("d8_graph_edges", "with m as (select distinct doc_id as doc, unnest(list_s
 query("e18_graph_nodes", "with m as (select distinct doc_id as doc, unnest(list_slice(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) = 5))), 1, 12)) as entity from documents) select entity, 'org' as type, count(*) as doc_count from m group by 1")(lambda s, d: analytics.graph_nodes(_mentions(s, d)))
 
 
+# all words of five letters, without the bound that the two queries above share with their SQL
+M = "with m as (select distinct doc_id as doc, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) = 5)) as entity from documents) "
+query("d8_all_graph_edges", M + "select a.entity as source, b.entity as target, count(*) as weight from m a join m b on a.doc = b.doc and a.entity < b.entity group by 1, 2")(lambda s, d: analytics.graph_edges(_all_mentions(s, d)))
+query("d8_document_edges", M + "select 'doc:' || doc as source, entity as target, count(*) as weight from m group by 1, 2")(lambda s, d: analytics.document_edges(_all_mentions(s, d)))
+query("e18_all_graph_nodes", M + "select entity, 'org' as type, count(*) as doc_count from m group by 1")(lambda s, d: analytics.graph_nodes(_all_mentions(s, d)))
+
+
+def _five(text: str):
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.length(w) == 5))
+
+
+def _all_mentions(s, d):
+    return docs(s, d).select(F.col("doc_id").alias("doc"), F.explode(_five("text")).alias("entity"))
+
+
 def _mentions(s, d):
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) == 5)))
+    words = F.array_sort(_five("text"))
     return docs(s, d).select(F.col("doc_id").alias("doc"), F.explode(F.slice(words, 1, 12)).alias("entity"))
 
 

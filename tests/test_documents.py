@@ -1,6 +1,7 @@
 """Extractors over whole tables: the sample's documents, the literal cases as further rows, null and long texts."""
 
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +77,12 @@ def test_hits_of_documents(spark, sf, texts):
         assert {r.doc_id for r in queries()[f"{name}_of_documents"](spark, sf).collect()} >= {FIRST + 1}
     terms = queries()["c9_c10_term_and_mask_of_documents"](spark, sf).where("mask = 'term'").groupBy("id").agg(F.count("*").alias("n")).collect()
     assert len(terms) > 50
+
+
+def test_graph_has_every_mention(spark, sf, texts):
+    words = {i: sorted({w for w in re.split("[^a-z]+", t.lower()) if len(w) == 5}) for i, t in texts.items()}
+    assert max(map(len, words.values())) > 12
+    edges = Counter((a, b) for ws in words.values() for n, a in enumerate(ws) for b in ws[n + 1 :])
+    assert {(r.source, r.target): r.weight for r in queries()["d8_all_graph_edges"](spark, sf).collect()} == edges
+    assert {(r.source, r.target) for r in queries()["d8_document_edges"](spark, sf).collect()} == {(f"doc:{i}", w) for i, ws in words.items() for w in ws}
+    assert {r.entity: r.doc_count for r in queries()["e18_all_graph_nodes"](spark, sf).collect()} == Counter(w for ws in words.values() for w in ws)
