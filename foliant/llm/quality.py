@@ -35,6 +35,11 @@ def blocks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8), offsets_of(hops)
 
 
+def tails(first: np.ndarray) -> np.ndarray:
+    """Places in blocks_of's bytes whose filters would reach into the next text: the last WIDTH - 1 of each text, all of them filling."""
+    return (first[1:, None] * HOP - np.arange(WIDTH - 1, 0, -1)).ravel()
+
+
 def pooled(hop_max: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maxima over chunks of two hops, and the first chunk of each text; a text of one hop is one chunk."""
     n = np.diff(first)
@@ -69,9 +74,9 @@ class ByteNet:
         h = np.tanh(x @ self.w["d"] + self.w["db"])
         return h, 1 / (1 + np.exp(-np.clip(h @ self.w["o"] + self.w["ob"][0], -30, 30)))
 
-    def hop_maxima(self, data: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    def hop_maxima(self, data: np.ndarray, first: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
         out = np.empty((len(data) // HOP, FILTERS), dtype=np.float32)
-        wide = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
+        wide, tail = np.concatenate([data, np.zeros(WIDTH, np.uint8)]), tails(first)
         for lo in range(0, len(data), SLICE):
             n = min(SLICE, len(data) - lo)
             x = wide[lo : lo + n + WIDTH].astype(np.uint16)
@@ -79,6 +84,8 @@ class ByteNet:
             total = tables[0][pair[:n]]
             for k in range(1, len(tables)):
                 total += tables[k][pair[2 * k : 2 * k + n]]
+            a, b = np.searchsorted(tail, [lo, lo + n])
+            total[tail[a:b] - lo] = -np.inf
             out[lo // HOP : (lo + n) // HOP] = total.reshape(-1, HOP, FILTERS).max(axis=1)
         return np.maximum(out, 0)
 
@@ -86,7 +93,7 @@ class ByteNet:
         if self.prior is not None:
             return np.full(len(texts), self.prior)
         data, first = blocks_of(texts)
-        return np.round(self._head(combined(*pooled(self.hop_maxima(data, tables or self.tables()), first)))[1].astype(np.float64), 6)
+        return np.round(self._head(combined(*pooled(self.hop_maxima(data, first, tables or self.tables()), first)))[1].astype(np.float64), 6)
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> None:
         """Adam on log loss, classes weighted half by their inverse share. One class or no rows: the share of label 1 (0.5 without rows) for every text."""
@@ -115,7 +122,9 @@ class ByteNet:
         wide = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
         x = wide.astype(np.uint16)
         pair = (x[:-1] << np.uint16(8)) | x[1:]
-        total = sum(t[pair[2 * k : 2 * k + len(data)]] for k, t in enumerate(tables)).reshape(-1, HOP, FILTERS)
+        total = sum(t[pair[2 * k : 2 * k + len(data)]] for k, t in enumerate(tables))
+        total[tails(first)] = -np.inf
+        total = total.reshape(-1, HOP, FILTERS)
         best = total.argmax(axis=1)
         hop_max = np.take_along_axis(total, best[:, None, :], 1)[:, 0]
         active = np.maximum(hop_max, 0)

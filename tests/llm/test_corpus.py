@@ -230,6 +230,17 @@ def test_quality_edges(spark, odd, empty):
     assert one.score([b"abc " * 500])[0] == one.score([b"x", b"abc " * 500, b""])[1]
 
 
+def test_quality_is_of_the_text_alone():
+    net = quality.ByteNet()
+    net.w["b"] -= 1
+    texts = [b"a" * n for n in (1, 125, 253, 509)]
+    alone = [net.score([t])[0] for t in texts]
+    for near in (b"zz zz" * 40, bytes(range(256)), b"\xff" * 9):
+        assert [net.score([near, t, near])[1] for t in texts] == alone
+        data, first = quality.blocks_of([b"a" * 125, near])
+        assert (net.hop_maxima(data, first, net.tables())[0] == net.hop_maxima(data[:128], first[:2], net.tables())[0]).all()
+
+
 def test_shards(docs, odd, empty):
     rows = shards.kd_shards(docs, 24).collect()
     sizes = Counter()
