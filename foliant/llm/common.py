@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -22,9 +23,10 @@ _local_root: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application, and bound Arrow batches."""
+    """Make this package importable in Python workers, once per application, and bound Arrow batches where the user hasn't."""
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if sc.applicationId in _shipped:
         return
     target = Path(tempfile.mkdtemp(prefix="foliant-")) / "foliant_code.zip"
@@ -36,9 +38,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the cluster's shared folder (spark.checkpoint.dir); a local folder only where that is unset."""
+    """A new path below the cluster's shared folder (spark.checkpoint.dir); a local folder only where that is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _local_root:
             _local_root.append("file://" + tempfile.mkdtemp(prefix="foliant-scratch-"))
         root = _local_root[0]
@@ -64,6 +68,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean() -> None:
+    """Let a worker's Arrow memory go back to the system when it is freed; Arrow's own pool would keep it."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
@@ -75,6 +85,18 @@ def offsets_of(lengths) -> np.ndarray:
     return out
 
 
+def sliced(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, texts) of about limit bytes; a longer text is a slice of its own."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= limit):
+            size += len(texts[end])
+            end += 1
+        yield at, texts[at:end]
+        at = end
+
+
 def cuts(data: bytes, limit: int) -> list[tuple[int, int]]:
     """Ranges that cover data, of about limit bytes, cut only at spaces (byte 32)."""
     out, at = [], 0

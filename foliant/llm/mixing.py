@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, with DataFrame operations only.
 
-Each source's documents are dealt by hash into blocks of about BLOCK_WORDS words. Its target in words becomes whole passes
+Each source's documents are dealt by hash into about as many blocks as the square root of its words, at any size. Its target in words becomes whole passes
 over all of its blocks and a run of blocks in permuted order, the last of them in part. These block quotas are split
 among the output shards by a tree: at each node the left half gets as many blocks as its shards' share, drawn without
 replacement from what the node holds of all sources. Only quotas, one number a source, pass the driver."""
@@ -17,8 +17,9 @@ from foliant.llm.common import stored
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
-BLOCK_WORDS, MOST_BLOCKS, ALL_BLOCKS = 4096, 4096, 100_000_000
 SHARDS, SEED = 16, 20
+#: Words that a partition of the written mix holds, about.
+PART_WORDS = 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -74,12 +75,10 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = docs.sparkSession
     table, _ = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"), key().alias("key")), "mix-metadata")
     targets, _ = stored(source_targets(table.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
-    n_sources = max(1, targets.count())
-    most = max(1, min(MOST_BLOCKS, ALL_BLOCKS // n_sources))
     quota = F.floor(F.col("target") + 0.5).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rated = targets.select("*", F.least(F.greatest(F.ceil(F.col("source_size") / BLOCK_WORDS), F.lit(1)), F.lit(most)).alias("slots"), whole.alias("passes"), (quota - whole * F.col("source_size")).alias("rest"))
-    placed = table.join(F.broadcast(rated) if n_sources <= 10_000 else rated, table.source.eqNullSafe(rated.source)).drop(rated.source)
+    rated = targets.select("*", F.greatest(F.ceil(F.sqrt("source_size")), F.lit(1)).alias("slots"), whole.alias("passes"), (quota - whole * F.col("source_size")).alias("rest"))
+    placed = table.join(rated, table.source.eqNullSafe(rated.source)).drop(rated.source)
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED + 1), "key"), F.col("slots")))
     blocks = placed.groupBy("number", "block").agg(F.sum("size").alias("weight"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
     permuted = Window.partitionBy("number").orderBy(F.xxhash64(F.lit(SEED + 2), "number", "block"), "block")
@@ -104,14 +103,23 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return both.select("doc_id", "key", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"), F.when(F.col("extra") > 0, F.concat(full, last)).otherwise(full).alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The rows of the mix: docs with all its columns, a row for each copy, with shard and place (the local shuffle's order).
-
-    Of a document taken in part the text is its first words, single spaces between them. Rows equal in doc_id and text are
-    taken alike."""
-    plan = mix(docs, shards).where("taken > 0").select("doc_id", "key", "size", "copies").dropDuplicates(["doc_id", "key"])
-    kept = docs.withColumn("mix_key", key()).join(plan, docs.doc_id.eqNullSafe(plan.doc_id) & (F.col("mix_key") == plan.key)).drop(plan.doc_id)
-    rows = kept.select(*[docs[c] for c in docs.columns], "mix_key", "size", F.explode("copies").alias("copy"))
-    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1), 1, F.greatest(F.col("copy.words"), F.lit(1)).cast("int")))
-    text = F.when(F.col("copy.words") < F.col("size"), cut).otherwise(F.col("text"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("copy.shard").alias("mix_shard"), F.xxhash64("copy.shard", "mix_key").alias("mix_place"))
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, shard_column: str | None = None) -> DataFrame:
+    """The rows of the mix: docs with all its columns, a row for each copy, by shard and in its permuted order.
+
+    Partitions hold a range of one or more shards' order each. Of a document taken in part the text is its first words,
+    single spaces between them. Rows equal in doc_id and text are taken alike, each of them. Null and wordless texts aren't
+    taken; an empty table gives an empty one. Columns of docs may have any names; the shard's number is added under
+    shard_column, if one is given."""
+    plan = mix(docs, shards).where("taken > 0").select(F.col("doc_id").alias("plan_id"), F.col("key").alias("plan_key"), "size", "taken", "copies").dropDuplicates(["plan_id", "plan_key"])
+    plan, _ = stored(plan, "mix-plan")
+    parts = max(1, -(-(plan.agg(F.sum("taken")).first()[0] or 0) // (shards * PART_WORDS)))
+    column = lambda c: docs[f"`{c}`"]
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["text"].alias("words"), key().alias("key"))
+    rows = rows.join(plan, rows.id.eqNullSafe(plan.plan_id) & (rows.key == plan.plan_key)).select("row", "words", "key", "size", F.explode("copies").alias("copy"))
+    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all("words", F.lit(r"([^\x20\x09-\x0D]+)"), 1), 1, F.greatest(F.col("copy.words"), F.lit(1)).cast("int")))
+    text = F.when(F.col("copy.words") < F.col("size"), cut).otherwise(F.col("words"))
+    place = F.xxhash64("copy.shard", "key")
+    rows = rows.select("row", text.alias("text"), F.col("copy.shard").alias("shard"), place.alias("place"), F.floor((place / 2.0**64 + 0.5) * parts).alias("part"))
+    rows = rows.repartition("shard", "part").sortWithinPartitions("shard", "place")
+    out = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return rows.select(*out, *([F.col("shard").alias(shard_column)] if shard_column else []))

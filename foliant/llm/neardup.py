@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, ship, stored, utf8
+from foliant.llm.common import discard, lean, ship, sliced, stored, utf8
 from foliant.llm.components import components
 from foliant.llm.shingles import SetSketch, shingle_sets, word_digest
 
@@ -18,7 +18,7 @@ BANDS, ROWS = 32, 4
 #: Pairs whose likelihood estimate is below this aren't confirmed: more than five deviations under 0.75 with 128 registers.
 LEAST_ESTIMATE = 0.55
 #: Texts and bytes in a block at most (a longer text is a block of its own).
-BLOCK_ROWS, BLOCK_BYTES = 128, 4 << 20
+BLOCK_ROWS, BLOCK_BYTES = 128, 1 << 20
 
 SKETCHES = "doc_id long, mark long, n_shingles long, digest binary, registers binary"
 BLOCKS = "block long, reps array<long>, sizes array<long>, registers array<binary>, texts array<binary>"
@@ -27,27 +27,29 @@ BLOCKS = "block long, reps array<long>, sizes array<long>, registers array<binar
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, mark, text) to SKETCHES. Texts without words have no digest and no registers."""
     sketch = SetSketch(BANDS * ROWS)
+    lean()
     for batch in batches:
-        texts = utf8(batch.column(2))
-        sets = shingle_sets(texts)
-        registers = sketch.registers(sets)
-        full = [len(s) > 0 for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).cast(pa.int64()),
-                batch.column(1),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([word_digest(t) if f else None for t, f in zip(texts, full)], pa.binary()),
-                pa.array([r.tobytes() if f else None for r, f in zip(registers, full)], pa.binary()),
-            ],
-            names=["doc_id", "mark", "n_shingles", "digest", "registers"],
-        )
+        for lo, texts in sliced(utf8(batch.column(2))):
+            sets = shingle_sets(texts)
+            registers = sketch.registers(sets)
+            full = [len(s) > 0 for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(lo, len(texts)).cast(pa.int64()),
+                    batch.column(1).slice(lo, len(texts)),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([word_digest(t) if f else None for t, f in zip(texts, full)], pa.binary()),
+                    pa.array([r.tobytes() if f else None for r, f in zip(registers, full)], pa.binary()),
+                ],
+                names=["doc_id", "mark", "n_shingles", "digest", "registers"],
+            )
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rep, n_shingles, registers, text), in label order, to rows of up to BLOCK_ROWS texts."""
     from pyspark import TaskContext
 
+    lean()
     part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
 
     def row() -> pa.RecordBatch:
@@ -70,7 +72,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of the sets of a with those of b, by products over slices of their common vocabulary."""
-    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
     if not a or not b:
         return out
     left, right = np.concatenate(a), np.concatenate(b)
@@ -93,16 +95,17 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
             m = np.zeros((n, min(width, len(both) - lo)), dtype=np.float32)
             m[r[o[i:j]], s[i:j] - lo] = 1
             dense.append(m)
-        out += dense[0] @ dense[1].T
+        out += (dense[0] @ dense[1].T).astype(np.int64)  # whole numbers up to width, exact in 32 bits
     return out
 
 
 def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of two blocks to links (u, v) that join, within them, what is linked: at most one for each text."""
+    lean()
     sketch = SetSketch(BANDS * ROWS)
     for batch in batches:
         us, vs = [], []
-        for row in batch.to_pylist():
+        for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
             one = row["block"] == row["block_b"]
             reps = row["reps"] if one else row["reps"] + row["reps_b"]
             sizes = np.array(row["sizes"] if one else row["sizes"] + row["sizes_b"])
@@ -157,7 +160,8 @@ def near_duplicates(docs: DataFrame, label_rounds: int = 3) -> DataFrame:
     and the likelihood estimate. No pair leaves a block pair, only links that join its classes.
 
     A null or wordless text has an empty set and is linked with nothing; a row without doc_id can't name or join a group,
-    so its component is null and it is kept. Rows that repeat a doc_id belong to the same node. Other columns are ignored."""
+    so its component is null and it is kept. Rows that repeat a doc_id are one node: their texts' classes are linked. An empty
+    table gives an empty one; other columns are ignored."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
@@ -190,7 +194,10 @@ def near_duplicates(docs: DataFrame, label_rounds: int = 3) -> DataFrame:
     alone = packs.select("*", F.col("block").alias("block_b"), *[F.lit(None).cast(packs.schema[c].dataType).alias(f"{c}_b") for c in packs.columns[1:]])
     second = packs.select(*[F.col(c).alias(f"{c}_b") for c in packs.columns])
     two = apart.distinct().join(second, "block_b").join(packs, "block").select(*alone.columns)
-    links, links_at = stored(alone.union(two).mapInArrow(confirm, "u long, v long"), "links")
+    owned = named.join(classes, "digest").select("doc_id", "rep")
+    several = owned.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    same = owned.join(several.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    links, links_at = stored(alone.union(two).mapInArrow(confirm, "u long, v long").union(same), "links")
     joined, _ = components(links)
     discard(spark, members_at, labels_at, packs_at, links_at)
     found = table.join(classes, "digest", "left").join(joined, F.col("rep") == F.col("node"), "left")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ship, stored, utf8
+from foliant.llm.common import lean, ship, sliced, stored, utf8
 
 RATE, UNIT = 8000, 64
 #: Samples in a packet: half a second. Segments in a page at most, by the format.
@@ -139,13 +139,18 @@ def features(payload: bytes, streams: dict[int, Stream], dated: list[tuple[int,
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, media) in a stored table: each text's UTF-8 bytes, filled with 0 to a positive multiple of UNIT, as an Ogg file."""
+    """(doc_id, media) in a stored table: each text's UTF-8 bytes, filled with 0 to a positive multiple of UNIT, as an Ogg file.
+
+    A null text counts as empty, a null doc_id stays null; repeated rows are stored each; an empty table gives an empty one;
+    other columns are ignored."""
     ship(docs.sparkSession)
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            media = [encode(t + bytes(-len(t) % UNIT if t else UNIT), len(t)) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
+            for lo, texts in sliced(utf8(batch.column(1))):
+                media = [encode(t + bytes(-len(t) % UNIT if t else UNIT), len(t)) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(files, "doc_id long, media binary"), "ogg")[0]
 
@@ -155,6 +160,7 @@ def describe(media: DataFrame) -> DataFrame:
     ship(media.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             out = []
             for data in batch.column(1):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import offsets_of, ship
+from foliant.llm.common import lean, offsets_of, ship
 from foliant.llm.tokens import coder
 
 CAPACITY = 4096
@@ -60,12 +60,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """PIECES: where each run of each document's ids lies; docs (doc_id, text).
 
     A task tokenises its part of the scan and packs it window by window: nothing is shuffled, every id lies in one piece,
-    sequence_id is unique over the tasks. A null text is empty and holds its end id alone; a null doc_id stays null."""
+    sequence_id is unique over the tasks. A null text is empty and holds its end id alone; a null doc_id stays null; repeated
+    rows are packed each; of equal lengths the earlier in the scan goes first; an empty table gives no pieces; other columns
+    are ignored."""
     ship(docs.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        lean()
         code, n = coder(tokenizer), TaskContext.get().partitionId() << 40
         names, lengths, held = [], [], []
 

@@ -11,12 +11,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ship
+from foliant.llm.common import lean, ship
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("account", "userinfo")
@@ -141,13 +140,15 @@ def redact(text: str, found: dict[str, list[tuple[int, int]]]) -> str:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base kinds, base_sha256, spans, and the redacted text, for each row of docs (doc_id, text).
 
-    A null text is empty and stays null when redacted; other columns are ignored; repeated rows are reported each."""
+    A null text is empty and stays null when redacted; a null doc_id stays null; other columns are ignored; repeated rows are
+    reported each; an empty table gives an empty one."""
     ship(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in (x.as_py() for x in batch.column(1)):
                 found = find_spans(text or "")
                 base = described(found, BASE)
                 rows.append((*(len(found[k]) for k in BASE), hashlib.sha256(base.encode()).hexdigest(), described(found, (*BASE, *ADDED)), redact(text, found) if text else text))
@@ -160,12 +161,16 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
-    """docs with its text redacted, and n_chars, where there is such a column, its new length."""
+    """docs, all its columns, with its text redacted, and n_chars, where there is such a column, its new length.
+
+    A null text stays null, an empty one empty; repeated rows are redacted each; an empty table stays empty."""
     ship(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redact(t, find_spans(t)) if t else t)
+    @F.arrow_udf("string")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean()
+        for some in texts:
+            yield pa.array([redact(t, find_spans(t)) if t else t for t in (x.as_py() for x in some)], pa.string())
 
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -11,18 +11,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import offsets_of, ship, utf8
+from foliant.llm.common import discard, lean, offsets_of, ship, sliced, stored, utf8
 
 WIDTH, FILTERS, EMBED, HIDDEN = 4, 16, 8, 16
 HOP = 128
 CHUNK = 2 * HOP
-#: The fit's bound: so many labelled rows at most, by a hash of doc_id; of a longer text FIT_BYTES, in even windows over all of it.
-FIT_ROWS, FIT_BYTES, EPOCHS, STEP_DOCS = 1500, 4096, 14, 50
+#: The fit's bounds: labelled rows at most, by a hash of doc_id, and bytes of their whole texts together.
+FIT_ROWS, FIT_BYTES, EPOCHS, STEP_DOCS = 1500, 64 << 20, 14, 50
 #: Bytes that are convolved together.
 SLICE = 1 << 16
 THRESHOLD = 0.3
@@ -74,8 +73,10 @@ class ByteNet:
         h = np.tanh(x @ self.w["d"] + self.w["db"])
         return h, 1 / (1 + np.exp(-np.clip(h @ self.w["o"] + self.w["ob"][0], -30, 30)))
 
-    def hop_maxima(self, data: np.ndarray, first: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    def hop_maxima(self, data: np.ndarray, first: np.ndarray, tables: list[np.ndarray], places: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's greatest response in each hop, and its place there if asked for; a slice of the bytes at a time."""
         out = np.empty((len(data) // HOP, FILTERS), dtype=np.float32)
+        best = np.empty((len(data) // HOP, FILTERS), dtype=np.uint8)
         wide, tail = np.concatenate([data, np.zeros(WIDTH, np.uint8)]), tails(first)
         for lo in range(0, len(data), SLICE):
             n = min(SLICE, len(data) - lo)
@@ -86,14 +87,18 @@ class ByteNet:
                 total += tables[k][pair[2 * k : 2 * k + n]]
             a, b = np.searchsorted(tail, [lo, lo + n])
             total[tail[a:b] - lo] = -np.inf
-            out[lo // HOP : (lo + n) // HOP] = total.reshape(-1, HOP, FILTERS).max(axis=1)
-        return np.maximum(out, 0)
+            hops = total.reshape(-1, HOP, FILTERS)
+            rows = slice(lo // HOP, (lo + n) // HOP)
+            if places:
+                best[rows] = hops.argmax(axis=1)
+            out[rows] = hops.max(axis=1)
+        return out, best
 
     def score(self, texts: list[bytes], tables: list[np.ndarray] | None = None) -> np.ndarray:
         if self.prior is not None:
             return np.full(len(texts), self.prior)
         data, first = blocks_of(texts)
-        return np.round(self._head(combined(*pooled(self.hop_maxima(data, first, tables or self.tables()), first)))[1].astype(np.float64), 6)
+        return np.round(self._head(combined(*pooled(np.maximum(self.hop_maxima(data, first, tables or self.tables())[0], 0), first)))[1].astype(np.float64), 6)
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> None:
         """Adam on log loss, classes weighted half by their inverse share. One class or no rows: the share of label 1 (0.5 without rows) for every text."""
@@ -118,15 +123,8 @@ class ByteNet:
 
     def _gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         data, first = blocks_of(texts)
-        tables = self.tables()
         wide = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
-        x = wide.astype(np.uint16)
-        pair = (x[:-1] << np.uint16(8)) | x[1:]
-        total = sum(t[pair[2 * k : 2 * k + len(data)]] for k, t in enumerate(tables))
-        total[tails(first)] = -np.inf
-        total = total.reshape(-1, HOP, FILTERS)
-        best = total.argmax(axis=1)
-        hop_max = np.take_along_axis(total, best[:, None, :], 1)[:, 0]
+        hop_max, best = self.hop_maxima(data, first, self.tables(), places=True)
         active = np.maximum(hop_max, 0)
         chunk, at = pooled(active, first)
         feats = combined(chunk, at)
@@ -163,66 +161,68 @@ class ByteNet:
         return g
 
 
-def fit_window(text: bytes, limit: int = FIT_BYTES) -> bytes:
-    """text, or of a longer one as many bytes in 8 even windows over all of it."""
-    if len(text) <= limit:
-        return text
-    size = limit // 8
-    return b"".join(text[i * (len(text) - size) // 7 : i * (len(text) - size) // 7 + size] for i in range(8))
-
-
-def held_out(doc_id: str | int | None) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 5 == 0
-
-
 def fold(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ByteNet:
-    """A network fitted to at most rows labelled documents, none of the held-out fold. A doc_id with several labels counts by its least."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> ByteNet:
+    """A network fitted to the whole texts of at most rows labelled documents, none of the held-out fold.
+
+    Rows are taken in the order of a hash of doc_id until their texts would be more than max_bytes together. A doc_id with
+    several labels or texts counts by the least; labels without doc_id or quality, and those of no document, don't count; a null text
+    is empty. Without labels every text scores 0.5, with labels of one class their value."""
     known = labels.where("doc_id is not null and quality is not null").where(fold() != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
     quality = {r.doc_id: int(r.quality) for r in some}
-    near = F.when(F.length("text") <= 16 * FIT_BYTES, F.col("text")).otherwise(F.concat(*[F.expr(f"substring(text, cast({i} * (length(text) - {FIT_BYTES // 8}) / 7 as int) + 1, {FIT_BYTES // 8})") for i in range(8)]))
-    found = docs.where(F.col("doc_id").isin(list(quality))).select("doc_id", near.alias("text")).collect() if quality else []
+    labelled, path = stored(docs.where(F.col("doc_id").isin(list(quality))).groupBy("doc_id").agg(F.min("text").alias("text")), "labelled")
+    order, total, chosen = {r.doc_id: i for i, r in enumerate(some)}, 0, []
+    for r in sorted(labelled.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect(), key=lambda r: (order[r.doc_id], r.size)):
+        total += r.size
+        if total <= max_bytes:
+            chosen.append(r.doc_id)
+    found = labelled.where(F.col("doc_id").isin(chosen)).collect()
+    discard(docs.sparkSession, path)
     found.sort(key=lambda r: (r.doc_id, r.text or ""))
     net = ByteNet()
     # about as many steps for a few rows as for all
     epochs = min(4 * EPOCHS, EPOCHS * FIT_ROWS // max(1, len(found)))
-    net.fit([fit_window((r.text or "").encode()) for r in found], np.array([quality[r.doc_id] for r in found], dtype=np.int64), epochs)
+    net.fit([(r.text or "").encode() for r in found], np.array([quality[r.doc_id] for r in found], dtype=np.int64), epochs)
     return net
 
 
+def scores(net: ByteNet, column: pa.Array, tables: list[np.ndarray]) -> np.ndarray:
+    """The score of each text of a column, about a megabyte of them at a time; a null text counts as empty."""
+    return np.concatenate([np.zeros(0), *(net.score(texts, tables) for _, texts in sliced(utf8(column)))])
+
+
 def score(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs (doc_id, text): the whole text; a null text counts as empty."""
+    """doc_id, held_out, score, predicted for each row of docs (doc_id, text): the whole text; a null text counts as empty.
+
+    Equal texts have equal scores, whatever stands next to them. A row without doc_id isn't held out; repeated rows are
+    scored each, an empty table gives an empty one, other columns are ignored."""
     ship(docs.sparkSession)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         tables = net.tables()
         for batch in batches:
-            texts, out, at = utf8(batch.column(1)), [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 22):
-                    size += len(texts[end])
-                    end += 1
-                out.append(net.score(texts[at:end], tables))
-                at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else [], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(net, batch.column(1), tables), pa.float64())], names=["doc_id", "score"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
     return found.select("doc_id", (F.coalesce(fold(), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """The rows of docs, with all their columns, whose text the network predicts as 1."""
+    """The rows of docs, with all their columns whatever their names, whose text the network predicts as 1.
+
+    As in score: a null text counts as empty, repeated rows are judged each and alike, an empty table stays empty."""
     ship(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def probability(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def probability(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean()
         tables = net.tables()
         for some in texts:
-            yield pd.Series(net.score([(t or "").encode() for t in some], tables) if len(some) else [], dtype="float64")
+            yield pa.array(scores(net, some, tables), pa.float64())
 
-    return docs.where(probability(F.coalesce("text", F.lit(""))) >= THRESHOLD)
+    return docs.where(probability(F.coalesce(docs["text"], F.lit(""))) >= THRESHOLD)

@@ -43,15 +43,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.transform("copies", lambda c: c["shard"].cast("string")), ",").alias("shards"))
 
 
-def op8_line_dedup(spark: SparkSession, sf_dir: str, least_words: int = linededup.LEAST_WORDS) -> DataFrame:
-    found = linededup.drop_repeats(table(spark, sf_dir, "documents"), least_words=least_words)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.drop_repeats(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    return found.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), F.md5(F.coalesce("kept_text", F.lit("")).cast("binary")).alias("kept_md5"))
-
-
-def op8_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_line_dedup without its exemption: a repeated line goes whatever its length; lines without a word stay."""
-    return op8_line_dedup(spark, sf_dir, 1)
+    return found.select("doc_id", "n_units", "n_removed", spans.alias("removed"), "kept_text")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality, op2_shards, op3_near_duplicates, op4_pii, op5_token_files, op6_ogg, op7_mixing, op8_line_dedup, op8_all_lines, op9_top_k, op10_packing)
+    ops = (op1_quality, op2_shards, op3_near_duplicates, op4_pii, op5_token_files, op6_ogg, op7_mixing, op8_line_dedup, op9_top_k, op10_packing)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 

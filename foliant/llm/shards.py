@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import stored
+from foliant.llm.common import discard, stored
 
 #: Steps into which a dimension's range in a node, and the tie order within a step, are cut when a median is sought.
 STEPS = 1 << 16
@@ -27,56 +27,61 @@ def metadata(docs: DataFrame) -> DataFrame:
 
 def _nodes(spark: SparkSession, nodes: list[dict]) -> DataFrame:
     """A row for each node that is split: at most as many as there are shards."""
-    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(nodes)), "array<struct<first:int,shards:int,dim:int,low:double,high:double,step:int,tie_step:int>>"))))
+    kind = "array<struct<first:int,shards:int,dim:int,low:double,high:double,goal:double,step:int,tie_step:int>>"
+    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(nodes)), kind))))
 
 
-def _stepped(table: DataFrame, nodes: list[dict]) -> DataFrame:
+def _stepped(table: DataFrame, nodes: list[dict], how: str = "inner") -> DataFrame:
     """table with its node's row and the step of each row along the node's dimension."""
     value = F.element_at("dims", F.col("dim") + 1)
     step = F.when(F.col("high") > F.col("low"), F.least(F.floor((value - F.col("low")) / (F.col("high") - F.col("low")) * STEPS), F.lit(STEPS - 1)).cast("int")).otherwise(F.lit(0))
-    return table.join(_nodes(table.sparkSession, nodes), F.col("node") == F.col("first"), "left").withColumn("at", step)
+    return table.join(_nodes(table.sparkSession, nodes), F.col("node") == F.col("first"), how).withColumn("at", step)
 
 
-def _crossing(hist: DataFrame, goal: dict[int, float], base: dict[int, float]) -> dict[int, tuple[int, float, float]]:
+def _crossing(hist: DataFrame, nodes: list[dict]) -> dict[int, tuple[int, float, float]]:
     """For each node the bucket in which its cumulative weight passes the goal: (bucket, weight before, weight in it)."""
     w = Window.partitionBy("node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    to = F.coalesce(*[F.when(F.col("node") == n, F.lit(goal[n] - base[n])) for n in goal])
-    run = hist.select("node", "bucket", "weight", F.sum("weight").over(w).alias("run"))
-    first = run.where(F.col("run") > to).groupBy("node").agg(F.min(F.struct("bucket", "run", "weight")).alias("x"))
-    return {r.node: (r.x.bucket, base[r.node] + r.x.run - r.x.weight, float(r.x.weight)) for r in first.collect()}  # a row a node
+    run = hist.withColumn("run", F.sum("weight").over(w)).join(_nodes(hist.sparkSession, nodes).select("first", "goal"), F.col("node") == F.col("first"))
+    first = run.where(F.col("run") > F.col("goal")).groupBy("node").agg(F.min(F.struct("bucket", "run", "weight")).alias("x"))
+    return {r.node: (r.x.bucket, float(r.x.run - r.x.weight), float(r.x.weight)) for r in first.collect()}  # a row a node
 
 
 def kd_tree(table: DataFrame, shards: int) -> DataFrame:
     """table with node: its shard. Nodes are split in the proportion of their shards at weighted medians of their widest dimension, level by level.
 
-    A level reads the table three times and brings a row a node to the driver; histograms have STEPS rows a node at most."""
+    A level reads the table three times, writes it once with its new nodes, so that plans don't grow with the tree, and brings
+    a row a node to the driver; histograms have STEPS rows a node at most."""
+    spark = table.sparkSession
     low, high = table.agg(F.min(F.col("dims")[3]), F.max(F.col("dims")[3])).first()
     span = [1.0, 1.0, 1.0, (high - low) if low is not None and high > low else 1.0]  # doc_id's range is a share of the table's
-    table = table.withColumn("node", F.lit(0))
+    table, columns, path = table.withColumn("node", F.lit(0)), table.columns, None
     level = {0: shards} if shards > 1 else {}
     while level:
         edges = [f(F.col("dims")[d]).alias(f"{name}{d}") for d in range(DIMENSIONS) for name, f in (("low", F.min), ("high", F.max))]
-        ranges = {r.node: r for r in table.where(F.col("node").isin(list(level))).groupBy("node").agg(F.sum("size").alias("weight"), *edges).collect()}
-        nodes, goal = {}, {}
-        for n, r in ranges.items():
-            dim = max(range(DIMENSIONS), key=lambda d: ((r[f"high{d}"] - r[f"low{d}"]) / span[d], -d))
-            nodes[n] = {"first": n, "shards": level[n], "dim": dim, "low": r[f"low{dim}"], "high": r[f"high{dim}"]}
-            goal[n] = r.weight * (level[n] // 2) / level[n]
+        nodes = []
+        for r in table.groupBy("node").agg(F.sum("size").alias("weight"), *edges).collect():  # a row a node
+            if n := level.get(r.node):
+                dim = max(range(DIMENSIONS), key=lambda d: ((r[f"high{d}"] - r[f"low{d}"]) / span[d], -d))
+                nodes.append({"first": r.node, "shards": n, "dim": dim, "low": r[f"low{dim}"], "high": r[f"high{dim}"], "goal": r.weight * (n // 2) / n})
         if not nodes:  # an empty table
             break
-        steps = _stepped(table, list(nodes.values())).where("first is not null").groupBy("node", F.col("at").alias("bucket")).agg(F.sum("size").alias("weight"))
-        found = _crossing(steps, goal, dict.fromkeys(goal, 0.0))
-        for n, x in found.items():
-            nodes[n]["step"] = x[0]
-        inside = _stepped(table, list(nodes.values())).where("at = step").groupBy("node", F.col("tie").alias("bucket")).agg(F.sum("size").alias("weight"))
-        level = {}
-        for n, (tie, before, weight) in _crossing(inside, goal, {k: v[1] for k, v in found.items()}).items():
-            nodes[n]["tie_step"] = tie if goal[n] - before < weight / 2 else tie + 1
-            half = nodes[n]["shards"] // 2
-            level |= {m: k for m, k in ((n, half), (n + half, nodes[n]["shards"] - half)) if k > 1}
-        columns = [c for c in table.columns if c != "node"]
+        steps = _stepped(table, nodes).groupBy("node", F.col("at").alias("bucket")).agg(F.sum("size").alias("weight"))
+        found = _crossing(steps, nodes)
+        for x in nodes:
+            x["step"], before, _ = found[x["first"]]
+            x["goal"] -= before  # what the step itself must bring
+        inside = _stepped(table, nodes).where("at = step").groupBy("node", F.col("tie").alias("bucket")).agg(F.sum("size").alias("weight"))
+        ties, level = _crossing(inside, nodes), {}
+        for x in nodes:
+            tie, before, weight = ties[x["first"]]
+            x["tie_step"] = tie if x["goal"] - before < weight / 2 else tie + 1
+            half = x["shards"] // 2
+            level |= {m: k for m, k in ((x["first"], half), (x["first"] + half, x["shards"] - half)) if k > 1}
         right = F.col("first").isNotNull() & ((F.col("at") > F.col("step")) | ((F.col("at") == F.col("step")) & (F.col("tie") >= F.col("tie_step"))))
-        table = _stepped(table, list(nodes.values())).select(*columns, F.when(right, F.col("node") + F.floor(F.col("shards") / 2).cast("int")).otherwise(F.col("node")).alias("node"))
+        split = _stepped(table, nodes, "left").select(*columns, F.when(right, F.col("node") + F.floor(F.col("shards") / 2).cast("int")).otherwise(F.col("node")).alias("node"))
+        (table, at), old = stored(split, "shard-level"), path
+        path = at
+        discard(spark, *([old] if old else []))
     return table
 
 

@@ -12,13 +12,13 @@ WORDS = 5
 #: A-Z to a-z, and the blanks 09-0D to a space; every other byte stays.
 FOLD = bytes(32 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size, made = max(n, _SLICE + 4096), []
         for x in (_BASE, _INVERSE):
@@ -38,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of each word of folded bytes."""
     starts, hashes = [], []
     for lo, hi in cuts(data, _SLICE):
@@ -46,7 +46,7 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         edge = np.diff((a != 32).astype(np.int8), prepend=0, append=0)
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if len(s):
-            up, down = _power_tables(len(a))
+            up, down = power_tables(len(a))
             total = np.zeros(len(a) + 1, dtype=np.uint64)
             np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
             starts.append(s + lo)
@@ -62,7 +62,7 @@ _SPREAD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE703
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its five-word shingles; of a shorter text, its whole word sequence as one."""
     at = offsets_of([len(t) + 1 for t in texts])
-    start, word = _word_hashes(b" ".join(texts).translate(FOLD))
+    start, word = word_hashes(b" ".join(texts).translate(FOLD))
     first = np.searchsorted(start, at)
     n = len(word) - WORDS + 1
     every = np.zeros(max(n, 0), dtype=np.uint64)

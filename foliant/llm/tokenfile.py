@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import pfor
-from foliant.llm.common import offsets_of, ship, stored
+from foliant.llm.common import lean, offsets_of, ship, stored
 from foliant.llm.tokens import coder
 
 #: A file is closed at so many ids; a longer document fills a file of its own.
@@ -22,12 +22,14 @@ FILES = "part int, file int, ids_before long, n_docs long, n_ids long, payload b
 def write_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """docs (doc_id, text) as a stored table of files in ascending doc_id order (part, file), nulls first.
 
-    part is the range partition: its files hold all documents between two bounds. Null texts count as empty."""
+    part is the range partition: its files hold all documents between two bounds. Null texts count as empty; rows that
+    repeat a doc_id are written each, by a hash of the text; an empty table gives no files; other columns are ignored."""
     ship(docs.sparkSession)
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        lean()
         part, n, before = TaskContext.get().partitionId(), 0, 0
         names: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -67,10 +69,11 @@ def write_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone; no files, no rows."""
     ship(files.sparkSession)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part, before, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 doc, many, ids = pfor.read(payload.as_py())

@@ -12,8 +12,9 @@ import pyarrow.compute as pc
 from foliant.llm.common import cuts, offsets_of, utf8
 
 END = 2
-#: Distinct words that a worker remembers, and bytes of text that it looks at together.
-KNOWN_WORDS, SLICE = 500_000, 4 << 20
+#: Bytes of words and ids that a worker remembers, and bytes of text that it looks at together: a task's memory is a few
+#: times their sum, whatever the words.
+KNOWN_BYTES, SLICE = 16 << 20, 1 << 21
 #: Words that the tokenizer gets in one call: its time for a word grows with the length of a call.
 CALL_WORDS = 500
 
@@ -33,48 +34,61 @@ def coder(path: str | None = None) -> WordCoder:
     return _coders[path]
 
 
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places first[0], first[0] + 1, ... (n[0] of them), first[1], ..."""
+    total = offsets_of(n)
+    return np.repeat((first - total[:-1]).astype(np.int32), n) + np.arange(total[-1], dtype=np.int32)
+
+
 class WordCoder:
+    """A tokenizer with a memory of words: an Arrow array of them, where each one's ids begin, and the ids."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.first, self.count = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
-        self.pool, self.used = np.zeros(1 << 14, dtype=np.uint32), 0
+        self.known = pa.array([], pa.string())
+        self.begin, self.pool = np.zeros(1, dtype=np.int32), np.zeros(0, dtype=np.uint32)
 
-    @staticmethod
-    def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), dtype=a.dtype)])
+    def remembered(self) -> int:
+        """Bytes of the memory."""
+        return self.known.nbytes + self.begin.nbytes + self.pool.nbytes
 
-    def _learn(self, words: list[str]) -> None:
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all words in a row, and their number for each word."""
+        ids, counts = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
         for lo in range(0, len(words), CALL_WORDS):
             some = words[lo : lo + CALL_WORDS]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             begin = offsets_of([len(w) + 1 for w in some])
             place = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(got.ids))
-            edges = np.searchsorted(place, begin)
-            n, k = len(self.known), len(some)
-            self.pool = self._room(self.pool, self.used + len(got.ids))
-            self.pool[self.used : self.used + len(got.ids)] = got.ids
-            self.first, self.count = self._room(self.first, n + k), self._room(self.count, n + k)
-            self.first[n : n + k] = self.used + edges[:-1]
-            self.count[n : n + k] = np.diff(edges)
-            self.used += len(got.ids)
-            self.known.update(zip(some, range(n, n + k)))
-
-    def _slots(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
-        """Where each word's ids are, and the words that were encoded for now only, as the memory is full."""
-        get = self.known.get
-        slots = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        new = np.flatnonzero(slots < 0)
-        fresh = [words[i] for i in new]
-        at = len(self.known)
-        self._learn(fresh)
-        slots[new] = np.arange(at, at + len(new))
-        return slots, fresh[max(0, KNOWN_WORDS - at) :]
+            ids.append(np.array(got.ids, dtype=np.uint32))
+            counts.append(np.diff(np.searchsorted(place, begin)))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _remember(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        """As many of the words, in their order, as there is room for."""
+        ends = np.cumsum(counts)
+        size = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False)) + 4 * ends + 8 * np.arange(1, len(words) + 1)
+        n = int(np.searchsorted(size, KNOWN_BYTES - self.remembered(), side="right"))
+        if n:
+            self.known = pa.concat_arrays([self.known, words[:n]])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + ends[:n].astype(np.int32)])
+            self.pool = np.concatenate([self.pool, ids[: ends[n - 1]]])
+
+    def _of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of distinct words, where each word's begin, and their number for each."""
+        slots = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        old, new = np.flatnonzero(slots >= 0), np.flatnonzero(slots < 0)
+        fresh = words.take(pa.array(new))
+        ids, counts = self._encoded(fresh.to_pylist())
+        first, n = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        n[new], n[old] = counts, self.begin[slots[old] + 1] - self.begin[slots[old]]
+        there = self.pool[_runs(self.begin[slots[old]], n[old])]
+        first[old], first[new] = offsets_of(n[old])[:-1], len(there) + offsets_of(counts)[:-1]
+        if len(new):
+            self._remember(fresh, ids, counts)
+        return np.concatenate([there, ids]), first, n
 
     def _slice(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of the texts that end at the given places of data, and their number for each text."""
@@ -85,16 +99,10 @@ class WordCoder:
             texts = pc.replace_substring_regex(texts, r"([a-z])([.,])", r"\1 \2")
         split = pc.split_pattern(texts, " ")
         words = split.flatten().dictionary_encode()
-        slots, passing = self._slots(words.dictionary.to_pylist())
-        slots = slots[words.indices.to_numpy(zero_copy_only=False)]
-        n = self.count[slots]
-        total = offsets_of(n)
-        ids = self.pool[np.repeat(self.first[slots] - total[:-1], n) + np.arange(total[-1])]
-        if passing:
-            for w in passing:
-                del self.known[w]
-            self.used = int(self.first[len(self.known)])
-        return ids, np.diff(total[split.offsets.to_numpy()])
+        ids, first, n = self._of(words.dictionary)
+        place = words.indices.to_numpy(zero_copy_only=False)
+        n = n[place]
+        return ids[_runs(first[place], n)], np.diff(offsets_of(n)[split.offsets.to_numpy()])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of a text column in a row, and their number for each text; null is empty."""
