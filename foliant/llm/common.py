@@ -18,6 +18,9 @@ PACKAGE = Path(__file__).resolve().parents[1]
 #: Rows in an Arrow batch handed to Python workers: bounds a worker's memory for texts of tens of kilobytes.
 ARROW_ROWS = 1000
 
+#: Input in a partition when small ones are read together; larger ones stay as they are.
+PART_BYTES = 16 << 20
+
 _shipped: set[str] = set()
 _local_root: list[str] = []
 
@@ -49,10 +52,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/foliant/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+def partitions_for(df: DataFrame) -> int:
+    """As many partitions as the size of df's input asks for, by the optimizer's estimate, at least two for each core."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)), 1 << 30)  # an unknown size counts as very large
+
+
+def compact(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """df with small partitions read together: no more of them than like (or df) asks for, so that tasks, workers and files don't multiply."""
+    return df.coalesce(partitions_for(df if like is None else like))
+
+
+def stored(df: DataFrame, label: str, most: int | None = None) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder, in at most so many files, and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    df = df if most is None else df.coalesce(most)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

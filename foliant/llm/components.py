@@ -18,16 +18,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> tuple[DataFrame, str]:
+def components(edges: DataFrame, parts: int | None = None) -> tuple[DataFrame, str]:
     """(node, component): the least node reachable, for every node of an edge (u, v); self-loops and directions don't matter.
 
-    Every round is written to the shared folder; rounds grow with the logarithm of the longest path."""
+    Every round is written to the shared folder; in at most parts files; rounds grow with the logarithm of the longest path."""
     spark = edges.sparkSession
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, path = stored(e, "edges")
+    e, path = stored(e, "edges", parts)
     mark = None
     while True:
-        nxt, to = stored(_star(_star(e, True), False), "edges")
+        nxt, to = stored(_star(_star(e, True), False), "edges", parts)
         discard(spark, path)
         e, path = nxt, to
         row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

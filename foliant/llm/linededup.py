@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, lean, offsets_of, ship, sliced, stored, utf8
+from foliant.llm.common import compact, discard, lean, offsets_of, partitions_for, ship, sliced, stored, utf8
 from foliant.llm.shingles import FOLD, mix, power_tables, word_hashes
 
 #: Words that a run of repeated units needs: a passage of over 50 words may lose its first and last sentence to its neighbours.
@@ -104,18 +104,18 @@ def digests(docs: DataFrame, unit: str) -> DataFrame:
     return docs.mapInArrow(rows, "doc long, digest long")
 
 
-def repeated(table: DataFrame) -> DataFrame:
+def repeated(table: DataFrame, parts: int) -> DataFrame:
     """doc, digests: of each document those that an earlier one has; table (doc, digest), each pair once for each row of docs.
 
     A digest that holds a large share of all rows is joined by broadcast, so no task gets all of it."""
     most = table.count() // HOT
     often = table.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first <> last")
-    often, path = stored(often, "repeats")
+    often, path = stored(often, "repeats", parts)
     hot = F.broadcast(often.where(F.col("n") > most).select("digest", "first"))  # at most HOT rows
     rare = often.where(F.col("n") <= most).select("digest", "first")
     both = table.join(hot, "digest").union(table.join(hot.select("digest"), "digest", "left_anti").join(rare, "digest"))
     found = both.where("doc > first").groupBy("doc").agg(F.collect_set("digest").alias("digests"))
-    found, _ = stored(found, "repeats-by-document")
+    found, _ = stored(found, "repeats-by-document", parts)
     discard(table.sparkSession, path)
     return found
 
@@ -132,9 +132,9 @@ def drop_repeats(docs: DataFrame, unit: str = "sentence", run_words: int = RUN_W
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    keyed = docs.select(_document(F.col("doc_id")).alias("doc"), "doc_id", "text")
-    table, path = stored(digests(keyed.select("doc", "text"), unit), "digests")
-    found = repeated(table)
+    keyed, parts = docs.select(_document(F.col("doc_id")).alias("doc"), "doc_id", "text"), partitions_for(docs)
+    table, path = stored(digests(compact(keyed.select("doc", "text")), unit), "digests")
+    found = repeated(table, parts)
     discard(spark, path)
 
     def dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,4 +167,4 @@ def drop_repeats(docs: DataFrame, unit: str = "sentence", run_words: int = RUN_W
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), *(pa.array(c, pa.int64()) for c in counts), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), text], names="doc_id n_units n_removed removed kept_text".split())
 
     joined = keyed.join(found, "doc", "left").select("doc_id", "text", "digests")
-    return joined.mapInArrow(dropped, "doc_id long, n_units long, n_removed long, removed array<struct<start:long,stop:long>>, kept_text string")
+    return joined.coalesce(parts).mapInArrow(dropped, "doc_id long, n_units long, n_removed long, removed array<struct<start:long,stop:long>>, kept_text string")

@@ -13,13 +13,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import stored
+from foliant.llm.common import compact, partitions_for, stored
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 SHARDS, SEED = 16, 20
 #: Words that a partition of the written mix holds, about.
-PART_WORDS = 8 << 20
+PART_WORDS = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -73,8 +73,8 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     words and is never taken; a tie of keys (rows equal in doc_id and text) doesn't change what is taken of them together.
     The order within a shard is the one of xxhash64(shard, key)."""
     spark = docs.sparkSession
-    table, _ = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"), key().alias("key")), "mix-metadata")
-    targets, _ = stored(source_targets(table.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
+    table, _ = stored(compact(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"), key().alias("key")), "mix-metadata")
+    targets, _ = stored(source_targets(table.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets", 1)
     quota = F.floor(F.col("target") + 0.5).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rated = targets.select("*", F.greatest(F.ceil(F.sqrt("source_size")), F.lit(1)).alias("slots"), whole.alias("passes"), (quota - whole * F.col("source_size")).alias("rest"))
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     run = permuted.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = blocks.select("number", "block", "weight", "rest", "passes", (F.row_number().over(permuted) - 1).alias("turn"), (F.sum("weight").over(run) - F.col("weight")).alias("before"))
     blocks = blocks.withColumn("drawn", F.greatest(F.lit(0), F.least("weight", F.col("rest") - F.col("before"))))
-    blocks, _ = stored(blocks.select("number", "block", "turn", "weight", "drawn", "passes"), "mix-blocks")
+    blocks, _ = stored(blocks.select("number", "block", "turn", "weight", "drawn", "passes"), "mix-blocks", partitions_for(docs))
     quotas = blocks.groupBy("number").agg(F.count("*").alias("all"), F.count_if(F.col("drawn") > 0).alias("some"), F.first("passes").alias("passes")).orderBy("number").collect()  # a row a source
     dealt = split_quotas([r["all"] * r["passes"] + r["some"] for r in quotas], shards)
     listed = json.dumps([{"number": r["number"], "all": r["all"], "upto": np.cumsum(d).tolist()} for r, d in zip(quotas, dealt)])
@@ -111,7 +111,7 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, shard_column: str | N
     taken; an empty table gives an empty one. Columns of docs may have any names; the shard's number is added under
     shard_column, if one is given."""
     plan = mix(docs, shards).where("taken > 0").select(F.col("doc_id").alias("plan_id"), F.col("key").alias("plan_key"), "size", "taken", "copies").dropDuplicates(["plan_id", "plan_key"])
-    plan, _ = stored(plan, "mix-plan")
+    plan, _ = stored(plan, "mix-plan", partitions_for(docs))
     parts = max(1, -(-(plan.agg(F.sum("taken")).first()[0] or 0) // (shards * PART_WORDS)))
     column = lambda c: docs[f"`{c}`"]
     rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["text"].alias("words"), key().alias("key"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, lean, ship, sliced, stored, utf8
+from foliant.llm.common import compact, discard, lean, partitions_for, ship, sliced, stored, utf8
 from foliant.llm.components import components
 from foliant.llm.shingles import SetSketch, shingle_sets, word_digest
 
@@ -165,21 +165,22 @@ def near_duplicates(docs: DataFrame, label_rounds: int = 3) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
-    table, _ = stored(docs.mapInArrow(sketches, SKETCHES), "sketches")
+    parts = partitions_for(docs)
+    table, _ = stored(compact(docs).mapInArrow(sketches, SKETCHES), "sketches")
     named = table.where("doc_id is not null and digest is not null")
-    classes, _ = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes, _ = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes", parts)
     reps = named.join(classes, [named.digest == classes.digest, named.doc_id == classes.rep], "left_semi").dropDuplicates(["doc_id", "digest"])
     # a doc_id of several texts stands for several classes of that number: the link is by number anyway
     banded = reps.select(F.col("doc_id").alias("rep"), F.explode(F.array(*band_keys(F.col("registers")))).alias("band"))
     buckets = banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
-    members, members_at = stored(banded.join(buckets, "band").select("band", "rep", "least"), "members")
+    members, members_at = stored(banded.join(buckets, "band").select("band", "rep", "least"), "members", parts)
     labels, old = members.groupBy("rep").agg(F.min("least").alias("label")), []
     for _ in range(label_rounds - 1):
-        labels, at = stored(labels, "labels")
+        labels, at = stored(labels, "labels", parts)
         old.append(at)
         low = members.join(labels, "rep").groupBy("band").agg(F.min("label").alias("low"))
         labels = members.join(low, "band").groupBy("rep").agg(F.min("low").alias("label"))
-    labels, labels_at = stored(labels, "labels")
+    labels, labels_at = stored(labels, "labels", parts)
     discard(spark, *old)
     chosen = reps.select("doc_id", "mark", "n_shingles", "registers").join(labels, F.col("doc_id") == F.col("rep"))
     wanted = docs.join(chosen, ["doc_id", "mark"])
@@ -197,8 +198,8 @@ def near_duplicates(docs: DataFrame, label_rounds: int = 3) -> DataFrame:
     owned = named.join(classes, "digest").select("doc_id", "rep")
     several = owned.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     same = owned.join(several.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links, links_at = stored(alone.union(two).mapInArrow(confirm, "u long, v long").union(same), "links")
-    joined, _ = components(links)
+    links, links_at = stored(alone.union(two).mapInArrow(confirm, "u long, v long").union(same), "links", parts)
+    joined, _ = components(links, parts)
     discard(spark, members_at, labels_at, packs_at, links_at)
     found = table.join(classes, "digest", "left").join(joined, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import lean, ship, sliced, stored, utf8
+from foliant.llm.common import compact, lean, ship, sliced, stored, utf8
 
 RATE, UNIT = 8000, 64
 #: Samples in a packet: half a second. Segments in a page at most, by the format.
@@ -152,7 +152,7 @@ def store(docs: DataFrame) -> DataFrame:
                 media = [encode(t + bytes(-len(t) % UNIT if t else UNIT), len(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(files, "doc_id long, media binary"), "ogg")[0]
+    return stored(compact(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(files, "doc_id long, media binary"), "ogg")[0]
 
 
 def describe(media: DataFrame) -> DataFrame:
@@ -172,4 +172,4 @@ def describe(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names="doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature".split())
 
-    return media.mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return compact(media).mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import lean, offsets_of, ship
+from foliant.llm.common import compact, lean, offsets_of, ship
 from foliant.llm.tokens import coder
 
 CAPACITY = 4096
@@ -105,4 +105,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         if names:
             yield window()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
+    return compact(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(pieces, PIECES)

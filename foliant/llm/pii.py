@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import lean, ship
+from foliant.llm.common import compact, lean, ship
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("account", "userinfo")
@@ -157,7 +157,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[*"doc_id n_email n_ip n_card n_phone base_sha256 spans redacted".split()])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, schema)
+    return compact(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(scan, schema)
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
@@ -172,5 +172,5 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
         for some in texts:
             yield pa.array([redact(t, find_spans(t)) if t else t for t in (x.as_py() for x in some)], pa.string())
 
-    out = docs.withColumn("text", clean("text"))
+    out = compact(docs).withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, lean, offsets_of, ship, sliced, stored, utf8
+from foliant.llm.common import compact, discard, lean, offsets_of, ship, sliced, stored, utf8
 
 WIDTH, FILTERS, EMBED, HIDDEN = 4, 16, 8, 16
 HOP = 128
@@ -208,7 +208,7 @@ def score(docs: DataFrame, net: ByteNet) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(net, batch.column(1), tables), pa.float64())], names=["doc_id", "score"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
+    found = compact(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(scored, "doc_id long, score double")
     return found.select("doc_id", (F.coalesce(fold(), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -225,4 +225,4 @@ def keep(docs: DataFrame, net: ByteNet) -> DataFrame:
         for some in texts:
             yield pa.array(scores(net, some, tables), pa.float64())
 
-    return docs.where(probability(F.coalesce(docs["text"], F.lit(""))) >= THRESHOLD)
+    return compact(docs).where(probability(F.coalesce("text", F.lit(""))) >= THRESHOLD)

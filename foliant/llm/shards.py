@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, stored
+from foliant.llm.common import compact, discard, stored
 
 #: Steps into which a dimension's range in a node, and the tie order within a step, are cut when a median is sought.
 STEPS = 1 << 16
@@ -91,7 +91,7 @@ def kd_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     Any column may be null; an empty or null text weighs 8 bytes; equal rows are told apart by their place in the scan, so
     a source, language or text that holds most of the table is cut like any other range. slot counts from 0 in each shard:
     by partition of the scan, then by place. Other columns are ignored."""
-    table, _ = stored(metadata(docs), "shard-metadata")
+    table, _ = stored(metadata(compact(docs)), "shard-metadata")
     placed = kd_tree(table, shards).select("doc_id", "size", "text_crc32", "uid", F.shiftright("uid", 33).alias("part"), F.col("node").alias("shard"))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import pfor
-from foliant.llm.common import lean, offsets_of, ship, stored
+from foliant.llm.common import compact, lean, offsets_of, ship, stored
 from foliant.llm.tokens import coder
 
 #: A file is closed at so many ids; a longer document fills a file of its own.
@@ -62,7 +62,7 @@ def write_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         if names:
             yield row()
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = compact(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     mark = F.xxhash64("text")  # so that rows that repeat a doc_id have an order
     ordered = chosen.repartitionByRange("doc_id", mark).sortWithinPartitions("doc_id", mark)
     return stored(ordered.mapInArrow(files, FILES), "token-files")[0]
