@@ -34,6 +34,40 @@ COMMON_PT = ["de", "da", "do", "que", "e", "um", "uma", "os", "as", "no", "na",
 COMMON_EN = ["the", "of", "and", "to", "a", "in", "that", "is", "it", "for", "you", "was", "on", "are", "with", "as", "be", "have", "this"]
 
 
+# Pieces of file names and the type that they settle, in order; "ata" only in short names.
+NAME_HINTS = [
+    ("edital", ["edital"]),
+    ("contrato", ["contrat", "contract"]),
+    ("nota_fiscal", ["nota_fiscal", "notafiscal", "danfe"]),
+    ("recibo", ["recibo"]),
+    ("procuração", ["procuracao", "procuração"]),
+    ("petição", ["peticao", "petição"]),
+    ("política", ["politica", "política", "privacidade"]),
+    ("relatório", ["relatorio", "relatório", "report"]),
+    ("registro", ["registro", "livro", "rjanrio", "hif"]),
+]
+ATA_NAME, NAME_CONFIDENCE = 30, 0.9
+
+
+def type_by_name(name: Column) -> Column:
+    """The type that a file's name settles; null if it settles none."""
+    n = F.lower(F.coalesce(name, F.lit("")))
+    hits = [F.when(F.greatest(*[n.contains(w) for w in [*words, words[0]]]), F.lit(t)) for t, words in NAME_HINTS]
+    return F.coalesce(*hits, F.when(n.contains("ata") & (F.length(n) < ATA_NAME), F.lit("ata")))
+
+
+def classified(name: Column, text: Column) -> Column:
+    """struct<label, confidence>: by the file's name, else by the text."""
+    by_name = type_by_name(name)
+    return F.when(by_name.isNotNull(), F.struct(by_name.alias("label"), F.lit(NAME_CONFIDENCE).alias("confidence"))).otherwise(document_type(text))
+
+
+def metadata_hint(title: Column, subject: Column, keywords: Column) -> Column:
+    """"title: ... | subject: ..." of what isn't blank."""
+    part = lambda k, c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(f"{k}: "), F.trim(c)))
+    return F.concat_ws(" | ", part("title", title), part("subject", subject), part("keywords", keywords))
+
+
 def document_type(text: Column) -> Column:
     """struct<label, confidence>: 2 for a word in the first 1500 characters, 1 for one in the rest of 8000; 15 is certain.
 

@@ -136,3 +136,15 @@ def shown_pdf_date(raw: Column) -> Column:
 def any_date(raw: Column) -> Column:
     """The first that parses: PDF date, ISO, day de month de year, day/month/year (two-digit years from 1950 to 2049)."""
     return F.coalesce(pdf_date(raw), parse_date(raw))
+
+
+def partial_iso(year: Column, month: Column | None = None, day: Column | None = None) -> Column:
+    """YYYY, YYYY-MM or YYYY-MM-DD, as far as the parts are given; a day without a month doesn't count."""
+    m, d = (F.lit(None).cast("int") if c is None else F.when(c != 0, c) for c in (month, day))
+    y = F.format_string("%04d", year)
+    return F.when(m.isNull(), y).when(d.isNull(), F.concat_ws("-", y, F.format_string("%02d", m))).otherwise(F.concat_ws("-", y, F.format_string("%02d", m), F.format_string("%02d", d)))
+
+
+def normalized_dates(raw: Column) -> Column:
+    """The dates that an array of texts holds, in any of the known forms, distinct in their order; others are left out."""
+    return F.array_distinct(F.filter(F.transform(raw, any_date), lambda d: d.isNotNull()))

@@ -9,8 +9,12 @@ from foliant.functions.text import let
 
 # Top-level domains, those with which a root of three characters is enough, roots that are words, damaged "www".
 TLDS = "com|org|net|gov|edu|mil|int|info|biz|name|pro|aero|asia|cat|coop|jobs|mobi|museum|tel|travel|xxx|io|ai|app|dev|tech|online|site|xyz|me|co|tv|cc|ly|us|uk|br|pt|es|fr|de|it|nl|be|lu|ch|at|se|no|fi|dk|pl|cz|sk|hu|gr|ro|bg|ua|ru|tr|il|ae|sa|za|eg|ma|ng|ke|jp|cn|hk|tw|kr|in|id|my|sg|th|ph|vn|au|nz|ca|mx|ar|cl|co|pe|uy|bo|ve|cr|pa"
-COMMON_TLDS = "com org net gov edu mil int info biz br pt es fr uk us ca au jp cn kr it".split()
-WORD_ROOTS = "in on at is it me my or as to do go so be of if no we he us an by up the and for but you are not all any can had her his how one our out see two who use de da do em no na os as se um uma que por com sem mas mio el la en es lo ya su yo ver ser".split()
+COMMON_TLDS = ["com", "org", "net", "gov", "edu", "mil", "int", "info", "biz", "br", "pt", "es", "fr", "uk", "us", "ca", "au", "jp", "cn", "kr", "it"]
+WORD_ROOTS = [
+    "in", "on", "at", "is", "it", "me", "my", "or", "as", "to", "do", "go", "so", "be", "of", "if", "no", "we", "he", "us", "an", "by", "up", "the", "and",
+    "for", "but", "you", "are", "not", "all", "any", "can", "had", "her", "his", "how", "one", "our", "out", "see", "two", "who", "use", "de", "da", "do", "em",
+    "no", "na", "os", "as", "se", "um", "uma", "que", "por", "com", "sem", "mas", "mio", "el", "la", "en", "es", "lo", "ya", "su", "yo", "ver", "ser",
+]
 DOMAIN = rf"(?i)(?<![\w.-])(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:{TLDS})(?![\w-])"
 # Patterns of the masks, in the order in which a span is given to the first that matches it.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -63,17 +67,20 @@ TAGS = {
     "fiscal": ["icms", "cfop", "tributo", "imposto", "nota fiscal"],
     "judicial": ["juiz", "petição", "autor", "réu", "processo"],
 }
-# Levels of confidentiality, most restrictive first, and their stamps; markers of released documents.
+# Levels of confidentiality, most restrictive first, and their stamps; what stands before a stamp; markers of released documents.
 LEVELS = {
-    "ULTRASSECRETO": r"ULTRA[- ]?SECRETO|TOP\s*SECRET|TR[EÈ]S\s+SECRET|STRENG\s+GEHEIM",
-    "SECRETO": r"SECRETO|SECRET|GEHEIM|SEGRETO",
-    "CONFIDENCIAL": r"CONFIDENCIAL|CONFIDENTIAL|CONFIDENTIEL|VERTRAULICH|CONFIDENZIALE",
-    "RESERVADO": r"RESERVADO|RESTRICTED|DIFFUSION\s+RESTREINTE|RESERVIERT|RISERVATO",
+    "ULTRASSECRETO": r"ULTRA[- ]?SECRETO|TOP\s*SECRET|TR[EÈ]S\s+SECRET|STRENG\s+GEHEIM|SEGRETISSIMO|ALT[IÍ]SIMO\s+SECRETO|СОВЕРШЕННО\s+СЕКРЕТНО|绝密|極秘|극비|سري\s+للغاية",
+    "SECRETO": r"SECRETO|SECRET|GEHEIM|SEGRETO|СЕКРЕТНО|机密|秘密|機密|비밀|سري",
+    "CONFIDENCIAL": r"CONFIDENCIAL|CONFIDENTIAL|CONFIDENTIEL|VERTRAULICH|CONFIDENZIALE|КОНФИДЕНЦИАЛЬНО|机密文件|محرم",
+    "RESERVADO": r"RESERVADO|RESTRICTED|DIFFUSION\s+RESTREINTE|RESERVIERT|RISERVATO|ДЛЯ\s+СЛУЖЕБНОГО\s+ПОЛЬЗОВАНИЯ|内部使用",
     "SIGILOSO": r"SIGILOSO|CLASSIFIED|CLASSIFI[EÉ]",
     "USO INTERNO": r"USO\s+INTERNO|INTERNAL\s+USE(?:\s+ONLY)?",
     "PÚBLICO": r"P[ÚU]BLICO|PUBLIC\s+DOCUMENT",
 }
-STAMP = r"(?:^[\t ]*|Classifica[cç][aã]o\s*[:\-]\s*|N[ií]vel\s+de\s+sigilo\s*[:\-]\s*)"
+LINE_OR_CLASS = r"^[\t ]*|Classifica[cç][aã]o\s*[:\-]\s*"
+SECRECY_LABEL = r"N[ií]vel\s+de\s+sigilo\s*[:\-]\s*"
+#: Levels that only the first two introduce.
+WITHOUT_LABEL = ["USO INTERNO", "PÚBLICO"]
 RELEASED = r"\b(?:DECLASSIFIED|DESCLASSIFICADO|APPROVED\s+FOR\s+RELEASE|SANITIZED\s+COPY|FOIA|FREEDOM\s+OF\s+INFORMATION|NARA|JFK\s+ASSASSINATION\s+RECORDS)\b"
 # Words of organisations' names.
 ORGANISATION = ["ltda", "s.a.", "s/a", "sa ", "eireli", "epp", "me ", "inc.", "corp.", "empresa", "companhia", "associação", "fundação", "instituto", "banco", "município", "estado ", "união ", "federal", "ministério", "secretaria", "prefeitura", "câmara", "tribunal", "universidade", "faculdade"]
@@ -186,5 +193,6 @@ def tags(doc_type: Column, text: Column) -> Column:
 def confidentiality(text: Column) -> Column:
     """The most restrictive level whose stamp begins a line or follows a label; null in released documents."""
     head = F.substring(text, 1, 30_000)
-    level = F.coalesce(*[F.when(head.rlike(f"(?imu){STAMP}(?:{p})\\b"), F.lit(k)) for k, p in LEVELS.items()])
+    before = {k: LINE_OR_CLASS if k in WITHOUT_LABEL else f"{LINE_OR_CLASS}|{SECRECY_LABEL}" for k in LEVELS}
+    level = F.coalesce(*[F.when(head.rlike(f"(?imuU)(?:{before[k]})(?:{p})\\b"), F.lit(k)) for k, p in LEVELS.items()])
     return F.when(~head.rlike(f"(?i){RELEASED}"), level)

@@ -54,8 +54,12 @@ def tokens(text: Column) -> Column:
 
 def stat_tokens(text: Column, stop: list[str]) -> Column:
     """Lower-case words of more than two characters that aren't stop words or numbers, for counts and clouds."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "), " ")
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(stop) & ~w.rlike("^[0-9]+$"))
+    return F.filter(countable(text), lambda w: ~w.isin(stop) & ~w.rlike("^[0-9]+$"))
+
+
+def countable(text: Column) -> Column:
+    """Lower-case runs of three or more letters, digits and underscores, before stop words and numbers go."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0))
 
 
 def bigrams(words: Column) -> Column:
@@ -98,3 +102,20 @@ def highlight(text: Column, word: str, around: int = 60) -> Column:
     hi = F.least(at + len(word) - 1 + around, F.length(text))
     cut = F.trim(F.regexp_replace(text.substr(lo, hi - lo + 1), r"(?U)\s+", " "))
     return F.when(at > 0, F.concat(F.when(lo > 1, F.lit("…")).otherwise(F.lit("")), cut, F.when(hi < F.length(text), F.lit("…")).otherwise(F.lit(""))))
+
+
+def normalize_ocr(text: Column) -> Column:
+    """Runs of blanks to one space, three or more newlines to two, ends stripped; a blank text stays as it is, null is empty."""
+    t = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    return F.when(strip(text) != "", strip(t)).otherwise(F.coalesce(text, F.lit("")))
+
+
+def merged(base: Column, more: Column, most: int = 35) -> Column:
+    """base, then those of more, trimmed, of at most 200 characters, that it lacks in any case, up to most in all."""
+
+    def add(held: Column, v: Column) -> Column:
+        fits = (v != "") & (F.length(v) <= 200) & (F.size(held) < most) & ~F.exists(held, lambda x: F.lower(x) == F.lower(v))
+        return F.when(fits, F.array_append(held, v)).otherwise(held)
+
+    none = F.array().cast("array<string>")
+    return F.aggregate(F.transform(F.coalesce(more, none), lambda v: F.trim(F.coalesce(v, F.lit("")))), F.coalesce(base, none), add)

@@ -6,27 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.entities import party_type
-from foliant.functions.text import bigrams, stat_tokens
+from foliant.functions.gazetteer import PLACES
+from foliant.functions.text import bigrams, countable, stat_tokens
 from foliant.operators.catalog import effective_type
-
-# A part of the archive's gazetteer.
-PLACES = [("Centro-Oeste", "região", -15.5, -54.5), ("Nordeste", "região", -8.0, -38.0), ("Norte", "região", -3.0, -60.0), ("Sudeste", "região", -19.0, -45.0), ("Sul", "região", -27.0, -51.0), ("Minas Gerais", "estado", -18.10, -44.38), ("São Paulo", "estado", -22.19, -48.79), ("Rio de Janeiro", "estado", -22.25, -42.66), ("Bahia", "estado", -12.96, -41.67)]
-
-
-def positional(values: str, q: float) -> Column:
-    """The value at index floor(n * q) of the sorted ones, not interpolated (q 0.5: the upper median)."""
-    v = F.array_sort(F.collect_list(values))
-    return F.try_element_at(v, F.least(F.floor(F.size(v) * q) + 1, F.size(v)).cast("int"))
-
-
-def positional_ranked(df: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
-    """q, value: positional quantiles without gathering the values in one row.
-
-    Equal values are counted, and running counts over the distinct values give each quantile's place."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    run = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    wanted = F.explode(F.array(*[F.lit(q) for q in quantiles])).alias("q")
-    return run.select(value, "upto", "total", wanted).where(F.col("upto") > F.floor(F.col("total") * F.col("q"))).groupBy("q").agg(F.min(value).alias(value))
+from foliant.storage import stored
+
+
+def quantiles(df: DataFrame, value: str, qs: list[float], group: list[str] | None = None) -> DataFrame:
+    """(group columns), q, value: the value at index floor(n * q) of the sorted ones, not interpolated (q 0.5: the upper median).
+
+    Equal values are counted first. The counts are dealt by ranges of (group, value), so that a group that holds most rows
+    is spread over tasks; only one sum for each range and group is added up in order. Nulls don't count."""
+    group = group or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+    counts, _ = stored(counts.repartitionByRange(*group, value).withColumn("_part", F.spark_partition_id()), "value-counts")
+    key = [F.coalesce(F.col(g).cast("string"), F.lit("")) for g in group]
+    ahead = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("_part", *group).agg(F.sum("_n").alias("_sum"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).withColumn("_total", F.sum("_sum").over(Window.partitionBy(*key)))
+    within = Window.partitionBy("_part", *key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = counts.withColumn("_upto", F.sum("_n").over(within)).alias("c")
+    same = [F.col(f"c.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
+    on = F.col("c._part") == F.col("s._part")
+    for s in same:
+        on = on & s
+    joined = run.join(F.broadcast(sums.alias("s")), on).select(*[F.col(f"c.{g}").alias(g) for g in group], F.col(f"c.{value}").alias(value), "c._n", (F.col("_before") + F.col("_upto")).alias("_upto"), "_total")
+    asked = joined.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    place = F.least(F.floor(F.col("_total") * F.col("q")), F.col("_total") - 1)
+    return asked.where((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place)).select(*group, "q", value)
 
 
 def dashboard(meta: DataFrame) -> DataFrame:
@@ -63,8 +70,10 @@ def size_histogram(meta: DataFrame, edges: list[int]) -> DataFrame:
 
 
 def top_words(texts: DataFrame, stop: list[str], n: int = 50, least: int = 2) -> DataFrame:
-    words = texts.select(F.explode(stat_tokens(F.col("text"), stop)).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(n)
+    """The n most frequent words; stop words and numbers go after counting, once a word instead of once a token."""
+    words = texts.select(F.explode(countable(F.col("text"))).alias("word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") >= least) & ~F.col("word").isin(stop) & ~F.col("word").rlike("^[0-9]+$"))
+    return counted.orderBy(F.desc("n"), "word").limit(n)
 
 
 def top_bigrams(texts: DataFrame, stop: list[str], n: int = 30) -> DataFrame:
@@ -83,6 +92,12 @@ def timeline(meta: DataFrame) -> DataFrame:
     return first.select("id", "ingest_seq", best.alias("b")).where("b is not null").select("id", "ingest_seq", "b.*")
 
 
+def by_year(meta: DataFrame) -> DataFrame:
+    """year, name, nth: records by their date within each year of indexing."""
+    year = F.substring("indexed_at", 1, 4)
+    return meta.select(year.alias("year"), "name", F.row_number().over(Window.partitionBy(year).orderBy("indexed_at", "name")).alias("nth"))
+
+
 def timeline_stats(entries: DataFrame) -> DataFrame:
     year = F.substring("date_iso", 1, 4).cast("int")
     return entries.agg(F.count("*").alias("total"), F.count_if(F.col("confidence") >= 0.8).alias("precise"), (F.max(year) - F.min(year)).alias("span_years"), F.min("date_iso").alias("oldest"), F.max("date_iso").alias("newest"))
@@ -119,22 +134,37 @@ def graph_nodes(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("entity").agg(F.count_distinct("doc").alias("doc_count")).select("entity", party_type(F.col("entity")).alias("type"), "doc_count")
 
 
-def without_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    n = nodes.select("entity")
+def without_dangling(edges: DataFrame, nodes: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """edges (source, target, weight) both of whose ends are among nodes (entity, type), of the given types if any."""
+    n = (nodes.where(F.col("type").isin(types)) if types else nodes).select("entity")
     return edges.join(n.withColumnRenamed("entity", "source"), "source", "left_semi").join(n.withColumnRenamed("entity", "target"), "target", "left_semi").select("source", "target", "weight")
 
 
 def place_mentions(texts: DataFrame, places: list[tuple] = PLACES) -> DataFrame:
     """name, n_docs: documents that mention a place as a whole phrase in any case. One scan with a pattern for each place."""
-    hit = [F.when(F.col("text").rlike(rf"(?iuU)(?<!\w)\Q{p[0]}\E(?!\w)"), F.lit(p[0])) for p in places]
+    phrase = lambda name: r"\s+".join(rf"\Q{w}\E" for w in name.split())
+    hit = [F.when(F.col("text").rlike(rf"(?iuU)(?<!\w){phrase(name)}(?!\w)"), F.lit(name)) for name in dict.fromkeys(p[0] for p in places)]
     return texts.select("doc_id", F.explode(F.array_compact(F.array(*hit))).alias("name")).groupBy("name").agg(F.count_distinct("doc_id").alias("n_docs"))
 
 
+def located(rows: DataFrame, name: str, places: list[tuple] = PLACES) -> DataFrame:
+    """rows with the gazetteer's name, kind, lat, lon for those whose column name is one of its places, whatever its case and blanks."""
+    first = {p[0]: p for p in reversed(places)}
+    known = rows.sparkSession.createDataFrame(list(first.values()), "name string, kind string, lat double, lon double")
+    same = F.lower(F.regexp_replace(F.trim(F.col(name)), r"\s+", " "))
+    return rows.withColumn("_key", same).join(F.broadcast(known.withColumn("_key", F.lower("name"))), "_key").drop("_key")  # a few hundred rows
+
+
 def fresh(results: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
     """Alert rows: results whose key was not seen in the last run."""
     return results.join(seen, key, "left_anti")
 
 
+def limited(events: DataFrame, who: str, at: str, most: int, seconds: int = 60) -> DataFrame:
+    """events with recent (see rate) and accepted: a user's requests beyond most in the window are rejected; rejected ones count too."""
+    return rate(events, who, at, seconds).withColumn("accepted", F.col("recent") <= most)
+
+
 def rate(events: DataFrame, who: str, at: str, seconds: int = 60) -> DataFrame:
     """events with how many of the same user fell into the trailing window, this one included."""
     w = Window.partitionBy(who).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)

@@ -37,6 +37,14 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.where("_v = _last").withColumn("indexed_at", F.coalesce("_first", "indexed_at")).drop("_v", "_last", "_first")
 
 
+def with_subject(meta: DataFrame, subjects: DataFrame) -> DataFrame:
+    """meta with metadata.subject replaced for the ids of subjects (id, subject), one each; other fields of metadata stay."""
+    new = subjects.select("id", F.struct(F.col("subject")).alias("_new")).dropDuplicates(["id"])
+    joined = meta.join(new, "id", "left")
+    changed = F.when(F.col("_new").isNotNull(), F.col("metadata").withField("subject", F.col("_new.subject"))).otherwise(F.col("metadata"))
+    return joined.withColumn("metadata", changed).select(*meta.columns)
+
+
 def removed(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return table.join(ids.select(F.col("id").alias(key)), key, "left_anti")
 

@@ -1,7 +1,7 @@
 """Boolean full-text search over postings: terms, phrases, AND, OR, NOT.
 
-A query is parsed on the driver; every term is a filter on the token column, and the operators are joins of the small
-sets of pages that match. Postings stored by token (partitioned or bucketed) are pruned to the query's terms."""
+Postings are stored once, by bucket of the token and sorted by it. A query is parsed on the driver; it reads the buckets of
+its own tokens, gathers them by page in one aggregation, and looks at no text."""
 
 from __future__ import annotations
 
@@ -9,20 +9,58 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.entities import ALIASES, MASKS
 from foliant.functions.text import ACCENTED, PLAIN, tokens
+from foliant.storage import Store
 
 KEY = ["file_id", "page"]
 OPERATORS = {"AND", "OR", "NOT", "NEAR"}
 _SPECIAL = re.compile(r"[^\w\s]")
 
 
+#: Buckets of an index, by a hash of the token.
+BUCKETS = 64
+#: Tasks that a bucket is dealt to when an index is written: a token that every page has isn't one task's.
+PIECES = 4
+
+
 def postings(pages: DataFrame) -> DataFrame:
-    """token, file_id, page, pos of pages (file_id, page, text)."""
-    return pages.select(*KEY, F.posexplode(tokens(F.col("text"))).alias("pos", "token")).select("token", *KEY, "pos")
+    """token, file_id, page, pos and, if pages has it, ingest_seq of pages (file_id, page, text)."""
+    more = [c for c in ("ingest_seq",) if c in pages.columns]
+    return pages.select(*KEY, *more, F.posexplode(tokens(F.col("text"))).alias("pos", "token")).select("token", *KEY, "pos", *more)
+
+
+def _bucket(token) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(store: Store, name: str, pages: DataFrame) -> DataFrame:
+    """The postings of pages (file_id, ingest_seq, page, text) as the next version of a table, by bucket and sorted by token."""
+    piece = F.pmod(F.xxhash64("file_id"), F.lit(PIECES))
+    rows = postings(pages).withColumn("bucket", _bucket(F.col("token")))
+    store.replace(name, rows.repartition("bucket", piece).sortWithinPartitions("bucket", "token", "ingest_seq", "page", "pos"), ["bucket"])
+    return store.read(name)
+
+
+def replaced(index: DataFrame, pages: DataFrame) -> DataFrame:
+    """The postings with those of the documents of pages replaced by what pages (file_id, ingest_seq, page, text) have now; blank pages have none."""
+    rows = postings(pages)
+    kept = index.join(pages.select("file_id").distinct(), "file_id", "left_anti")
+    return kept.select(*rows.columns).unionByName(rows)
+
+
+def pending(pages: DataFrame, index: DataFrame) -> DataFrame:
+    """Pages of the documents that have no postings yet: what a deferred build has to add."""
+    return pages.join(index.select("file_id").distinct(), "file_id", "left_anti")
+
+
+def quote_term(term: str | None) -> str:
+    """A term with blanks or quotes as a phrase."""
+    t = (term or "").strip()
+    return '"' + t.replace('"', '""') + '"' if " " in t or '"' in t else t
 
 
 def sanitize(query: str) -> str:
@@ -64,31 +102,79 @@ def parse(query: str) -> tuple | None:
     return level(items, ["OR", "AND", "NOT"])
 
 
+def _phrases(tree: tuple) -> list[tuple[str, ...]]:
+    return [tuple(tree[1])] if tree[0] == "phrase" else _phrases(tree[1]) + _phrases(tree[2])
+
+
 def matches(index: DataFrame, tree: tuple) -> DataFrame:
-    """Pages (file_id, page) that match."""
-    kind = tree[0]
-    if kind == "phrase":
-        words = tree[1]
-        if not words:
-            return index.select(*KEY).limit(0)
-        found = index.where(F.col("token") == words[0]).select(*KEY, "pos")
-        for i, w in enumerate(words[1:], 1):
-            found = found.join(index.where(F.col("token") == w).select(*KEY, (F.col("pos") - i).alias("pos")), [*KEY, "pos"], "left_semi")
-        return found.select(*KEY).distinct()
-    left, right = matches(index, tree[1]), matches(index, tree[2])
-    if kind == "or":
-        return left.union(right).distinct()
-    return left.join(right, KEY, "left_semi" if kind == "and" else "left_anti")
-
-
-def search(index: DataFrame, order: DataFrame, query: str, limit: int = 200) -> DataFrame:
-    """file_id, page, rank from 1 of the first limit matches in the order of ingest (order: file_id, ingest_seq). A query outside the grammar finds nothing."""
+    """Pages (file_id, ingest_seq, page) that match: one scan of the query's tokens, one aggregation by page."""
+    phrases = list(dict.fromkeys(_phrases(tree)))
+    words = sorted({w for p in phrases for w in p})
+    found = index.where(F.col("token").isin(words))
+    if "bucket" in index.columns:
+        buckets = index.sparkSession.range(1).select(F.array(*[_bucket(F.lit(w)) for w in words]).alias("b")).first().b if words else []
+        found = found.where(F.col("bucket").isin(buckets))
+    placed = sorted({w for p in phrases if len(p) > 1 for w in p})
+    name = {w: f"w{i}" for i, w in enumerate(words)}
+    has = [F.max(F.col("token") == w).alias(name[w]) for w in words]
+    at = [F.collect_list(F.when(F.col("token") == w, F.col("pos"))).alias(f"at_{name[w]}") for w in placed]
+    by_page = found.groupBy(*KEY, "ingest_seq").agg(*has, *at) if words else found.select(*KEY, "ingest_seq").limit(0)
+
+    def phrase(p: tuple[str, ...]) -> Column:
+        if not p:
+            return F.lit(False)
+        every = F.lit(True)
+        for w in p:
+            every = every & F.col(name[w])
+        if len(p) == 1:
+            return every
+        follows = lambda x: [F.array_contains(f"at_{name[w]}", x + i) for i, w in enumerate(p[1:], 1)]
+        return every & F.exists(f"at_{name[p[0]]}", lambda x: reduce(lambda c, d: c & d, follows(x)))
+
+    def test(t: tuple) -> Column:
+        if t[0] == "phrase":
+            return phrase(tuple(t[1]))
+        left, right = test(t[1]), test(t[2])
+        return left | right if t[0] == "or" else left & (right if t[0] == "and" else ~right)
+
+    return by_page.where(test(tree)).select(*KEY, "ingest_seq")
+
+
+def search(index: DataFrame, query: str, limit: int = 200) -> DataFrame:
+    """file_id, page, rank from 1 of the first limit matches in the order of ingest. A query outside the grammar finds nothing."""
     tree = parse(sanitize(query))
-    hits = matches(index, tree) if tree else index.select(*KEY).limit(0)
-    first = hits.join(order, "file_id").orderBy("ingest_seq", "page").limit(limit)
+    hits = matches(index, tree) if tree else index.select(*KEY, "ingest_seq").limit(0)
+    first = hits.orderBy("ingest_seq", "page").limit(limit)
     return first.withColumn("rank", F.row_number().over(Window.orderBy("ingest_seq", "page"))).select(*KEY, "rank")  # limit rows
 
 
+def find_in(meta: DataFrame, index: DataFrame, texts: DataFrame, query: str, most: int = 50) -> DataFrame:
+    """file_id, page, kind, rank: the first 200 full-text hits, of these those in meta (the filtered catalog), the first `most` of them.
+
+    Where there is none, the places of the query or its mask in the texts (id, text) of meta's documents, in the order of
+    ingest (see mask_hits), page null."""
+    mine = meta.select(F.col("id").alias("file_id"), "ingest_seq")
+    hits = search(index, query).join(mine.select("file_id"), "file_id", "left_semi").orderBy("rank").limit(most)
+    if hits.limit(1).count():
+        return hits.select("file_id", "page", F.lit("text").alias("kind"), "rank")
+    allowed = texts.join(mine.select(F.col("file_id").alias("id"), "ingest_seq"), "id")
+    seen = mask_hits(allowed.select("id", "text"), query).join(mine.select(F.col("file_id").alias("id"), "ingest_seq"), "id")
+    first = seen.orderBy("ingest_seq", "id", "nth").limit(most)
+    rank = F.row_number().over(Window.orderBy("ingest_seq", "id", "nth"))  # `most` rows
+    return first.select(F.col("id").alias("file_id"), F.lit(None).cast("int").alias("page"), F.col("mask").alias("kind"), rank.alias("rank"))
+
+
+def rag_context(hits: DataFrame, texts: DataFrame, max_docs: int = 5, chars: int = 6000) -> DataFrame:
+    """file_id, first (best rank), context: the first characters of the texts (file_id, text) of the first max_docs distinct documents of hits."""
+    best = first_documents(hits, max_docs)
+    return texts.join(F.broadcast(best), "file_id").select("file_id", "first", F.substring("text", 1, chars).alias("context"))
+
+
+def first_documents(hits: DataFrame, most: int) -> DataFrame:
+    """file_id, first: distinct documents of hits (file_id, rank) in the order of their best rank."""
+    return hits.groupBy("file_id").agg(F.min("rank").alias("first")).orderBy("first", "file_id").limit(most)
+
+
 def snippets(hits: DataFrame, pages: DataFrame, words: list[str], around: int = 16) -> DataFrame:
     """hits with an excerpt of 2 * around tokens of the page's text about the first word that matches, marked."""
     text = F.split("text", r"\s+")

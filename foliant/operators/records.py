@@ -105,6 +105,11 @@ def save_searches(saved: DataFrame, new: DataFrame, now: float, overwrite: bool
     return saved.join(fresh, "name", "left_anti").select(*rows.columns).unionByName(rows)
 
 
+def cleared(rows: DataFrame) -> DataFrame:
+    """The table without its rows."""
+    return rows.where(F.lit(False))
+
+
 def without_searches(saved: DataFrame, names: DataFrame) -> DataFrame:
     return saved.join(names.select("name"), "name", "left_anti")
 

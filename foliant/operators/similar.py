@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.vectors import dot, unit
+from foliant.storage import discard, stored
 
 
 def normalized(vectors: DataFrame) -> DataFrame:
@@ -21,17 +22,6 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # k rows
 
 
-def cells(vectors: DataFrame, threshold: float, planes: int = 8, tables: int = 12) -> DataFrame:
-    """id, u, cell: hash cells of random hyperplanes, tables of them, for candidate pairs of high cosine."""
-    import numpy as np
-
-    width = len(vectors.select("u").first()[0] or [])
-    r = np.random.Generator(np.random.PCG64(5)).standard_normal((tables, planes, max(width, 1)))
-    bit = lambda row: F.when(dot(F.col("u"), F.array(*[F.lit(float(x)) for x in row])) >= 0, F.lit("1")).otherwise(F.lit("0"))
-    keys = F.array(*[F.concat(F.lit(f"{t}:"), *[bit(row) for row in r[t]]) for t in range(tables)])
-    return vectors.select("id", "u", F.explode(keys).alias("cell"))
-
-
 def similar_pairs(vectors: DataFrame, threshold: float, block: int = 512) -> DataFrame:
     """a < b, similarity (4 places) of all pairs with a cosine of at least threshold, exactly.
 
@@ -60,27 +50,33 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 512) -> Dat
     return pairs.select("home", "to", "held", "other").mapInPandas(score, f"a {kind}, b {kind}, similarity double")
 
 
-def components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """node, component (least node) by minimum labels and pointer jumping; checkpoint() cuts the lineage of a round."""
-    spark = pairs.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+def components(pairs: DataFrame) -> DataFrame:
+    """node, component (least node) by minimum labels and pointer jumping, until nothing changes.
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-checkpoint-"))
-    edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")).checkpoint()
-    labels = edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("component")).withColumnRenamed("x", "node").checkpoint()
-    for _ in range(rounds):
+    Each round is written to the shared folder, which cuts its lineage; the one before is deleted."""
+    spark = pairs.sparkSession
+    edges, _ = stored(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")), "edges")
+    labels, path = stored(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")), "labels")
+    while True:
         near = edges.join(labels, edges.y == labels.node).groupBy("x").agg(F.min("component").alias("low"))
-        step = labels.join(near, labels.node == near.x).select("node", F.least("component", "low").alias("component"))
+        step = labels.join(near, labels.node == near.x).select("node", F.col("component").alias("before"), F.least("component", "low").alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        following = step.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component")).checkpoint()
-        changed = following.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before").limit(1).count()
-        labels = following
+        following, to = stored(step.join(jump, "component", "left").select("node", "before", F.coalesce("further", "component").alias("component")), "labels")
+        changed = following.where("component <> before").limit(1).count()
+        discard(spark, path)
+        labels, path = following.select("node", "component"), to
         if not changed:
-            break
-    return labels
+            return labels
+
+
+def listed_groups(meta: DataFrame) -> DataFrame:
+    """content_hash, name, nth: the members of exact_groups in the order of ingest."""
+    groups = exact_groups(meta).join(meta.select("id", "name"), "id")
+    return groups.select("content_hash", "name", F.row_number().over(Window.partitionBy("content_hash").orderBy("ingest_seq")).alias("nth"))
 
 
 def exact_groups(meta: DataFrame) -> DataFrame:
-    """content_hash, n, ids (in the order of ingest) of hashes that several records share."""
-    return meta.where(F.coalesce("content_hash", F.lit("")) != "").groupBy("content_hash").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ingest_seq", "id"))).alias("g")).where("n >= 2").select("content_hash", "n", F.transform("g", lambda x: x["id"]).alias("ids"))
+    """content_hash, n, ingest_seq, id: a row for each record whose hash several records share; no row holds a whole group."""
+    usable = meta.where(F.coalesce("content_hash", F.lit("")) != "")
+    shared = usable.groupBy("content_hash").agg(F.count("*").alias("n")).where("n >= 2")
+    return usable.join(shared, "content_hash").select("content_hash", "n", "ingest_seq", "id")

@@ -9,16 +9,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions import classify, dates, entities, forensics, text, vectors
+from foliant.functions import classify, dates, entities, gazetteer, text
 from foliant.operators import analytics, catalog, fulltext, similar
 from foliant.sources import readers, writers
 from foliant.sources.readers import table
+from foliant.storage import Store, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-STOP = ["the", "and", "of", "to", "that", "this", "with", "was", "are", "for", "der", "die", "und", "que", "les", "des"]
+STOP = gazetteer.stop_words("en")
 _STOPS = ", ".join(f"'{w}'" for w in STOP)
 TODAY = "2025-06-01"
 
@@ -34,24 +35,6 @@ PAGE = """with page as (
 tok as (
   select file_id, ingest_seq, page, list_filter(string_split_regex(translate(lower(text), '{a}', '{p}'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') as t from page)""".format(a=text.ACCENTED, p=text.PLAIN)
 
-# Literal rows for extractors whose entities the tables lack; the same in both dialects.
-CASES = {
-    1: "CPF 111.444.777-35 e 123.456.789-00, CNPJ 11.222.333/0001-81, ana@example.com e bob@test.org, 192.168.1.1",
-    2: "Contratante: ACME Ltda\nContratada: Joao Silva\nvalor R$ 10.000,00 e USD 5.000 e R$ 10.000,00",
-    3: "Vencimento: 31/12/2025. Renovação automática. Processo 1234567-89.2024.8.26.0100 CEP 01310-100",
-    4: "Vigência: de 01/03/2025 a 28/02/2026",
-    5: "SECRET\nreport of 2024-03-15T14:30:00 and 15/06/2025 and 2024-02-30",
-    6: "plain words only",
-    7: "Prazo: 2 anos. Início: 31/01/2025",
-    8: "DECLASSIFIED\nSECRET",
-    9: "Classificação: CONFIDENCIAL http://example.com/a?b=1, see https://x.com/user1 and AB12 ABC-1234",
-    10: "12/07/2026 e 20 de março de 2024 e 5 May 2023",
-}
-_quote = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-CASE = "with c as (select * from (values " + ", ".join(f"({i}, {_quote(t)})" for i, t in CASES.items()) + ") as v(id, text))"
-VALUES = CASE[len("with c as (") : -1]
-
-
 def query(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -62,12 +45,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def cases(spark: SparkSession) -> DataFrame:
-    return spark.sql(VALUES)
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def store(spark: SparkSession, sf: str) -> Store:
+    """The application's store of a folder of tables: catalog and postings are written when a query first needs them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stores:
+        _stores[key] = Store(spark, scratch_path(spark, "store"))
+    return _stores[key]
 
 
 def cat(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.catalog(table(spark, sf, "documents"))
+    return store(spark, sf).ensure("catalog", lambda: readers.catalog(docs(spark, sf)))
+
+
+def postings_index(spark: SparkSession, sf: str) -> DataFrame:
+    kept = store(spark, sf)
+    if not kept.versions("postings"):
+        fulltext.write_index(kept, "postings", pages(spark, sf))
+    return kept.read("postings")
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,14 +81,13 @@ def vecs(spark: SparkSession, sf: str) -> DataFrame:
 
 # Scans
 
-query("a11_catalog", CAT + " select * from cat")(cat)
+query("a11_catalog", CAT + " select * from cat")(lambda s, d: readers.catalog(docs(s, d)))
 query("a12_text_lookup", "select text from documents where doc_id = 7")(lambda s, d: docs(s, d).where("doc_id = 7").select("text"))
 query("a13_page_lookup", PAGE + " select text from page where ingest_seq = 7 and page = 2")(lambda s, d: readers.page_text(pages(s, d), _id(7), 2))
 query("a14_pages", PAGE + " select file_id, ingest_seq, cast(page as integer) as page, text from page")(pages)
 query("a15_embeddings", "select vec_id as id, len(embedding) as size, embedding[1] as first from embeddings where label = 1")(lambda s, d: table(s, d, "embeddings").where("label = 1").select(F.col("vec_id").alias("id"), F.size("embedding").cast("long").alias("size"), F.col("embedding")[0].alias("first")))
 query("a17_audit_tail", "select event_id, event_type from events order by event_id desc limit 100")(lambda s, d: readers.tail(table(s, d, "events"), "event_id", 100).select("event_id", "event_type"))
 query("a18_read_log_tail", "select event_id, user_id from (select * from events order by event_id desc limit 50) order by event_id")(lambda s, d: readers.tail(table(s, d, "events"), "event_id", 50, False).select("event_id", "user_id"))
-query("a10_html_tables")(lambda s, d: readers.html_tables(table(s, d, "pages")))
 query("a27_hyperlinks", """select page_id, cast(generate_subscripts(h, 1) - 1 as integer) as pos, unnest(h) as href from (select page_id, regexp_extract_all(html, '(?i)href="([^"]*)"', 1) as h from pages)""")(lambda s, d: readers.hyperlinks(table(s, d, "pages")))
 query("a31_content_hash", "select doc_id, substr(sha256(text), 1, 32) as hash from documents")(lambda s, d: docs(s, d).select("doc_id", readers.content_hash(F.col("text")).alias("hash")))
 query("a33_documents_with_text", CAT + " select id, name, coalesce(doc_type, '') as doc_type, length(text) as n_chars from cat join documents on ingest_seq = doc_id")(lambda s, d: cat(s, d).join(docs(s, d).select(F.col("doc_id").alias("ingest_seq"), "text"), "ingest_seq", "left").select("id", "name", writers.safe(F.col("doc_type")).alias("doc_type"), F.length("text").cast("long").alias("n_chars")))
@@ -115,7 +111,7 @@ def b1(s, d):
 
 query("b5_remove", CAT + " select id, name from cat where ingest_seq % 7 <> 0")(lambda s, d: catalog.removed(cat(s, d).select("id", "name"), cat(s, d).where("ingest_seq % 7 = 0")))
 query("b6_update_type", CAT + " select id, case when ingest_seq = 4 then 'ata' else doc_type end as doc_type from cat")(lambda s, d: cat(s, d).select("id", F.when(F.col("ingest_seq") == 4, "ata").otherwise(F.col("doc_type")).alias("doc_type")))
-query("b7_clean_tags", "select cast(1 as integer) as id, 'a,b' as tags union all select 2, null")(lambda s, d: s.createDataFrame([(1, [" a", "b ", " "]), (2, ["", " "])], "id int, tags array<string>").select("id", F.array_join(catalog.clean_tags(F.col("tags")), ",").alias("tags")))
+query("b7_clean_tags", "select doc_id, case when trim(source) <> '' then trim(source) || ',' || lang else lang end as tags from documents")(lambda s, d: docs(s, d).select("doc_id", F.array_join(catalog.clean_tags(F.array(F.concat(F.lit(" "), "source"), F.lit(" "), F.concat("lang", F.lit(" ")))), ",").alias("tags")))
 
 
 @query("b9_moved", CAT + " select id, case when ingest_seq in (select min(ingest_seq) from cat group by content_hash having count(*) = 1) and ingest_seq % 5 = 0 then '/moved/' || name else original_path end as original_path from cat where content_hash in (select content_hash from cat group by 1 having count(*) = 1)")
@@ -128,7 +124,7 @@ def b9(s, d):
 
 
 query("b10_migrate", CAT + " select id, coalesce(doc_type, 'documento') as doc_type, word_count from cat")(lambda s, d: catalog.migrated(cat(s, d)).select("id", "doc_type", "word_count"))
-query("b12_postings", PAGE + " select token, file_id, cast(page as integer) as page, cast(pos - 1 as integer) as pos from (select file_id, page, unnest(t) as token, generate_subscripts(t, 1) as pos from tok)")(lambda s, d: fulltext.postings(pages(s, d)))
+query("b12_postings", PAGE + " select token, file_id, cast(page as integer) as page, cast(pos - 1 as integer) as pos from (select file_id, page, unnest(t) as token, generate_subscripts(t, 1) as pos from tok)")(lambda s, d: fulltext.postings(pages(s, d)).drop("ingest_seq"))
 query("b13_new_postings", PAGE + " select file_id, count(*) as n from (select file_id, ingest_seq, unnest(t) as token from tok) where ingest_seq % 2 = 1 group by 1")(lambda s, d: fulltext.postings(pages(s, d).join(pages(s, d).where("ingest_seq % 2 = 0").select("file_id").distinct(), "file_id", "left_anti")).groupBy("file_id").agg(F.count("*").alias("n")))
 query("b15_page_chunks", PAGE + " select file_id, cast(page as integer) as page, length(substr(text, 1, 1500)) as n from page where length(trim(text)) >= 30")(lambda s, d: pages(s, d).where("length(trim(text)) >= 30").select("file_id", "page", F.length(F.substring("text", 1, 1500)).cast("long").alias("n")))
 query("b17_export_jsonl", CAT + """ select ingest_seq, '{"id":"' || id || '","name":"' || name || '","doc_type":"' || coalesce(doc_type, '') || '","language":"' || language || '","num_pages":' || num_pages || ',"indexed_at":"' || substr(indexed_at, 1, 10) || '"}' as line from cat""")(lambda s, d: writers.jsonl_rows(cat(s, d)))
@@ -148,7 +144,13 @@ query("c14_entropy", "select doc_id, round(-sum(n / total * log2(n / total)), 6)
 query("c16_readable", CAT + " select id from cat where ingest_seq % 2 = 0 and ingest_seq <> 4 and ingest_seq < 20")(lambda s, d: catalog.readable(cat(s, d).select("id"), s.createDataFrame([("ana", [_id(n) for n in range(0, 20, 2)], [_id(4)])], "user string, allowed array<string>, deny array<string>"), "ana", False))
 query("c18_display_name", CAT + " select id, name as shown from cat")(lambda s, d: cat(s, d).select("id", text.display_name(F.col("original_path")).alias("shown")))
 query("c20_text_slice", "select doc_id, length(substr(text, 1, 1000)) as n from documents")(lambda s, d: docs(s, d).select("doc_id", F.length(F.substring("text", 1, 1000)).cast("long").alias("n")))
-query("c21_gazetteer_lookup", "select cast(1 as integer) as id, 'Minas Gerais' as name union all select 2, 'Bahia'")(lambda s, d: s.createDataFrame([(1, " minas   GERAIS "), (2, "bahia"), (3, "nowhere")], "id int, q string").join(F.broadcast(s.createDataFrame(analytics.PLACES, "name string, kind string, lat double, lon double")), F.expr(r"lower(regexp_replace(trim(q), '\\s+', ' ')) = lower(name)")).select("id", "name"))
+PLACE_ROWS = "(values " + ", ".join(f"('{n}', {a}, {b})" for n, (a, b) in {p[0]: p[2:] for p in reversed(gazetteer.PLACES)}.items()) + ") as g(name, lat, lon)"
+
+
+@query("c21_gazetteer_lookup", f"select c_custkey, g.name, cast(lat as double) as lat from (select c_custkey, (['Minas Gerais', 'Bahia', 'Tokyo', 'nowhere'])[c_custkey % 4 + 1] as q from customer) join {PLACE_ROWS} on lower(q) = lower(g.name)")
+def c21(s, d):
+    q = F.element_at(F.array(*map(F.lit, [" minas   GERAIS ", "bahia", "TOKYO", "nowhere"])), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return analytics.located(table(s, d, "customer").select("c_custkey", q.alias("q")), "q").select("c_custkey", "name", "lat")
 
 
 @query("c6_literal_hits", "select doc_id, (length(text) - length(replace(lower(text), 'the', ''))) // 3 as n, position('the' in lower(text)) - 1 as first from documents where contains(lower(text), 'the')")
@@ -163,8 +165,7 @@ FTS = "select file_id, cast(page as integer) as page, cast(row_number() over (or
 
 
 def search(spark: SparkSession, sf: str, q: str, n: int = 200) -> DataFrame:
-    p = pages(spark, sf)
-    return fulltext.search(fulltext.postings(p), p.select("file_id", "ingest_seq").distinct(), q, n)
+    return fulltext.search(postings_index(spark, sf), q, n)
 
 
 query("f1_search_and", PAGE + " " + FTS.format(w="list_contains(t, 'the') and list_contains(t, 'thing')"))(lambda s, d: search(s, d, "the thing"))
@@ -194,48 +195,48 @@ def f2(s, d):
     return similar.nearest(vecs(s, d), list(first.embedding) if first else [], 10)
 
 
-query("d8_graph_edges", "with m as (select distinct doc_id as doc, unnest(list_slice(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) = 5))), 1, 12)) as entity from documents) select a.entity as source, b.entity as target, count(*) as weight from m a join m b on a.doc = b.doc and a.entity < b.entity group by 1, 2")(lambda s, d: analytics.graph_edges(_mentions(s, d)))
-query("e18_graph_nodes", "with m as (select distinct doc_id as doc, unnest(list_slice(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) = 5))), 1, 12)) as entity from documents) select entity, 'org' as type, count(*) as doc_count from m group by 1")(lambda s, d: analytics.graph_nodes(_mentions(s, d)))
-
-
-# all words of five letters, without the bound that the two queries above share with their SQL
+# stand-ins for entities: all words of five letters
 M = "with m as (select distinct doc_id as doc, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) = 5)) as entity from documents) "
-query("d8_all_graph_edges", M + "select a.entity as source, b.entity as target, count(*) as weight from m a join m b on a.doc = b.doc and a.entity < b.entity group by 1, 2")(lambda s, d: analytics.graph_edges(_all_mentions(s, d)))
-query("d8_document_edges", M + "select 'doc:' || doc as source, entity as target, count(*) as weight from m group by 1, 2")(lambda s, d: analytics.document_edges(_all_mentions(s, d)))
-query("e18_all_graph_nodes", M + "select entity, 'org' as type, count(*) as doc_count from m group by 1")(lambda s, d: analytics.graph_nodes(_all_mentions(s, d)))
+query("d8_graph_edges", M + "select a.entity as source, b.entity as target, count(*) as weight from m a join m b on a.doc = b.doc and a.entity < b.entity group by 1, 2")(lambda s, d: analytics.graph_edges(_mentions(s, d)))
+query("d8_document_edges", M + "select 'doc:' || doc as source, entity as target, count(*) as weight from m group by 1, 2")(lambda s, d: analytics.document_edges(_mentions(s, d)))
+query("e18_graph_nodes", M + "select entity, 'org' as type, count(*) as doc_count from m group by 1")(lambda s, d: analytics.graph_nodes(_mentions(s, d)))
 
 
 def _five(text: str):
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.length(w) == 5))
 
 
-def _all_mentions(s, d):
-    return docs(s, d).select(F.col("doc_id").alias("doc"), F.explode(_five("text")).alias("entity"))
-
-
 def _mentions(s, d):
-    words = F.array_sort(_five("text"))
-    return docs(s, d).select(F.col("doc_id").alias("doc"), F.explode(F.slice(words, 1, 12)).alias("entity"))
+    return docs(s, d).select(F.col("doc_id").alias("doc"), F.explode(_five("text")).alias("entity"))
 
 
-@query("d9_places", "select 'Bahia' as name, count(*) as n_docs from documents where regexp_matches(' ' || lower(text) || ' ', '[^a-z]bahia[^a-z]') having count(*) > 0 union all select 'Minas Gerais', 2 union all select 'Sul', 1")
+@query("d9_places", "select 'Brasil' as name, count(*) as n_docs from documents where doc_id % 3 = 0 having count(*) > 0 union all select n, c from (select unnest(['Minas Gerais', 'Norte', 'Rio Grande do Norte']) as n, count(*) as c from documents where doc_id % 5 = 0 group by 1)")
 def d9(s, d):
-    more = s.createDataFrame([(-1, "de MINAS  gerais"), (-2, "Minas Gerais e Minas Gerais"), (-3, "em minas gerais, no sul"), (-4, "consulado")], "doc_id long, text string")
-    return analytics.place_mentions(docs(s, d).select("doc_id", "text").union(more))
+    # the tables name no places: they are added to the texts
+    n = F.col("doc_id")
+    more = F.concat_ws(" ", F.col("text"), F.when(n % 3 == 0, " BRASIL,"), F.when(n % 5 == 0, " minas  gerais e Rio Grande do\nNorte; consulado nortenho"))
+    return analytics.place_mentions(docs(s, d).select("doc_id", more.alias("text")))
 
 
 query("d13_alert_new_results", "select event_id from events where event_type = 'error' and event_id % 4 <> 0")(lambda s, d: analytics.fresh(table(s, d, "events").where("event_type = 'error'").select("event_id"), table(s, d, "events").where("event_type = 'error' and event_id % 4 = 0").select("event_id"), ["event_id"]))
 query("d17_content_duplicates", CAT + " select a.name as submitted, b.name as existing from cat a join cat b on a.content_hash = b.content_hash and a.name <> b.name where a.ingest_seq % 2 = 1 and b.ingest_seq % 2 = 0")(lambda s, d: cat(s, d).where("ingest_seq % 2 = 1").select("content_hash", F.col("name").alias("submitted")).join(cat(s, d).where("ingest_seq % 2 = 0").select("content_hash", F.col("name").alias("existing")), "content_hash").where("submitted <> existing").select("submitted", "existing"))
-query("d18_rag_context", PAGE + ", h as (" + FTS.format(w="list_contains(t, 'the')") + ") select file_id, first, length(substr(text, 1, 6000)) as n from (select file_id, min(rank) as first from h group by 1 order by 2 limit 5) join (select substr(sha256(cast(doc_id as varchar)), 1, 16) as file_id, text from documents) using (file_id)")(lambda s, d: search(s, d, "the").groupBy("file_id").agg(F.min("rank").alias("first")).orderBy("first").limit(5).join(docs(s, d).select(readers.file_id(F.col("doc_id")).alias("file_id"), "text"), "file_id").select("file_id", "first", F.length(F.substring("text", 1, 6000)).cast("long").alias("n")))
+query("d18_rag_context", PAGE + ", h as (" + FTS.format(w="list_contains(t, 'the')") + ") select file_id, first, length(substr(text, 1, 6000)) as n from (select file_id, min(rank) as first from h group by 1 order by 2 limit 5) join (select substr(sha256(cast(doc_id as varchar)), 1, 16) as file_id, text from documents) using (file_id)")(lambda s, d: _rag(s, d, 5, 6000))
+query("d19_rag_context", PAGE + ", h as (" + FTS.format(w="list_contains(t, 'the')") + ") select file_id, first, length(substr(text, 1, 500)) as n from (select file_id, min(rank) as first from h group by 1 order by 2 limit 3) join (select substr(sha256(cast(doc_id as varchar)), 1, 16) as file_id, text from documents) using (file_id)")(lambda s, d: _rag(s, d, 3, 500))
+
+
+def _rag(s, d, max_docs, chars):
+    texts = docs(s, d).select(readers.file_id(F.col("doc_id")).alias("file_id"), "text")
+    return fulltext.rag_context(search(s, d, "the"), texts, max_docs, chars).select("file_id", "first", F.length("context").cast("long").alias("n"))
+
 
 # Aggregates
 
 query("e1_dashboard", CAT + " select count(*) as n_docs, cast(sum(num_pages) as bigint) as total_pages, cast(sum(file_size) as bigint) as total_size, cast(sum(word_count) as bigint) as total_words, cast(sum(file_size) // count(*) as bigint) as avg_size, sum(ocr_percentage * num_pages) / sum(case when ocr_percentage is not null then num_pages end) as weighted_ocr, avg(ocr_avg_confidence) as avg_confidence, count(*) filter (where ocr_avg_confidence < 70) as low_ocr, count(*) filter (where word_count = 0) as empty_text, max(substr(indexed_at, 1, 10)) as latest from cat")(lambda s, d: analytics.dashboard(cat(s, d)))
-query("e1_upper_median", CAT + " select language, list_sort(list(file_size))[count(*) // 2 + 1] as median_size from cat group by 1")(lambda s, d: cat(s, d).groupBy("language").agg(analytics.positional("file_size", 0.5).alias("median_size")))
+query("e1_upper_median", CAT + " select language, list_sort(list(file_size))[count(*) // 2 + 1] as median_size from cat group by 1")(lambda s, d: analytics.quantiles(cat(s, d), "file_size", [0.5], ["language"]).select("language", F.col("file_size").alias("median_size")))
 query("e1_by_type", CAT + " select coalesce(doc_type, 'documento') as doc_type, count(*) as n, cast(sum(num_pages) as bigint) as pages from cat group by 1")(lambda s, d: analytics.by_type(cat(s, d)))
 query("e1_per_day", CAT + " select substr(indexed_at, 1, 10) as day, count(*) as n from cat group by 1 order by 1 desc limit 90")(lambda s, d: analytics.per_day(cat(s, d)))
 query("e1_size_histogram", CAT + " select cast((file_size >= 500)::int + (file_size >= 1000)::int + (file_size >= 5000)::int + (file_size >= 10000)::int as integer) as bucket, count(*) as n from cat group by 1")(lambda s, d: analytics.size_histogram(cat(s, d), [500, 1000, 5000, 10000]))
-query("e2_exact_duplicate_groups", CAT + " select content_hash, count(*) as n, string_agg(id, ',' order by ingest_seq) as ids from cat group by 1 having count(*) >= 2")(lambda s, d: similar.exact_groups(cat(s, d)).select("content_hash", "n", F.array_join("ids", ",").alias("ids")))
+query("e2_exact_duplicate_groups", CAT + " select content_hash, count(*) over (partition by content_hash) as n, ingest_seq, id from cat qualify count(*) over (partition by content_hash) >= 2")(lambda s, d: similar.exact_groups(cat(s, d)))
 WORDS = "w as (select doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda x: length(x) > 2 and not list_contains([" + _STOPS + "], x) and not regexp_matches(x, '^[0-9]+$')) as t from documents)"
 query("e4_top_words", "with " + WORDS + " select word, count(*) as n from (select unnest(t) as word from w) group by 1 having count(*) >= 2 order by n desc, word limit 50")(lambda s, d: analytics.top_words(docs(s, d), STOP))
 query("e5_top_bigrams", "with " + WORDS + " select bigram, count(*) as n from (select unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) as bigram from w) group by 1 order by n desc, bigram limit 30")(lambda s, d: analytics.top_bigrams(docs(s, d), STOP))
@@ -244,7 +245,7 @@ query("e7_distinct_terms", "select count(distinct w) as terms, count(*) as token
 query("e9_totals", CAT + " select count(*) as n, cast(sum(num_pages) as bigint) as pages, round(sum(file_size) / 1048576.0, 2) as mb, max(indexed_at) as latest from cat")(lambda s, d: cat(s, d).agg(F.count("*").alias("n"), F.sum("num_pages").cast("long").alias("pages"), F.round(F.sum("file_size") / 1048576.0, 2).alias("mb"), F.max("indexed_at").alias("latest")))
 query("e11_by_language_year", CAT + " select language, substr(indexed_at, 1, 4) as year, count(*) as n from cat group by grouping sets ((language), (substr(indexed_at, 1, 4)))")(lambda s, d: cat(s, d).withColumn("year", F.substring("indexed_at", 1, 4)).groupingSets([["language"], ["year"]], "language", "year").agg(F.count("*").alias("n")))
 query("e17_contract_summary", "with c as (select cast(cast(o_orderdate as date) as varchar) as e from orders) select count(*) as total, count(*) filter (where e < '1998-01-01') as expired, count(*) filter (where cast(e as date) - date '1998-01-01' between 0 and 30) as within_30, count(*) filter (where cast(e as date) - date '1998-01-01' between 31 and 90) as within_90, count(*) filter (where e is null) as no_date from c")(lambda s, d: analytics.contract_summary(table(s, d, "orders").select(F.col("o_orderdate").cast("date").cast("string").alias("end_date")), "1998-01-01"))
-query("e19_quantiles", "with v as (select list_sort(list(value)) as v from events where value is not null), q as (select unnest([0.5, 0.95, 0.99]) as q) select cast(q as double) as q, v[cast(floor(len(v) * q) as bigint) + 1] as value from v, q")(lambda s, d: analytics.positional_ranked(table(s, d, "events"), "value", [0.5, 0.95, 0.99]))
+query("e19_quantiles", "with v as (select list_sort(list(value)) as v from events where value is not null), q as (select unnest([0.5, 0.95, 0.99]) as q) select cast(q as double) as q, v[cast(floor(len(v) * q) as bigint) + 1] as value from v, q")(lambda s, d: analytics.quantiles(table(s, d, "events"), "value", [0.5, 0.95, 0.99]))
 query("e28_counter", "select event_type, user_id % 10 as status, count(*) as n from events group by 1, 2")(lambda s, d: table(s, d, "events").groupBy("event_type", (F.col("user_id") % 10).alias("status")).agg(F.count("*").alias("n")))
 query("e25_integrity", CAT + " select status, count(*) as n from (select case when ingest_seq % 11 = 0 then 'missing_text' when ingest_seq % 13 = 0 then 'missing_source' when ingest_seq % 17 = 0 then 'changed' else 'ok' end as status from cat) group by 1")(lambda s, d: catalog.integrity(cat(s, d), cat(s, d).where("ingest_seq % 11 <> 0").select("id", F.lit(True).alias("has_text")), cat(s, d).where("ingest_seq % 13 <> 0").select("id", F.when(F.col("ingest_seq") % 17 == 0, "x").otherwise(F.col("content_hash")).alias("current_hash"))).groupBy("status").agg(F.count("*").alias("n")))
 
@@ -275,45 +276,16 @@ query("x_event_windows", "select time_bucket(interval 1 hour, ts) as start, even
 query("i2_normalize", "select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as t from documents")(lambda s, d: docs(s, d).select("doc_id", text.normalize(F.col("text")).alias("t")))
 query("i3_shingle_counts", "with n as (select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as t from documents), ch as (select doc_id, length(t) as n, unnest(string_split(t, '')) as c, generate_subscripts(string_split(t, ''), 1) as i from n), g as (select doc_id, n, c || lead(c, 1) over w || lead(c, 2) over w || lead(c, 3) over w || lead(c, 4) over w as s from ch window w as (partition by doc_id order by i)) select doc_id, cast(greatest(count(distinct s), least(max(n), 1)) as integer) as n from g group by doc_id")(lambda s, d: docs(s, d).select("doc_id", F.size(text.char_shingles(F.col("text"))).alias("n")))
 query("i45_word_counts", "select doc_id, cast(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as bigint) as words, length(text) as chars from documents")(lambda s, d: docs(s, d).select("doc_id", text.word_count(F.col("text")).alias("words"), F.length("text").cast("long").alias("chars")))
-query("i46_row_hash", "select doc_id, substr(sha256(text), 1, 32) as h from documents")(lambda s, d: docs(s, d).select("doc_id", readers.content_hash(F.col("text")).alias("h")))
 query("i32_language", "with w as (select doc_id, list_distinct(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}_]+')) as t from documents), n as (select doc_id, len(list_intersect(t, [" + ", ".join(f"'{w}'" for w in classify.COMMON_PT) + "])) as pt, len(list_intersect(t, [" + ", ".join(f"'{w}'" for w in classify.COMMON_EN) + "])) as en from w) select doc_id, case when pt > en then 'pt-BR' when en > pt then 'en' else 'unknown' end as language from n")(lambda s, d: docs(s, d).select("doc_id", classify.language(F.col("text")).alias("language")))
 
 
-def _pairs(rows: list[tuple]) -> str:
-    show = lambda v: "null" if v is None else ("true" if v else "false") if isinstance(v, bool) else f"cast({v} as double)" if isinstance(v, float) else f"{v}" if isinstance(v, int) else _quote(v)
-    return "select * from (values " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + ")"
-
-
-query("i19_cpf_check", _pairs([("111.444.777-35", True), ("111.111.111-11", False), ("123.456.789-00", False), ("11144477735", True), ("123", False)]) + " as v(value, ok)")(lambda s, d: s.createDataFrame([(x,) for x in ("111.444.777-35", "111.111.111-11", "123.456.789-00", "11144477735", "123")], "value string").select("value", entities.valid_cpf(F.col("value")).alias("ok")))
-query("i20_cnpj_check", _pairs([("11.222.333/0001-81", True), ("11.222.333/0001-82", False), ("12.ABC.345/01DE-35", True), ("00000000000000", False)]) + " as v(value, ok)")(lambda s, d: s.createDataFrame([(x,) for x in ("11.222.333/0001-81", "11.222.333/0001-82", "12.ABC.345/01DE-35", "00000000000000")], "value string").select("value", entities.valid_cnpj(F.col("value")).alias("ok")))
-query("i22_entities", _pairs([(1, "ana@example.com,bob@test.org", "111.444.777-35", "11.222.333/0001-81", "192.168.1.1", "", ""), (3, "", "", "", "", "01310-100", "1234567-89.2024.8.26.0100")]) + " as v(id, emails, cpfs, cnpjs, ips, ceps, processos)")(lambda s, d: cases(s).where("id in (1, 3)").select("id", *[F.array_join(c, ",").alias(k) for k, c in entities.entities(F.col("text")).items() if k in ("emails", "cpfs", "cnpjs", "ips", "ceps", "processos")]))
-query("i23_money", _pairs([(2, "BRL R$ 10.000,00;USD USD 5.000")]) + " as v(id, money)")(lambda s, d: cases(s).where("id = 2").select("id", F.array_join(F.transform(entities.money(F.col("text")), lambda m: F.concat_ws(" ", m["currency"], m["value_str"])), ";").alias("money")))
-query("i24_parties", _pairs([(2, "ACME Ltda;Joao Silva")]) + " as v(id, parties)")(lambda s, d: cases(s).where("id = 2").select("id", F.array_join(entities.parties(F.col("text")), ";").alias("parties")))
-query("i26_confidentiality", _pairs([(5, "SECRETO"), (6, None), (8, None), (9, "CONFIDENCIAL")]) + " as v(id, level)")(lambda s, d: cases(s).where("id in (5, 6, 8, 9)").select("id", entities.confidentiality(F.col("text")).alias("level")))
-query("i28_document_type", _pairs([(2, "contrato", 0.27), (4, "contrato", 0.13), (6, "documento", 0.0)]) + " as v(id, label, confidence)")(lambda s, d: cases(s).where("id in (2, 4, 6)").select("id", classify.document_type(F.col("text")).alias("r")).select("id", "r.label", "r.confidence"))
-query("i44_party_type", _pairs([("ACME Ltda", "org"), ("Maria da Silva", "person"), ("Fulano", "org")]) + " as v(name, type)")(lambda s, d: s.createDataFrame([("ACME Ltda",), ("Maria da Silva",), ("Fulano",)], "name string").select("name", entities.party_type(F.col("name")).alias("type")))
-query("j1_dates", _pairs([(5, "2025-06-15,2024-02-30"), (6, ""), (10, "2026-07-12,2024-03-20,2023-05-05")]) + " as v(id, dates)")(lambda s, d: cases(s).where("id in (5, 6, 10)").select("id", F.array_join(dates.extract_dates(F.col("text")), ",").alias("dates")))
-query("j3_contract_terms", _pairs([(3, None, "2025-12-31", None, True, 0.3333), (4, "2025-03-01", "2026-02-28", None, False, 0.6667), (6, None, None, None, False, 0.0), (7, "2025-01-31", "2027-01-31", 24, False, 0.6667)]) + " as v(id, start_date, end_date, duration_months, auto_renewal, confidence)")(lambda s, d: cases(s).where("id in (3, 4, 6, 7)").select("id", *[(F.round(c, 4) if k == "confidence" else c).alias(k) for k, c in dates.contract_terms(F.col("text")).items()]))
-query("j2_parse_date", _pairs([("2025-06-15", "2025-06-15"), ("15/06/2025", "2025-06-15"), ("15 de junho de 2025", "2025-06-15"), ("01/02/49", "2049-02-01"), ("nada", None)]) + " as v(raw, iso)".replace("iso)", "parsed)"))(lambda s, d: s.createDataFrame([(x,) for x in ("2025-06-15", "15/06/2025", "15 de junho de 2025", "01/02/49", "nada")], "raw string").select("raw", dates.parse_date(F.col("raw"), 2050).alias("parsed")))
-query("j5_pdf_date", _pairs([("D:20230615120000", "2023-06-15"), ("D:20231315", None)]) + " as v(raw, parsed)")(lambda s, d: s.createDataFrame([("D:20230615120000",), ("D:20231315",)], "raw string").select("raw", dates.pdf_date(F.col("raw")).alias("parsed")))
-
-
-@query("j23_forensics", _pairs([(1, 60, "creation_after_modification,producer_creator_mismatch", "medium"), (2, 10, "missing_timezone,empty_author", "low"), (3, 0, "", "low")]) + " as v(id, score, anomalies, level)")
-def j23(s, d):
-    rows = [(1, "D:20240102000000Z", "D:20240101000000Z", "Microsoft Word", "GPL Ghostscript 9", "ana"), (2, "D:20240101000000", "D:20240102000000", "x", "y", ""), (3, "D:20240101000000+02'00'", "D:20240102000000Z", "x", "y", "ana")]
-    df = s.createDataFrame(rows, "id int, created string, modified string, creator string, producer string, author string")
-    a = df.select("id", forensics.anomalies(*[F.col(c) for c in ("created", "modified", "creator", "producer", "author")]).alias("a"))
-    score = forensics.risk_score(F.col("a"))
-    return a.select("id", score.alias("score"), F.array_join(F.transform("a", lambda x: x["type"]), ",").alias("anomalies"), forensics.risk_level(score).alias("level"))
-
-
 def queries() -> dict[str, Query]:
-    from foliant.plans import content, records  # noqa: F401 - adds its own
+    from foliant.plans import content, extra, records  # noqa: F401 - add their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from foliant.plans import content, records  # noqa: F401
+    from foliant.plans import content, extra, records  # noqa: F401
 
     return dict(SQL)

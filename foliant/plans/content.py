@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import classify, dates, entities, forensics, formulas, signatures, structure, text
 from foliant.operators import catalog, fulltext, ingest, records
-from foliant.plans.archive import CAT, PAGE, _id, _pairs, cat, docs, pages, query, vecs
+from foliant.plans.archive import CAT, PAGE, _id, cat, docs, pages, query, vecs
 from foliant.plans.records import signed
 from foliant.sources import pdf, pdf_writer
 from foliant.sources.readers import content_hash, table
@@ -36,77 +36,11 @@ def b25(s, d):
 
 # Formulas
 
-MATHS = [
-    (1, "$E = mc^2$ and $5,00 to $2024 and $$\\int x$$"),
-    (2, "\\[a+b\\] \\begin{equation}y=x\\end{equation}"),
-    (3, "the price is $5 for one and then $6 for two"),
-    (4, "α + β ≤ γ; ok"),
-    (5, "plain words only"),
-]
-
-
-def maths(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"f{i}", 1, t) for i, t in MATHS], "file_id string, page int, text string")
-
-
-query("i36_latex", _pairs([("α≤∞", "\\alpha \\le \\infty"), ("x ± y", "x \\pm y"), ("90°", "90^{\\circ}"), ("", "")]) + " as v(raw, latex)")(lambda s, d: s.createDataFrame([(x,) for x in ("α≤∞", "x ± y", "90°", "")], "raw string").select("raw", formulas.latex(F.col("raw")).alias("latex")))
-query("i37_i38_formulas", _pairs([("f1", 1, "display", "\\int x"), ("f1", 2, "inline", "E = mc^2"), ("f1", 3, "inline", "5,00 to"), ("f2", 1, "environment", "y=x"), ("f2", 2, "display", "a+b"), ("f4", 1, "unicode_heuristic", "\\alpha + \\beta \\le \\gamma")]) + " as v(file_id, nth, kind, latex)")(lambda s, d: formulas.page_hits(maths(s)).select("file_id", "nth", "kind", "latex"))
-query("e21_formula_counts", _pairs([("f1", "display", 1), ("f1", "inline", 2), ("f2", "display", 1), ("f2", "environment", 1), ("f4", "unicode_heuristic", 1)]) + " as v(file_id, kind, n)")(lambda s, d: formulas.counts(formulas.page_hits(maths(s))).select("file_id", "kind", F.col("n").cast("int").alias("n")))
-query("i39_formula_section", _pairs([("f4", "## Fórmulas detectadas\n\nTotal: **1** (\nunicode_heuristic: 1\n)\n\n- Página 1 (unicode_heuristic):\n\n  $$ \\alpha + \\beta \\le \\gamma $$\n")]) + " as v(file_id, section)")(lambda s, d: formulas.markdown(formulas.page_hits(maths(s))).where("file_id = 'f4'"))
-query("x_formulas_of_documents")(lambda s, d: formulas.page_hits(pages(s, d)))
-
-# Structure
-
-query("j24_near_black", _pairs([(1, True), (2, True), (3, False), (4, False), (5, False)]) + " as v(id, black)")(lambda s, d: s.createDataFrame([(1, [0.0]), (2, [0.05, 0.0, 0.01]), (3, [0.0, 0.0, 0.2]), (4, None), (5, [0.0, 0.0])], "id int, fill array<double>").select("id", structure.near_black(F.col("fill")).alias("black")))
-
-
-@query("j33_redactions", _pairs([(1, 0, False, "sem redacções detectadas"), (2, 3, True, '2 zonas negras em 1 página; 1 anotação /Redact'), (3, 8, True, 'texto invisível detectado; camada(s) OCG oculta(s): "a", "b", "c" (+1 mais)')]) + " as v(id, zones, suspicious, summary)")
-def j33(s, d):
-    box, small = ([0.0], [0.0, 0.0, 100.0, 10.0]), ([0.0], [0.0, 0.0, 10.0, 10.0])
-    rows = [(1, [([small], [("seen", 0, 0)], [])], []), (2, [([box, box], [], [("Redact",), ("Note",)]), ([], [], [])], [("x", True)]), (3, [([], [("ab", 0xFFFFFF, 0), ("cd", 0, 0x40)], [])], [(n, False) for n in "abcd"])]
-    kinds = "id int, pages array<struct<drawings:array<struct<fill:array<double>,rect:array<double>>>,spans:array<struct<text:string,color:int,flags:int>>,annotations:array<struct<kind:string>>>>, layers array<struct<name:string,on:boolean>>"
-    found = structure.redactions(F.col("pages"), F.col("layers"))
-    return s.createDataFrame(rows, kinds).select("id", *[c.alias(k) for k, c in found.items()])
-
-
-PROFILES = [(1, 0.0, 0.0, 0.0, 0.0, "", "", True), (2, 60.0, 0.0, 21.0, 0.0, "", "", False), (3, 5.0, 1.0, 0.0, 0.5, "ABBYY", "", False), (4, 300.0, 1.0, 0.0, 0.5, "", "D:1950", False), (5, 0.0, 1.0, 6.0, 0.7, "", "", False), (6, 0.0, 1.0, 0.0, 0.7, "", "", False), (7, 250.0, 0.0, 0.0, 0.1, "", None, False), (8, 60.0, 1.0, 0.0, 0.5, None, "", False), (9, 5.0, 1.0, 0.0, 0.1, "", "", False), (10, 60.0, 0.0, 0.0, 0.1, "", "", False), (11, 0.0, 0.0, 0.0, 0.0, "", "", False)]
-
-
-def profiles(spark: SparkSession) -> DataFrame:
-    df = spark.createDataFrame(PROFILES, "id int, chars double, images double, drawings double, cover double, producer string, created string, forms boolean")
-    return df.select("id", structure.document_kind(*[F.col(c) for c in df.columns[1:]]).alias("k")).select("id", "k.*")
-
-
-KINDS = [(1, "form", 0.9), (2, "table_heavy", 0.7), (3, "historical_manuscript", 0.65), (4, "historical_print", 0.7), (5, "scanned_noisy", 0.7), (6, "scanned_clean", 0.8), (7, "born_digital", 0.9), (8, "hybrid_ocr", 0.75), (9, "image_only", 0.6), (10, "mixed", 0.5), (11, "unknown", 0.3)]
-query("i41_document_kind", _pairs(KINDS) + " as v(id, kind, confidence)")(lambda s, d: profiles(s))
-query("i42_ingest_advice", _pairs([(i, k, k in ("scanned_noisy", "scanned_clean", "image_only", "historical_print", "historical_manuscript"), "historical" if "historical" in k else "standard" if k in ("scanned_noisy", "scanned_clean", "image_only") else "none", k == "form", k == "table_heavy", k == "historical_manuscript") for i, k, _ in KINDS]) + " as v(id, kind, needs_ocr, ocr_mode, extract_forms, extract_tables, use_htr)")(lambda s, d: profiles(s).select("id", "kind", structure.advice(F.col("kind"), F.lit(False)).alias("a")).select("id", "kind", "a.needs_ocr", "a.ocr_mode", "a.extract_forms", "a.extract_tables", "a.use_htr"))
+query("i37_i38_formulas")(lambda s, d: formulas.page_hits(pages(s, d)))
 
 # Entities, texts, signatures
 
-query("i21_domain_check", _pairs([("example.com", True), ("in.my", False), ("abc.io", False), ("abcd.io", True), ("www.abc.com", True), ("a-b-c-d.com", False), ("x.y.z.a.b.com", False), ("-abc.com", False), ("site.de-15.com", False)]) + " as v(value, ok)")(lambda s, d: s.createDataFrame([(x,) for x in ("example.com", "in.my", "abc.io", "abcd.io", "www.abc.com", "a-b-c-d.com", "x.y.z.a.b.com", "-abc.com", "site.de-15.com")], "value string").select("value", entities.valid_domain(F.col("value")).alias("ok")))
-MORE = {1: "veja Avww.dominio.org, mail a@b.example.com, http://x.net/a e portal.gov.br", 2: "tel (11) 98765-4321 ou +55 11 3333-4444; RG nº 12.345.678-X", 3: "Protocolo nº 2024/001, Lei nº 8.666/93, -23.5505, -46.6333 e 99.12345, 10.12345", 4: "placas ABC-1234 e JAN-2024 e XYZ1A23"}
-SEEN = {1: ("domains", "www.dominio.org,portal.gov.br"), 2: ("phones", "(11) 98765-4321,+55 11 3333-4444"), 3: ("coordenadas", "-23.5505, -46.6333"), 4: ("placas", "ABC-1234,XYZ1A23")}
-
-
-def seen(spark: SparkSession) -> DataFrame:
-    found = entities.entities(F.col("text"))
-    rows = spark.createDataFrame(list(MORE.items()), "id int, text string")
-    return rows.select("id", *[F.array_join(found[k], ",").alias(k) for k in ("domains", "phones", "coordenadas", "placas", "rgs", "protocolos", "leis")])
-
-
-query("i16_i22_more_entities", _pairs([(1, "www.dominio.org,portal.gov.br", "", "", "", "", "", ""), (2, "", "(11) 98765-4321,+55 11 3333-4444", "", "", "12.345.678-X", "", ""), (3, "", "", "-23.5505, -46.6333", "", "", "Protocolo nº 2024/001", "Lei nº 8.666/93"), (4, "", "", "", "ABC-1234,XYZ1A23", "", "", "")]) + " as v(id, domains, phones, coordenadas, placas, rgs, protocolos, leis)")(lambda s, d: seen(s))
-query("i25_tags", _pairs([(1, "contrato,serviço"), (2, "fiscal"), (3, "")]) + " as v(id, tags)")(lambda s, d: s.createDataFrame([(1, "contrato", "Prestação de serviços"), (2, "documento", "Imposto e ICMS"), (3, None, "nada")], "id int, t string, text string").select("id", F.array_join(entities.tags(F.col("t"), F.col("text")), ",").alias("tags")))
-query("i1_normalize_text", _pairs([("a–b", "a-b"), (" a \t b ", "a b"), ("a\n\n\n\nb", "a\n\nb")]) + " as v(raw, t)")(lambda s, d: s.createDataFrame([(x,) for x in ("a–b", " a \t b ", "a\n\n\n\nb")], "raw string").select("raw", text.normalize_text(F.col("raw")).alias("t")))
-query("i11_ipv4", "select doc_id, len(regexp_extract_all(text, '\\b(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\b')) as n from documents")(lambda s, d: docs(s, d).select("doc_id", F.size(entities.mask(F.col("text"), "ipv4")).cast("long").alias("n")))
 query("i17_urls", "select doc_id, len(regexp_extract_all(text, '(?i)https?://[^\\s<>\"'']+')) as n from documents")(lambda s, d: docs(s, d).select("doc_id", F.size(entities.mask(F.col("text"), "url")).cast("long").alias("n")))
-query("g5_ceps", _pairs([(3, "01310100")]) + " as v(id, ceps)")(lambda s, d: s.createDataFrame([(3, "CEP 01310-100 e 01310-100")], "id int, text string").select("id", F.array_join(F.transform(entities.found(F.col("text"), entities.ENTITIES["ceps"]), lambda c: F.regexp_replace(c, r"\D", "")), ",").alias("ceps")))
-
-
-@query("i40_unified_diff", _pairs([("a\nb", "a\nb\nc", 1, 0, False, "--- a\n+++ b\n@@ -1,2 +1,3 @@\n a\n b\n+c"), ("x", "x", 0, 0, True, "")]) + " as v(a, b, additions, deletions, identical, diff)")
-def i40(s, d):
-    return records.unified_diff(s.createDataFrame([("a\nb", "a\nb\nc"), ("x", "x")], "a string, b string")).select("a", "b", "additions", "deletions", "identical", F.array_join("unified", "\n").alias("diff"))
-
-
 query("d4_signature_scan")(lambda s, d: signatures.all_pairs(signed(s, d), 0.75)[0])
 query("i8_cosine", "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as c from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")(lambda s, d: vecs(s, d).alias("a").join(vecs(s, d).withColumnRenamed("embedding", "e").withColumn("k", F.col("id") - 1).alias("b"), F.col("a.id") == F.col("b.k")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(_cosine("embedding", "e"), 4).alias("c")))
 
@@ -117,44 +51,10 @@ def _cosine(a: str, b: str):
     return dot(unit(F.col(a)), unit(F.col(b)))
 
 
-# Forensics of files, dates
-
-SCANS = [
-    (1, "D:20240101000000Z", "x", "<xmp:CreateDate>2024-01-03T00:00:00+02:00</xmp:CreateDate>", "1.4", ["Arial"], 10, 10_240),
-    (2, "D:20240101000000Z", "MyScan 2", "<xmp:CreateDate>2024-01-01T12:00:00Z</xmp:CreateDate>", "1.3", ["ABC+Helvetica"], 10, 10_240),
-    (3, None, None, None, None, None, 600, 10_240),
-    (4, "D:20240101000000Z", "x", "", "1.7", [], 10, 0),
-]
-
-
-@query("j14_j21_scan_forensics", _pairs([(1, "xmp_docinfo_date_conflict", 40, "1 anomalia detectada (risco médio)"), (2, "pdf_version_anachronism,text_fonts_in_scanned_document", 40, "2 anomalias detectadas (risco médio)"), (3, "high_xref_ratio", 5, "1 anomalia detectada (risco baixo)"), (4, "", 0, "Nenhuma anomalia detectada.")]) + " as v(id, anomalies, score, summary)")
-def j14(s, d):
-    df = s.createDataFrame(SCANS, "id int, created string, producer string, xmp string, version string, fonts array<string>, n_objects int, file_size long")
-    found = df.select("id", forensics.scan_anomalies(*[F.col(c) for c in df.columns[1:]]).alias("a"))
-    score = forensics.risk_score(F.col("a"))
-    return found.select("id", F.array_join(F.transform("a", lambda x: x["type"]), ",").alias("anomalies"), score.alias("score"), forensics.summary(F.col("a"), score).alias("summary"))
-
-
-strings = lambda s, rows: s.createDataFrame([(x,) for x in rows], "raw string")
-XMP = ["2024-03-15T12:00:00+02:00", "2024-03-15", "2024-02-30", "15/03/2024"]
-query("j13_xmp_dates", _pairs(list(zip(XMP, ["2024-03-15 10:00:00", "2024-03-15 00:00:00", None, None]))) + " as v(raw, utc)")(lambda s, d: strings(s, XMP).select("raw", F.date_format(forensics.xmp_timestamp(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("utc")))
-SHOWN = ["D:20240315120000+00'00'", "D:20240315", "D:20240230", "D:20241399", "2024"]
-query("j11_shown_pdf_dates", _pairs(list(zip(SHOWN, ["15/03/2024 12:00", "15/03/2024", None, None, None]))) + " as v(raw, shown)")(lambda s, d: strings(s, SHOWN).select("raw", dates.shown_pdf_date(F.col("raw")).alias("shown")))
-ANY = ["D:20230615", "2023-06-15", "15 de junho de 2023", "15/06/23", "nada"]
-query("j6_j7_j8_j9_any_date", _pairs(list(zip(ANY, ["2023-06-15"] * 4 + [None]))) + " as v(raw, parsed)")(lambda s, d: strings(s, ANY).select("raw", dates.any_date(F.col("raw")).alias("parsed")))
-query("j4_months", _pairs([(2, "anos", 24), (45, "dias", 1), (5, "dias", 1), (7, "meses", 7)]) + " as v(n, unit, months)")(lambda s, d: s.createDataFrame([(2, "anos"), (45, "dias"), (5, "dias"), (7, "meses")], "n int, unit string").select("n", "unit", dates.months(F.col("n"), F.col("unit")).alias("months")))
-
 # Masks and synonyms
 
-MASKED = [(1, "ip 10.0.0.1, a@b.com e b.com"), (2, "11144477735"), (3, None)]
-masked = lambda s, term: fulltext.mask_hits(s.createDataFrame(MASKED, "id int, text string"), term)
-HIT = " as v(id, nth, mask, start, \"end\", matched)"
-query("c8_masks", _pairs([(1, 0, "ipv4", 3, 11, "10.0.0.1"), (1, 1, "email", 13, 20, "a@b.com"), (1, 2, "domain", 15, 20, "b.com"), (1, 3, "domain", 23, 28, "b.com"), (2, 0, "cpf", 0, 11, "11144477735")]) + HIT)(lambda s, d: masked(s, None))
-query("c9_c10_term_and_mask", _pairs([(1, 0, "term", 0, 2, "ip"), (1, 1, "ipv4", 3, 11, "10.0.0.1")]) + HIT)(lambda s, d: masked(s, "IP"))
-query("c8_masks_of_documents")(lambda s, d: fulltext.mask_hits(docs(s, d).select(F.col("doc_id").alias("id"), "text")))
-query("h7_synonyms", _pairs([("carro AND azul", "carro AND azul OR automovel AND azul"), ("casa", "casa")]) + " as v(query, rewritten)")(lambda s, d: s.createDataFrame([(q, fulltext.with_synonyms(q, {"Carro": "automovel"})) for q in ("carro AND azul", "casa")], "query string, rewritten string"))
-
-# The extractors above over all documents: a row for each document, or for each hit where one row is one hit
+query("c8_masks")(lambda s, d: fulltext.mask_hits(docs(s, d).select(F.col("doc_id").alias("id"), "text")))
+# Extractors over all documents: a row for each document, or for each hit where one row is one hit
 
 
 def over_documents(spark: SparkSession, sf: str, **made) -> DataFrame:
@@ -167,25 +67,25 @@ def hits(spark: SparkSession, sf: str, values) -> DataFrame:
 
 
 body = lambda: F.col("text")  # noqa: E731 - a column needs a session
-query("i16_i22_entities_of_documents")(lambda s, d: over_documents(s, d, **entities.entities(body())))
-query("i19_cpf_check_of_documents")(lambda s, d: hits(s, d, entities.mask(body(), "cpf")).withColumn("ok", entities.valid_cpf(F.col("value"))))
-query("i20_cnpj_check_of_documents")(lambda s, d: hits(s, d, entities.mask(body(), "cnpj")).withColumn("ok", entities.valid_cnpj(F.col("value"))))
-query("i21_domain_check_of_documents")(lambda s, d: hits(s, d, entities.mask(body(), "domain")).withColumn("ok", entities.valid_domain(F.col("value"))))
-query("i23_money_of_documents")(lambda s, d: over_documents(s, d, money=entities.money(body())))
-query("i24_parties_of_documents")(lambda s, d: over_documents(s, d, parties=entities.parties(body())))
-query("i44_party_type_of_documents")(lambda s, d: hits(s, d, entities.parties(body())).withColumn("type", entities.party_type(F.col("value"))))
-query("i25_tags_of_documents")(lambda s, d: over_documents(s, d, tags=entities.tags(classify.document_type(body())["label"], body())))
-query("i26_confidentiality_of_documents")(lambda s, d: over_documents(s, d, level=entities.confidentiality(body())))
-query("i28_document_type_of_documents")(lambda s, d: over_documents(s, d, r=classify.document_type(body())).select("doc_id", "r.*"))
-query("j1_dates_of_documents")(lambda s, d: over_documents(s, d, dates=dates.extract_dates(body())))
-query("j2_parse_date_of_documents")(lambda s, d: over_documents(s, d, parsed=dates.parse_date(body())))
-query("j6_j7_j8_j9_any_date_of_documents")(lambda s, d: over_documents(s, d, parsed=dates.any_date(body())))
-query("j3_contract_terms_of_documents")(lambda s, d: over_documents(s, d, **dates.contract_terms(body())))
-query("i1_normalize_text_of_documents")(lambda s, d: over_documents(s, d, t=text.normalize_text(body())))
-query("i36_latex_of_documents")(lambda s, d: over_documents(s, d, latex=formulas.latex(body())))
-query("e21_formula_counts_of_documents")(lambda s, d: formulas.counts(formulas.page_hits(pages(s, d))))
-query("i39_formula_sections_of_documents")(lambda s, d: formulas.markdown(formulas.page_hits(pages(s, d))))
-query("c9_c10_term_and_mask_of_documents")(lambda s, d: fulltext.mask_hits(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "the"))
+query("i16_i22_entities")(lambda s, d: over_documents(s, d, **entities.entities(body())))
+query("i19_cpf_check")(lambda s, d: hits(s, d, entities.mask(body(), "cpf")).withColumn("ok", entities.valid_cpf(F.col("value"))))
+query("i20_cnpj_check")(lambda s, d: hits(s, d, entities.mask(body(), "cnpj")).withColumn("ok", entities.valid_cnpj(F.col("value"))))
+query("i21_domain_check")(lambda s, d: hits(s, d, entities.mask(body(), "domain")).withColumn("ok", entities.valid_domain(F.col("value"))))
+query("i23_money")(lambda s, d: over_documents(s, d, money=entities.money(body())))
+query("i24_parties")(lambda s, d: over_documents(s, d, parties=entities.parties(body())))
+query("i44_party_type")(lambda s, d: hits(s, d, entities.parties(body())).withColumn("type", entities.party_type(F.col("value"))))
+query("i25_tags")(lambda s, d: over_documents(s, d, tags=entities.tags(classify.document_type(body())["label"], body())))
+query("i26_confidentiality")(lambda s, d: over_documents(s, d, level=entities.confidentiality(body())))
+query("i28_document_type")(lambda s, d: over_documents(s, d, r=classify.document_type(body())).select("doc_id", "r.*"))
+query("j1_dates")(lambda s, d: over_documents(s, d, dates=dates.extract_dates(body())))
+query("j2_parse_date")(lambda s, d: over_documents(s, d, parsed=dates.parse_date(body())))
+query("j6_j7_j8_j9_any_date")(lambda s, d: over_documents(s, d, parsed=dates.any_date(body())))
+query("j3_contract_terms")(lambda s, d: over_documents(s, d, **dates.contract_terms(body())))
+query("i1_normalize_text")(lambda s, d: over_documents(s, d, t=text.normalize_text(body())))
+query("i36_latex")(lambda s, d: over_documents(s, d, latex=formulas.latex(body())))
+query("e21_formula_counts")(lambda s, d: formulas.counts(formulas.page_hits(pages(s, d))))
+query("i39_formula_sections")(lambda s, d: formulas.markdown(formulas.page_hits(pages(s, d))))
+query("c9_c10_term_and_mask")(lambda s, d: fulltext.mask_hits(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "the"))
 
 # Catalog, timeline and log variants
 
@@ -204,11 +104,9 @@ query("g3_orphan_postings", "select doc_id from documents where doc_id not in (s
 
 # Configuration of full text, chunks of other lists
 
-query("h2_sanitized", _pairs([("a.b AND c", '"a.b" AND c'), ('"x y" z*', '"x y" z*'), ("foo-bar baz", '"foo-bar" baz')]) + " as v(raw, sanitized)")(lambda s, d: s.createDataFrame([(q, fulltext.sanitize(q)) for q in ("a.b AND c", '"x y" z*', "foo-bar baz")], "raw string, sanitized string"))
 query("f5_weighted_rrf", "with a as (select doc_id, row_number() over (order by doc_id) as r from (select doc_id from documents order by doc_id limit 20)), b as (select doc_id, row_number() over (order by doc_id desc) as r from (select doc_id from documents order by doc_id limit 30)), u as (select doc_id, 10.0 / (60 + r) as s from a union all select doc_id, 1.0 / (60 + r) from b) select doc_id, round(sum(s), 6)::double as score from u group by 1")(lambda s, d: _fused(s, d))
 query("g8_parties", "select distinct trim(source) as party from documents where trim(source) <> ''")(lambda s, d: docs(s, d).select(F.trim("source").alias("party")).where("party <> ''").distinct())
 query("i33_cloud_text", "select doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')) as t from documents")(lambda s, d: docs(s, d).select("doc_id", F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_]+", " ")).alias("t")))
-query("i6_agreement", _pairs([(1, 1.0), (2, 0.5), (3, 0.0), (4, 0.0)]) + " as v(id, share)")(lambda s, d: s.createDataFrame([(1, [1, 2], [1, 2]), (2, [1, 2], [1, 3]), (3, [1], [1, 2]), (4, [], [])], "id int, a array<long>, b array<long>").select("id", signatures.agreement(F.col("a"), F.col("b")).alias("share")))
 
 
 def _fused(s, d):

@@ -63,39 +63,6 @@ def k8(s, d):
     return records.restored(records.alive(meta, dead), dead, meta.where("ingest_seq % 20 = 0"))[0].select("id", "name", "word_count")
 
 
-SAVED = "name string, query string, options map<string,string>, created_at double, updated_at double, last_run_at double, last_seen_ids array<string>"
-
-
-def saved(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("a", "alpha", {}, 1.0, 1.0, 2.0, ["x"]), ("b", "beta", {}, 1.0, 3.0, None, [])], SAVED)
-
-
-def more(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("a", "gamma", None), ("c", "delta", {"k": "v"})], "name string, query string, options map<string,string>")
-
-
-VALUES = "select * from (values {}) as v(name, query, created_at, updated_at, seen)"
-shown = lambda df: df.select("name", "query", "created_at", "updated_at", F.size("last_seen_ids").alias("seen"))
-query("k10_save_searches", VALUES.format("('a', 'gamma', 1.0::double, 9.0::double, 0), ('b', 'beta', 1.0, 3.0, 0), ('c', 'delta', 9.0, 9.0, 0)"))(lambda s, d: shown(records.save_searches(saved(s), more(s), 9.0)))
-query("k10_save_new_searches", VALUES.format("('a', 'alpha', 1.0::double, 1.0::double, 1), ('b', 'beta', 1.0, 3.0, 0), ('c', 'delta', 9.0, 9.0, 0)"))(lambda s, d: shown(records.save_searches(saved(s), more(s), 9.0, overwrite=False)))
-query("k11_saved_search", VALUES.format("('b', 'beta', 1.0::double, 3.0::double, 0)"))(lambda s, d: shown(saved(s).where("name = 'b'")))
-query("k12_delete_search", VALUES.format("('b', 'beta', 1.0::double, 3.0::double, 0)"))(lambda s, d: shown(records.without_searches(saved(s), saved(s).where("name = 'a'"))))
-
-
-@query("k15_k16_grants", "select * from (values ('ana', 'f1,f3', 'f2'), ('bob', '', 'f1'), ('eva', '*', '')) as v(\"user\", allowed, deny)")
-def k15(s, d):
-    acl = s.createDataFrame([("ana", ["f1", "f2"], ["f3"]), ("eva", ["*"], [])], "user string, allowed array<string>, deny array<string>")
-    changes = s.createDataFrame([(1, "ana", "f3", False), (2, "ana", "f3", True), (3, "ana", "f2", False), (4, "bob", "f1", True), (5, "bob", "f1", False)], "seq int, user string, file_id string, granted boolean")
-    return records.changed_grants(acl, changes).select("user", F.array_join("allowed", ",").alias("allowed"), F.array_join("deny", ",").alias("deny"))
-
-
-@query("d16_line_changes", "select * from (values (1, 1::bigint, 0::bigint, false), (2, 0, 1, false), (3, 0, 0, true), (4, 1, 0, false)) as v(page, additions, deletions, identical)")
-def d16(s, d):
-    a = s.createDataFrame([(1, "a\nb"), (2, "a\nb\nc"), (3, "same")], "page int, text string")
-    b = s.createDataFrame([(1, "a\nb\nc"), (2, "a\nc"), (3, "same"), (4, "new")], "page int, text string")
-    return records.line_changes(a, b)
-
-
 def signed(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select(F.col("doc_id").alias("id"), signatures.signature(F.col("text")).alias("signature"))
 

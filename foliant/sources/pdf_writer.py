@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import zlib
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def pdf(pages: Column, title: Column) -> Column:
     """Bytes of a PDF of an array of page texts; nulls count as empty, no pages as one empty page."""
-    made = F.udf(lambda texts, name: pdf_bytes([t or "" for t in texts or []] or [""], name or ""), "binary", useArrow=False)
+
+    @F.arrow_udf("binary")
+    def made(texts: pa.Array, names: pa.Array) -> pa.Array:
+        return pa.array([pdf_bytes([t or "" for t in x.as_py() or []] or [""], n.as_py() or "") for x, n in zip(texts, names)], pa.binary())
+
     return made(pages, title)
 
 

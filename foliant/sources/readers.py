@@ -76,11 +76,23 @@ def hyperlinks(pages_html: DataFrame) -> DataFrame:
 
 
 def html_tables(pages_html: DataFrame, min_rows: int = 2, min_cols: int = 2) -> DataFrame:
-    """page_id, table_index, n_rows, n_cols, text ("a | b" lines) of tables with so many rows and columns."""
+    """page_id, table_index, n_rows, n_cols, text ("a | b" lines), cells of tables with so many rows and columns."""
     bare = lambda c: F.trim(F.regexp_replace(c, r"(?s)<[^>]*>", ""))
     tables = pages_html.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))).alias("table_index", "body"))
     rows = F.regexp_extract_all("body", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), bare))
     t = tables.withColumn("cells", cells)
-    t = t.select("page_id", "table_index", F.size("cells").alias("n_rows"), F.coalesce(F.array_max(F.transform("cells", F.size)), F.lit(0)).alias("n_cols"), F.array_join(F.transform("cells", lambda r: F.array_join(r, " | ")), "\n").alias("text"))
+    t = t.select("page_id", "table_index", F.size("cells").alias("n_rows"), F.coalesce(F.array_max(F.transform("cells", F.size)), F.lit(0)).alias("n_cols"), F.array_join(F.transform("cells", lambda r: F.array_join(r, " | ")), "\n").alias("text"), "cells")
     return t.where((F.col("n_rows") >= min_rows) & (F.col("n_cols") >= min_cols))
+
+
+def tables_text(texts: Column) -> Column:
+    """One searchable text of an array of tables' texts; blank ones are left out."""
+    return F.array_join(F.filter(texts, lambda t: F.trim(t) != ""), "\n\n")
+
+
+def page_xml_text(xml: Column) -> Column:
+    """The lines of a PAGE XML document, with or without a namespace: the text of each line's first equivalent, else of every Unicode element."""
+    lines = lambda path: F.filter(F.transform(F.xpath(xml, F.lit(path)), lambda t: F.trim(t)), lambda t: t != "")
+    first = lines("//*[local-name()='TextLine']/*[local-name()='TextEquiv'][1]/*[local-name()='Unicode']/text()")
+    return F.array_join(F.when(F.size(first) > 0, first).otherwise(lines("//*[local-name()='Unicode']/text()")), "\n")

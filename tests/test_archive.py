@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from foliant.functions import text
 from foliant.operators import catalog, fulltext, similar
 from foliant.plans.archive import oracle_sql, queries
+from tests.literal_cases import LITERAL
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels conversations events orders".split()
+TABLES = "documents embeddings pages benchmark labels conversations events orders customer lineitem".split()
 
 
 @pytest.fixture(scope="module")
@@ -30,10 +31,8 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
-def test_same_rows_as_sql(spark, duck, name):
-    df = queries()[name](spark, SF)
-    want = duck.sql(oracle_sql()[name])
+def same(duck, df, sql):
+    want = duck.sql(sql)
     cols = sorted(df.columns)
     assert cols == sorted(want.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
@@ -41,6 +40,17 @@ def test_same_rows_as_sql(spark, duck, name):
     assert got == rows
 
 
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_same_rows_as_sql(spark, duck, name):
+    same(duck, queries()[name](spark, SF), oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", sorted(LITERAL))
+def test_literal_cases(spark, duck, name):
+    sql, f = LITERAL[name]
+    same(duck, f(spark, SF), sql)
+
+
 @pytest.mark.parametrize(
     ("query", "tree"),
     [
@@ -59,7 +69,7 @@ def test_query_grammar(query, tree):
 
 def test_search_outside_the_grammar_finds_nothing(spark):
     pages = spark.createDataFrame([("x", 1, 1, "a b")], "file_id string, ingest_seq int, page int, text string")
-    assert fulltext.search(fulltext.postings(pages), pages.select("file_id", "ingest_seq"), "NOT a").count() == 0
+    assert fulltext.search(fulltext.postings(pages), "NOT a").count() == 0 and fulltext.search(fulltext.postings(pages), "a b").count() == 1
 
 
 def test_entropy_and_names(spark):

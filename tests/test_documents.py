@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import entities
-from foliant.plans.archive import CASES, queries
+from foliant.plans.archive import queries
+from tests.literal_cases import CASES
 
 SF = "/root/testdata/sf0.001"
 FIRST = 1_000_000
 LONG = "filler words " * 20_000 + "\nContratante: Late Ltda\nmail late@example.org"
-ONE_ROW_EACH = [f"{n}_of_documents" for n in "i16_i22_entities i23_money i24_parties i25_tags i26_confidentiality i28_document_type j1_dates j2_parse_date j6_j7_j8_j9_any_date j3_contract_terms i1_normalize_text i36_latex".split()]
+ONE_ROW_EACH = [n for n in "i16_i22_entities i23_money i24_parties i25_tags i26_confidentiality i28_document_type j1_dates j2_parse_date j6_j7_j8_j9_any_date j3_contract_terms i1_normalize_text i36_latex".split()]
 
 
 @pytest.fixture(scope="module")
@@ -49,33 +50,33 @@ def distinct(text, pattern):
 
 
 def test_entities_equal_regular_expressions(spark, sf, texts):
-    got = rows(spark, sf, "i16_i22_entities_of_documents")
+    got = rows(spark, sf, "i16_i22_entities")
     for i, t in texts.items():
         assert (got[i].emails or []) == distinct(t, entities.MASKS["email"])[:30]
         assert (got[i].cpfs or []) == [v for v in distinct(t, entities.MASKS["cpf"]) if cpf(v)][:30]
         assert (got[i].ceps or []) == distinct(t, entities.ENTITIES["ceps"])[:30]
     assert got[FIRST + 99].emails == ["late@example.org"] and sum(bool(r.emails) for r in got.values()) > 3
-    checked = queries()["i19_cpf_check_of_documents"](spark, sf).collect()
+    checked = queries()["i19_cpf_check"](spark, sf).collect()
     assert sorted((r.doc_id, r.value, r.ok) for r in checked) == sorted((i, v, cpf(v)) for i, t in texts.items() for v in distinct(t, entities.MASKS["cpf"]))
 
 
 def test_cases_among_documents(spark, sf):
-    get = lambda name, i: rows(spark, sf, f"{name}_of_documents")[FIRST + i]
+    get = lambda name, i: rows(spark, sf, f"{name}")[FIRST + i]
     assert [(m.currency, m.value_str) for m in get("i23_money", 2).money] == [("BRL", "R$ 10.000,00"), ("USD", "USD 5.000")]
     assert get("i24_parties", 2).parties == ["ACME Ltda", "Joao Silva"] and get("i24_parties", 99).parties == ["Late Ltda"]
-    levels = rows(spark, sf, "i26_confidentiality_of_documents")
+    levels = rows(spark, sf, "i26_confidentiality")
     assert [levels[FIRST + i].level for i in (5, 6, 8, 9, 0)] == ["SECRETO", None, None, "CONFIDENCIAL", None]
     assert (get("i28_document_type", 2).label, get("i28_document_type", 2).confidence) == ("contrato", 0.27)
     assert get("j1_dates", 10).dates == ["2026-07-12", "2024-03-20", "2023-05-05"]
-    terms = rows(spark, sf, "j3_contract_terms_of_documents")
+    terms = rows(spark, sf, "j3_contract_terms")
     assert [(terms[FIRST + i].start_date, terms[FIRST + i].end_date) for i in (3, 4, 7)] == [(None, "2025-12-31"), ("2025-03-01", "2026-02-28"), ("2025-01-31", "2027-01-31")]
 
 
 def test_hits_of_documents(spark, sf, texts):
-    assert {(r.value, r.type) for r in queries()["i44_party_type_of_documents"](spark, sf).collect()} >= {("ACME Ltda", "org"), ("Joao Silva", "person"), ("Late Ltda", "org")}
+    assert {(r.value, r.type) for r in queries()["i44_party_type"](spark, sf).collect()} >= {("ACME Ltda", "org"), ("Joao Silva", "person"), ("Late Ltda", "org")}
     for name in ("i20_cnpj_check", "i21_domain_check"):
-        assert {r.doc_id for r in queries()[f"{name}_of_documents"](spark, sf).collect()} >= {FIRST + 1}
-    terms = queries()["c9_c10_term_and_mask_of_documents"](spark, sf).where("mask = 'term'").groupBy("id").agg(F.count("*").alias("n")).collect()
+        assert {r.doc_id for r in queries()[f"{name}"](spark, sf).collect()} >= {FIRST + 1}
+    terms = queries()["c9_c10_term_and_mask"](spark, sf).where("mask = 'term'").groupBy("id").agg(F.count("*").alias("n")).collect()
     assert len(terms) > 50
 
 
@@ -83,6 +84,6 @@ def test_graph_has_every_mention(spark, sf, texts):
     words = {i: sorted({w for w in re.split("[^a-z]+", t.lower()) if len(w) == 5}) for i, t in texts.items()}
     assert max(map(len, words.values())) > 12
     edges = Counter((a, b) for ws in words.values() for n, a in enumerate(ws) for b in ws[n + 1 :])
-    assert {(r.source, r.target): r.weight for r in queries()["d8_all_graph_edges"](spark, sf).collect()} == edges
+    assert {(r.source, r.target): r.weight for r in queries()["d8_graph_edges"](spark, sf).collect()} == edges
     assert {(r.source, r.target) for r in queries()["d8_document_edges"](spark, sf).collect()} == {(f"doc:{i}", w) for i, ws in words.items() for w in ws}
-    assert {r.entity: r.doc_count for r in queries()["e18_all_graph_nodes"](spark, sf).collect()} == Counter(w for ws in words.values() for w in ws)
+    assert {r.entity: r.doc_count for r in queries()["e18_graph_nodes"](spark, sf).collect()} == Counter(w for ws in words.values() for w in ws)
