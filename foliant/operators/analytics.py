@@ -143,8 +143,10 @@ def without_dangling(edges: DataFrame, nodes: DataFrame, types: list[str] | None
 def place_mentions(texts: DataFrame, places: list[tuple] = PLACES) -> DataFrame:
     """name, n_docs: documents that mention a place as a whole phrase in any case. One scan with a pattern for each place."""
     phrase = lambda name: r"\s+".join(rf"\Q{w}\E" for w in name.split())
-    hit = [F.when(F.col("text").rlike(rf"(?iuU)(?<!\w){phrase(name)}(?!\w)"), F.lit(name)) for name in dict.fromkeys(p[0] for p in places)]
-    return texts.select("doc_id", F.explode(F.array_compact(F.array(*hit))).alias("name")).groupBy("name").agg(F.count_distinct("doc_id").alias("n_docs"))
+    # a look for the first word in lower case spares most texts the pattern
+    begins = lambda name: F.contains("low", F.lit(name.split()[0].lower()))
+    hit = [F.when(begins(name) & F.col("text").rlike(rf"(?iuU)(?<!\w){phrase(name)}(?!\w)"), F.lit(name)) for name in dict.fromkeys(p[0] for p in places)]
+    return texts.select("doc_id", "text", F.lower("text").alias("low")).select("doc_id", F.explode(F.array_compact(F.array(*hit))).alias("name")).groupBy("name").agg(F.count_distinct("doc_id").alias("n_docs"))
 
 
 def located(rows: DataFrame, name: str, places: list[tuple] = PLACES) -> DataFrame:

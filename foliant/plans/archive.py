@@ -172,7 +172,7 @@ query("f1_search_and", PAGE + " " + FTS.format(w="list_contains(t, 'the') and li
 query("f1_search_or_not", PAGE + " " + FTS.format(w="list_contains(t, 'heing') or (list_contains(t, 'thing') and not list_contains(t, 'the'))"))(lambda s, d: search(s, d, "heing OR thing NOT the"))
 query("f1_search_phrase", PAGE + " " + FTS.format(w="contains(' ' || array_to_string(t, ' ') || ' ', ' of the ')"))(lambda s, d: search(s, d, '"of the"'))
 query("f1_search_folded", PAGE + " " + FTS.format(w="list_contains(t, 'eau')"))(lambda s, d: search(s, d, "éau"))
-query("c5_limit_then_type", PAGE + ", " + CAT[5:] + ", h as (" + FTS.format(w="list_contains(t, 'the')").replace("200", "20") + ") select file_id, h.page from h join cat on id = file_id where doc_type = 'contrato'")(lambda s, d: search(s, d, "the", 20).join(cat(s, d).where("doc_type = 'contrato'").select(F.col("id").alias("file_id")), "file_id", "left_semi").select("file_id", "page"))
+query("c5_limit_then_type", PAGE + ", " + CAT[5:] + ", h as (" + FTS.format(w="list_contains(t, 'thing')").replace("200", "20") + ") select file_id, h.page from h join cat on id = file_id where doc_type = 'contrato'")(lambda s, d: search(s, d, "thing", 20).join(cat(s, d).where("doc_type = 'contrato'").select(F.col("id").alias("file_id")), "file_id", "left_semi").select("file_id", "page"))
 query("c17_allowed_hits", PAGE + ", h as (" + FTS.format(w="list_contains(t, 'the')") + ") select file_id, page from (select h.* from h join cat on id = file_id where language = 'en' order by rank limit 50)".replace("join cat on id = file_id where language = 'en'", "where file_id in (select substr(sha256(cast(doc_id as varchar)), 1, 16) from documents where lang = 'en')"))(lambda s, d: search(s, d, "the").join(cat(s, d).where("language = 'en'").select(F.col("id").alias("file_id")), "file_id", "left_semi").orderBy("rank").limit(50).select("file_id", "page"))
 query("d1_hits_with_names", PAGE + ", " + CAT[5:] + ", h as (" + FTS.format(w="list_contains(t, 'thing')") + ") select rank, coalesce(name, file_id) as name from h left join cat on id = file_id")(lambda s, d: search(s, d, "thing").join(cat(s, d).select(F.col("id").alias("file_id"), "name"), "file_id", "left").select("rank", F.coalesce("name", "file_id").alias("name")))
 query("h4_snippets")(lambda s, d: fulltext.snippets(search(s, d, "thing"), pages(s, d), ["thing"]))

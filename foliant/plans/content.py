@@ -17,7 +17,7 @@ PARTS = "string_split(coalesce(text, ''), chr(10))"
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """A PDF of every document, a page for each of its lines: path, content."""
-    d = docs(spark, sf).withColumn("text", F.coalesce("text", F.lit("")))
+    d = docs(spark, sf).withColumn("text", F.coalesce("text", F.lit(""))).repartition(2 * spark.sparkContext.defaultParallelism)  # a small table is one split
     return d.select(F.col("doc_id").cast("string").alias("path"), pdf_writer.pdf(F.split("text", "\n"), F.concat(F.lit("doc-"), F.col("doc_id"))).alias("content"))
 
 

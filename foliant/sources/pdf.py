@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 PAGE = "n int, width double, height double, rotation int, failed boolean, text string, lines array<struct<x:double,y:double,text:string>>, fonts array<struct<name:string,kind:string>>, images array<struct<name:string,width:int,height:int>>, links array<string>, annotations array<struct<kind:string,author:string,date:string,text:string>>, drawings array<struct<fill:array<double>,rect:array<double>>>, spans array<struct<text:string,color:int,flags:int>>"
 PAGES = "array<struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", PAGE) + ">>"
-SCHEMA = f"path string, status string, error string, version string, num_pages int, file_size long, n_objects int, info map<string,string>, xmp string, pages {PAGES}, fields array<struct<name:string,kind:string,value:string>>, outline array<struct<level:int,title:string>>, attachments array<struct<name:string,size:long,pdf:boolean>>, layers array<struct<name:string,on:boolean>>"
+SCHEMA = f"path string, status string, error string, version string, num_pages int, file_size long, n_objects int, info map<string,string>, xmp string, pages {PAGES}, fields array<struct<name:string,kind:string,value:string,signed:boolean>>, outline array<struct<level:int,title:string>>, attachments array<struct<name:string,size:long,pdf:boolean>>, layers array<struct<name:string,on:boolean>>"
 
 #: Bookmarks kept of a file, and how deep attached PDFs and form objects are followed.
 OUTLINE_MOST, DEPTH = 500, 4
@@ -250,7 +250,7 @@ class Font:
     """Bytes of shown strings to text."""
 
     def __init__(self, file: File, font):
-        self.wide, self.map = file.of(font, "Subtype") == "Type0", {}
+        self.wide, self.map, self.single = file.of(font, "Subtype") == "Type0", {}, None
         encoding = file.of(font, "Encoding")
         code = 0
         for x in file.of(encoding, "Differences", []) if isinstance(encoding, dict) else []:
@@ -283,7 +283,9 @@ class Font:
     def text(self, shown: bytes) -> str:
         if self.wide:
             return "".join(self.map.get(int.from_bytes(shown[i : i + 2], "big"), "�") for i in range(0, len(shown), 2))
-        return "".join(self.map.get(c) or bytes([c]).decode(self.codec, "replace") for c in shown)
+        if self.single is None:
+            self.single = [self.map.get(c) or bytes([c]).decode(self.codec, "replace") for c in range(256)]
+        return "".join(map(self.single.__getitem__, shown))
 
 
 class Content:
@@ -379,7 +381,7 @@ def page(file: File, n: int, node: dict) -> tuple:
 
 
 def fields(file: File) -> Iterator[tuple]:
-    """(name, kind, value) of form fields; a field's name has its parents' before it."""
+    """(name, kind, value, signed) of form fields; a field's name has its parents' before it, a signature's value is its signer."""
     stack, seen = [(f, "", None) for f in reversed(file.of(file.of(file.root, "AcroForm"), "Fields", []))], set()
     while stack:
         ref, above, kind = stack.pop()
@@ -394,7 +396,8 @@ def fields(file: File) -> Iterator[tuple]:
             stack += [(k, name, kind) for k in reversed(kids)]
         else:
             value = file.of(node, "V")
-            yield name, string(kind), None if isinstance(value, dict | list | Stream) else string(value)
+            signer = string(file.of(value, "Name")) if kind == "Sig" and isinstance(value, dict) else None
+            yield name, string(kind), signer if isinstance(value, dict | list | Stream) else string(value), kind == "Sig" and value is not None
 
 
 def outline(file: File) -> list[tuple]:
@@ -487,6 +490,34 @@ def full_text(pages: Column) -> Column:
     return F.array_join(F.filter(F.transform(pages, lambda p: p["text"]), lambda t: t.isNotNull() & (t != "")), "\n\n")
 
 
+# Properties of XMP packets, listed ones and simple ones, and the longest value that is kept.
+XMP_LISTED = {"dc_title": "dc:title", "dc_creator": "dc:creator", "dc_description": "dc:description", "dc_publisher": "dc:publisher", "dc_contributor": "dc:contributor", "dc_rights": "dc:rights"}
+XMP_SIMPLE = {"xmp_creator_tool": "xmp:CreatorTool", "xmp_create_date": "xmp:CreateDate", "xmp_modify_date": "xmp:ModifyDate", "xmp_metadata_date": "xmp:MetadataDate", "pdf_producer": "pdf:Producer", "pdf_keywords": "pdf:Keywords", "pdfx_source": "pdfx:Source"}
+XMP_VALUE = 500
+
+
+def xmp_fields(xmp: Column) -> Column:
+    """struct of an XMP packet's properties, null where absent or long, its length, and at most 20 subjects."""
+
+    def value(pattern: str) -> Column:
+        v = F.trim(F.regexp_extract(xmp, f"(?is){pattern}", 1))
+        for code, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+            v = F.replace(v, F.lit(code), F.lit(char))
+        return F.when((v != "") & (F.length(v) < XMP_VALUE), v)
+
+    listed = [value(rf"<{t}>.*?<rdf:li[^>]*>(.*?)</rdf:li>").alias(k) for k, t in XMP_LISTED.items()]
+    simple = [value(rf"<{t}[^>]*>([^<]+)</{t}>").alias(k) for k, t in XMP_SIMPLE.items()]
+    bag = F.regexp_extract(xmp, r"(?is)<dc:subject>(.*?)</dc:subject>", 1)
+    subjects = F.filter(F.transform(F.regexp_extract_all(bag, F.lit(r"(?is)<rdf:li[^>]*>(.*?)</rdf:li>"), F.lit(1)), lambda s: F.trim(s)), lambda s: s != "")
+    return F.struct(F.length(xmp).alias("xml_length"), *listed, *simple, F.slice(subjects, 1, 20).alias("dc_subject"))
+
+
+def signatures(fields: Column) -> Column:
+    """array of (field_name, signer, signed): the signature fields among a file's form fields."""
+    mine = F.filter(fields, lambda f: f["kind"] == "Sig")
+    return F.transform(mine, lambda f: F.struct(f["name"].alias("field_name"), F.substring(f["value"], 1, 200).alias("signer"), f["signed"].alias("signed")))
+
+
 def failed_pages(pages: Column) -> Column:
     return F.transform(F.filter(pages, lambda p: p["failed"]), lambda p: p["n"])
 

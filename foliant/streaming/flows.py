@@ -14,11 +14,15 @@ def watch(spark: SparkSession, path: str, schema: str, upsert, checkpoint: str)
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Columns of files that Spark reads whole.
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
 def watch_files(spark: SparkSession, folder: str, ingest, checkpoint: str, pattern: str = "*.pdf") -> StreamingQuery:
     """New files below folder, at any depth, batch by batch, to ingest(batch of path, modificationTime, length, content; number).
 
     A stream sees a path once: files that are changed in place are found by changed_files."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 64).load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 64).load(folder)
     return files.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

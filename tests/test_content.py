@@ -67,7 +67,7 @@ def test_structure(spark):
     assert first.links == ["http://e.org"] and [(a.kind, a.author, a.text) for a in first.annotations] == [("Redact", "ana", "why")]
     assert [d.rect for d in first.drawings if d.fill == [0.0]] == [[10, 10, 110, 60]]
     assert [s.text for s in first.spans if s.flags] == ["ghost", "éЖ form"]
-    assert [tuple(f) for f in file.fields] == [("group.name", "Tx", "á")]
+    assert [tuple(f) for f in file.fields] == [("group.name", "Tx", "á", False)]
     assert [tuple(o) for o in file.outline] == [(1, "One"), (2, "Two"), (1, "Three")]
     assert [tuple(a) for a in file.attachments] == [("a.pdf", len(INNER), True), ("b.txt", 4, False)]
     assert [tuple(v) for v in file.layers] == [("secret", False)]
