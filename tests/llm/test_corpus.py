@@ -386,7 +386,31 @@ def test_top_k(spark):
         want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
     assert got == sorted(want)
     none = df.where("id < 0")
-    assert topk.top_k(none, none, 5).count() == 0
+    assert topk.top_k(none, none, 5).count() == 0 and topk.top_k(df, none, 5).count() == 0 and topk.top_k(none, df, 5).count() == 0
+
+
+def test_top_k_visits_only_blocks_that_can_matter():
+    """Blocks that differ: from a kth score of the best block, queries meet few others, and find the same."""
+    rng = np.random.default_rng(8)
+    parts = []
+    for b in range(20):
+        v = np.zeros((50, 20), dtype=np.int64)
+        v[:, b] = rng.integers(50, 100, 50)
+        parts.append((np.arange(b * 50, b * 50 + 50), v, v.max(0), v.min(0)))
+    queries = np.concatenate([p[1][:2] for p in parts])
+    own = np.concatenate([p[0][:2] for p in parts])
+    plain, met = topk.search(queries, own, parts, 5)
+    least = np.array([np.sort(plain.score[plain.query == q])[0] for q in range(len(queries))], dtype=float)
+    seeded, met_again = topk.search(queries, own, parts, 5, least)
+    assert met == met_again == len(queries) and (plain.id == seeded.id).all()
+    assert topk.search(queries, own, parts[1:], 5, least)[1] == len(queries) - 2  # queries of the first block meet none
+
+
+def test_top_k_of_large_numbers(spark):
+    big = 1_000_000_007
+    df = spark.createDataFrame([(i, [big + i, -big]) for i in range(300)], "id long, v array<long>")
+    got = topk.top_k(df, df.where("id = 7"), 3).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(i, (big + i) * (big + 7) + big * big) for i in (299, 298, 297)]
 
 
 def naive_score(net, text):
