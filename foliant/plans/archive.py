@@ -280,12 +280,12 @@ query("i32_language", "with w as (select doc_id, list_distinct(string_split_rege
 
 
 def queries() -> dict[str, Query]:
-    from foliant.plans import content, extra, records  # noqa: F401 - add their own
+    from foliant.plans import content, extra, records, rules  # noqa: F401 - add their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from foliant.plans import content, extra, records  # noqa: F401
+    from foliant.plans import content, extra, records, rules  # noqa: F401
 
     return dict(SQL)

@@ -68,20 +68,11 @@ def hits(spark: SparkSession, sf: str, values) -> DataFrame:
 
 body = lambda: F.col("text")  # noqa: E731 - a column needs a session
 query("i16_i22_entities")(lambda s, d: over_documents(s, d, **entities.entities(body())))
-query("i19_cpf_check")(lambda s, d: hits(s, d, entities.mask(body(), "cpf")).withColumn("ok", entities.valid_cpf(F.col("value"))))
-query("i20_cnpj_check")(lambda s, d: hits(s, d, entities.mask(body(), "cnpj")).withColumn("ok", entities.valid_cnpj(F.col("value"))))
 query("i21_domain_check")(lambda s, d: hits(s, d, entities.mask(body(), "domain")).withColumn("ok", entities.valid_domain(F.col("value"))))
-query("i23_money")(lambda s, d: over_documents(s, d, money=entities.money(body())))
-query("i24_parties")(lambda s, d: over_documents(s, d, parties=entities.parties(body())))
-query("i44_party_type")(lambda s, d: hits(s, d, entities.parties(body())).withColumn("type", entities.party_type(F.col("value"))))
-query("i25_tags")(lambda s, d: over_documents(s, d, tags=entities.tags(classify.document_type(body())["label"], body())))
-query("i26_confidentiality")(lambda s, d: over_documents(s, d, level=entities.confidentiality(body())))
-query("i28_document_type")(lambda s, d: over_documents(s, d, r=classify.document_type(body())).select("doc_id", "r.*"))
 query("j1_dates")(lambda s, d: over_documents(s, d, dates=dates.extract_dates(body())))
 query("j2_parse_date")(lambda s, d: over_documents(s, d, parsed=dates.parse_date(body())))
 query("j6_j7_j8_j9_any_date")(lambda s, d: over_documents(s, d, parsed=dates.any_date(body())))
 query("j3_contract_terms")(lambda s, d: over_documents(s, d, **dates.contract_terms(body())))
-query("i1_normalize_text")(lambda s, d: over_documents(s, d, t=text.normalize_text(body())))
 query("i36_latex")(lambda s, d: over_documents(s, d, latex=formulas.latex(body())))
 query("e21_formula_counts")(lambda s, d: formulas.counts(formulas.page_hits(pages(s, d))))
 query("i39_formula_sections")(lambda s, d: formulas.markdown(formulas.page_hits(pages(s, d))))

@@ -6,8 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.functions import entities
+from foliant.functions import classify, entities, text
 from foliant.plans.archive import queries
+from foliant.plans.content import body, hits, over_documents
 from tests.literal_cases import CASES
 
 SF = "/root/testdata/sf0.001"
@@ -16,6 +17,23 @@ LONG = "filler words " * 20_000 + "\nContratante: Late Ltda\nmail late@example.o
 ONE_ROW_EACH = [n for n in "i16_i22_entities i23_money i24_parties i25_tags i26_confidentiality i28_document_type j1_dates j2_parse_date j6_j7_j8_j9_any_date j3_contract_terms i1_normalize_text i36_latex".split()]
 
 
+PLAIN = {
+    "i19_cpf_check": lambda s, d: hits(s, d, entities.mask(body(), "cpf")).withColumn("ok", entities.valid_cpf(F.col("value"))),
+    "i20_cnpj_check": lambda s, d: hits(s, d, entities.mask(body(), "cnpj")).withColumn("ok", entities.valid_cnpj(F.col("value"))),
+    "i23_money": lambda s, d: over_documents(s, d, money=entities.money(body())),
+    "i24_parties": lambda s, d: over_documents(s, d, parties=entities.parties(body())),
+    "i44_party_type": lambda s, d: hits(s, d, entities.parties(body())).withColumn("type", entities.party_type(F.col("value"))),
+    "i25_tags": lambda s, d: over_documents(s, d, tags=entities.tags(classify.document_type(body())["label"], body())),
+    "i26_confidentiality": lambda s, d: over_documents(s, d, level=entities.confidentiality(body())),
+    "i28_document_type": lambda s, d: over_documents(s, d, r=classify.document_type(body())).select("doc_id", "r.*"),
+    "i1_normalize_text": lambda s, d: over_documents(s, d, t=text.normalize_text(body())),
+}
+
+
+def run(name):
+    return PLAIN.get(name) or queries()[name]
+
+
 @pytest.fixture(scope="module")
 def sf(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("sf"))
@@ -31,12 +49,12 @@ def texts(spark, sf):
 
 
 def rows(spark, sf, name):
-    return {r.doc_id: r for r in queries()[name](spark, sf).collect()}
+    return {r.doc_id: r for r in run(name)(spark, sf).collect()}
 
 
 @pytest.mark.parametrize("name", ONE_ROW_EACH)
 def test_a_row_for_each_document(spark, sf, texts, name):
-    assert sorted(r.doc_id for r in queries()[name](spark, sf).collect()) == sorted(texts)
+    assert sorted(r.doc_id for r in run(name)(spark, sf).collect()) == sorted(texts)
 
 
 def cpf(value):
@@ -56,7 +74,7 @@ def test_entities_equal_regular_expressions(spark, sf, texts):
         assert (got[i].cpfs or []) == [v for v in distinct(t, entities.MASKS["cpf"]) if cpf(v)][:30]
         assert (got[i].ceps or []) == distinct(t, entities.ENTITIES["ceps"])[:30]
     assert got[FIRST + 99].emails == ["late@example.org"] and sum(bool(r.emails) for r in got.values()) > 3
-    checked = queries()["i19_cpf_check"](spark, sf).collect()
+    checked = run("i19_cpf_check")(spark, sf).collect()
     assert sorted((r.doc_id, r.value, r.ok) for r in checked) == sorted((i, v, cpf(v)) for i, t in texts.items() for v in distinct(t, entities.MASKS["cpf"]))
 
 
@@ -73,9 +91,9 @@ def test_cases_among_documents(spark, sf):
 
 
 def test_hits_of_documents(spark, sf, texts):
-    assert {(r.value, r.type) for r in queries()["i44_party_type"](spark, sf).collect()} >= {("ACME Ltda", "org"), ("Joao Silva", "person"), ("Late Ltda", "org")}
+    assert {(r.value, r.type) for r in run("i44_party_type")(spark, sf).collect()} >= {("ACME Ltda", "org"), ("Joao Silva", "person"), ("Late Ltda", "org")}
     for name in ("i20_cnpj_check", "i21_domain_check"):
-        assert {r.doc_id for r in queries()[f"{name}"](spark, sf).collect()} >= {FIRST + 1}
+        assert {r.doc_id for r in run(f"{name}")(spark, sf).collect()} >= {FIRST + 1}
     terms = queries()["c9_c10_term_and_mask"](spark, sf).where("mask = 'term'").groupBy("id").agg(F.count("*").alias("n")).collect()
     assert len(terms) > 50
 
