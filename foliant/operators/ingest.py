@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import classify, entities, forensics, structure
 from foliant.functions.dates import extract_dates
 from foliant.functions.text import corrupt, display_name, low_entropy, strip, word_count
+from foliant.operators.catalog import moved
 from foliant.sources import pdf
 from foliant.sources.readers import content_hash, file_id
 
@@ -43,6 +44,39 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(wanted, "path", "left_semi")
 
 
+def planned(files: DataFrame, meta: DataFrame) -> DataFrame:
+    """path, content_hash, status of files (path, content) against the catalog: what an ingest would do, without doing it.
+
+    known: a record has the path and the content; moved: one has the content at another path that is no longer there, only its
+    path changes; duplicate: the content is known at a path that is there, or a lesser path brings it; changed: a record has
+    the path with other content; new: none of these. A run that was broken off goes on with what isn't known yet."""
+    hashed = files.select("path", content_hash(F.col("content")).alias("content_hash"))
+    old = meta.select(F.col("original_path").alias("path"), F.col("content_hash").alias("_old"))
+    here = hashed.select(F.col("path").alias("_at")).distinct()
+    kept = old.join(here, old.path == here._at, "left").groupBy(F.col("_old").alias("content_hash")).agg(F.max(F.col("_at").isNotNull()).alias("_there"))
+    first = hashed.groupBy("content_hash").agg(F.min("path").alias("_first"))
+    joined = hashed.join(old, "path", "left").join(kept, "content_hash", "left").join(first, "content_hash")
+    status = (
+        F.when(F.col("_old") == F.col("content_hash"), "known")
+        .when(F.coalesce("_there", F.lit(False)) | (F.col("path") != F.col("_first")), "duplicate")
+        .when(F.col("_there").isNotNull(), "moved")
+        .when(F.col("_old").isNotNull(), "changed")
+        .otherwise("new")
+    )
+    return joined.select("path", "content_hash", status.alias("status"))
+
+
+def relocated(meta: DataFrame, plan: DataFrame) -> DataFrame:
+    """meta with the new path and name of records whose content has moved (see planned); everything else of a record stays."""
+    return moved(meta, plan.where("status = 'moved'").select("content_hash", F.col("path").alias("new_path"), display_name(F.col("path")).alias("new_name")))
+
+
+def failures(scanned: DataFrame) -> DataFrame:
+    """path, status, error of the files that couldn't be read, and failed pages of those that could: an ingest goes on without them."""
+    lost = F.transform(F.filter("pages", lambda p: p["failed"]), lambda p: p["n"])
+    return scanned.select("path", "status", "error", lost.alias("failed_pages")).where((F.col("status") != "ok") | (F.size("failed_pages") > 0))
+
+
 def records(scanned: DataFrame) -> DataFrame:
     """A record for each file that could be read: identity, text, language, type, entities, anomalies, zones, kind."""
     info = lambda k: F.coalesce(F.col("info")[k], F.lit(""))

@@ -114,6 +114,23 @@ def fingerprint(meta: DataFrame) -> DataFrame:
     return meta.agg(F.count("*").alias("n"), F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")).alias("s")).select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("s").cast("string")), 256).alias("hash"))
 
 
+def overview(meta: DataFrame, large: int = 100) -> DataFrame:
+    """One row of a report's figures, in one pass but for the groups of copies: records, types, languages, years, the share of pages read
+    from pictures, records of so many pages, records without words, groups of copies and the records in them."""
+    pages = F.coalesce("num_pages", F.lit(0))
+    facts = meta.agg(
+        F.count("*").alias("n_docs"),
+        F.count_distinct(effective_type()).alias("n_types"),
+        F.count_distinct("language").alias("n_languages"),
+        F.count_distinct(F.substring("indexed_at", 1, 4)).alias("n_years"),
+        F.round(100 * F.sum(F.coalesce("ocr_percentage", F.lit(0)) * pages) / (100 * F.sum(pages)), 4).alias("ocr_share"),
+        F.count_if(pages >= large).alias("large"),
+        F.count_if(F.coalesce("word_count", F.lit(0)) == 0).alias("wordless"),
+    )
+    copies = meta.where(F.coalesce("content_hash", F.lit("")) != "").groupBy("content_hash").agg(F.count("*").alias("n")).where("n >= 2")
+    return facts.crossJoin(F.broadcast(copies.agg(F.count("*").alias("copy_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("copies"))))  # one row each
+
+
 def newest_deleted(dead: DataFrame) -> DataFrame:
     """dead (file_id, deleted_iso), the last deleted first."""
     return dead.orderBy(F.desc("deleted_iso"), "file_id")

@@ -11,6 +11,7 @@ from foliant.plans.archive import CAT, PAGE, _id, cat, docs, pages, query, vecs
 from foliant.plans.records import signed
 from foliant.sources import pdf, pdf_writer
 from foliant.sources.readers import content_hash, table
+from foliant.storage import stored
 
 PARTS = "string_split(coalesce(text, ''), chr(10))"
 
@@ -121,5 +122,6 @@ def _key():
 def _ingested(s, d):
     # files of equal pages differ in their titles: here they have none
     made = docs(s, d).select(F.col("doc_id").cast("string").alias("path"), pdf_writer.pdf(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit("")).alias("content"))
+    made, _ = stored(made.repartition(2 * s.sparkContext.defaultParallelism), "files")  # as files on a disk
     known = made.where("path like '%7'").select(content_hash(F.col("content")).alias("content_hash"))
     return ingest.ingest(made, known)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import classify, dates, forensics, signatures, text
-from foliant.operators import analytics, catalog, fulltext, records, reports, semantic, similar
+from foliant.operators import analytics, catalog, fulltext, ingest, records, reports, semantic, similar
 from foliant.plans.archive import CAT, COS, FTS, PAGE, cat, docs, pages, postings_index, query, search, store, vecs
-from foliant.sources import readers, writers
+from foliant.sources import pdf, pdf_writer, readers, writers
 from foliant.sources.readers import file_id, table
 from foliant.storage import scratch_path
 from foliant.streaming import flows
@@ -135,6 +135,7 @@ def e20(s, d):
     return reports.metrics_lines(counters, q.join(sums, "event_type").withColumnRenamed("event_type", "metric"), totals)
 
 
+query("e11_overview", CAT + ", g as (select count(*) as n from cat group by content_hash having count(*) >= 2) select count(*) as n_docs, count(distinct coalesce(doc_type, 'documento')) as n_types, count(distinct language) as n_languages, count(distinct substr(indexed_at, 1, 4)) as n_years, round(100.0 * sum(coalesce(ocr_percentage, 0) * num_pages) / (100 * sum(num_pages)), 4) as ocr_share, count(*) filter (where num_pages >= 10) as large, count(*) filter (where word_count = 0) as wordless, (select count(*) from g) as copy_groups, (select cast(coalesce(sum(n), 0) as bigint) from g) as copies from cat")(lambda s, d: reports.overview(cat(s, d), 10))
 query("e24_duplicates", CAT + " select content_hash, name, cast(row_number() over (partition by content_hash order by ingest_seq) as integer) as nth from cat qualify count(*) over (partition by content_hash) >= 2")(lambda s, d: similar.listed_groups(cat(s, d)))
 GROUPS = f"with recursive {COS}, p as (select x.id as a, y.id as b from n x join n y on x.id <> y.id where list_dot_product(x.e, y.e) / (x.l * y.l) >= 0.35), r as (select a as node, a as seen from p union select node, b from r join p on seen = a), g as (select node, min(seen) as component from r group by node), m as (select g.*, {ID} as id, 'doc-' || doc_id || '.pdf' as name from g join documents on node = doc_id)"
 query("d15_similar_documents", GROUPS + " select component, id, name from m qualify count(*) over (partition by component) >= 2")(lambda s, d: reports.group_members(similar.components(similar.similar_pairs(vecs(s, d), 0.35)), cat(s, d)))
@@ -281,3 +282,36 @@ def _detectors():
 
 
 query("k19_detectors", r"select doc_id, case when len(w) > 0 then w[1] end as word, case when len(w) = 0 then 'IndexError: list index out of range' end as word_error, 'ValueError: no model' as other_error from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D\x1C-\x1F\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1680}]+') as w from documents)")(lambda s, d: flows.detected(docs(s, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", _detectors()).select("doc_id", F.col("a.value").alias("word"), F.col("a.error").alias("word_error"), F.col("b.error").alias("other_error")))
+
+
+# Ingest plans: files are the documents' texts. A third is known, of a third the record has an old path, the last has a record
+# of other content at every tenth path, else none; copies have one status for the first path
+
+FILES = "f as (select cast(doc_id as varchar) as path, doc_id, substr(sha256(coalesce(text, '')), 1, 32) as h, min(cast(doc_id as varchar)) over (partition by coalesce(text, '')) as first from documents), m as (select case doc_id % 3 when 0 then path when 1 then 'old/' || path else path end as path, case when doc_id % 3 = 2 then 'x' else h end as h from f where doc_id % 3 < 2 or doc_id % 10 = 2), k as (select m.h, bool_or(f.path is not null) as there from m left join f on f.path = m.path group by 1)"
+
+
+@query("a1_k4_ingest_plan", f"with {FILES} select f.path, case when m.h = f.h then 'known' when coalesce(k.there, false) or f.path <> f.first then 'duplicate' when k.there is not null then 'moved' when m.h is not null then 'changed' else 'new' end as status from f left join m on m.path = f.path left join k on k.h = f.h")
+def a1(s, d):
+    return ingest.planned(*_files_and_records(s, d)).select("path", "status")
+
+
+@query("k4_relocated", f"with {FILES} select m.path as before, case when k.there is false and f.first is not null then f.first else m.path end as after from m join k on k.h = m.h left join (select distinct h, first from f) f on f.h = m.h")
+def k4(s, d):
+    files, meta = _files_and_records(s, d)
+    return ingest.relocated(meta.withColumn("before", F.col("original_path")), ingest.planned(files, meta)).select("before", F.col("original_path").alias("after"))
+
+
+def _files_and_records(s, d):
+    n = F.col("doc_id")
+    files = docs(s, d).select(n.cast("string").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), n)
+    old = files.where("doc_id % 3 < 2 or doc_id % 10 = 2")
+    meta = old.select(F.when(n % 3 == 1, F.concat(F.lit("old/"), "path")).otherwise(F.col("path")).alias("original_path"), F.col("path").alias("name"), F.when(n % 3 == 2, F.lit("x")).otherwise(readers.content_hash(F.col("content"))).alias("content_hash"))
+    return files.drop("doc_id"), meta
+
+
+@query("k5_failed_files", "select cast(doc_id as varchar) as path, case when doc_id % 6 = 0 then 'broken' else 'not a pdf' end as status from documents where doc_id % 3 = 0")
+def k5(s, d):
+    n = F.col("doc_id")
+    whole = pdf_writer.pdf(F.array(F.lit("page")), F.lit("t"))
+    content = F.when(n % 6 == 0, F.lit("%PDF-1.4 and nothing").cast("binary")).when(n % 3 == 0, F.lit("text").cast("binary")).otherwise(whole)
+    return ingest.failures(pdf.read_pdf(docs(s, d).select(n.cast("string").alias("path"), content.alias("content")))).select("path", "status")
