@@ -99,35 +99,47 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two blocks to links (u, v) that join, within them, what is linked: at most one for each text."""
+def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two blocks' sizes and registers to their pairs (i, j: places in the blocks) that may be linked, by size ratio, equal registers and likelihood."""
     lean()
     sketch = SetSketch(BANDS * ROWS)
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
     for batch in batches:
-        us, vs = [], []
+        out = []
         for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
             one = row["block"] == row["block_b"]
-            reps = row["reps"] if one else row["reps"] + row["reps_b"]
-            sizes = np.array(row["sizes"] if one else row["sizes"] + row["sizes_b"])
-            texts = row["texts"] if one else row["texts"] + row["texts_b"]
-            regs = np.array([np.frombuffer(x, dtype=np.uint16) for x in (row["registers"] if one else row["registers"] + row["registers_b"])])
-            mid = 0 if one else len(row["reps"])
-            i, j = np.triu_indices(len(reps), 1) if one else (x.ravel() for x in np.meshgrid(np.arange(mid), np.arange(mid, len(reps)), indexing="ij"))
-            near = 4 * np.minimum(sizes[i], sizes[j]) >= 3 * np.maximum(sizes[i], sizes[j])
+            sizes, sizes_b = np.array(row["sizes"]), np.array(row["sizes" if one else "sizes_b"])
+            regs, regs_b = (np.array([np.frombuffer(x, dtype=np.uint16) for x in row[c]]) for c in ("registers", "registers" if one else "registers_b"))
+            i, j = np.triu_indices(len(sizes), 1) if one else (x.ravel() for x in np.meshgrid(np.arange(len(sizes)), np.arange(len(sizes_b)), indexing="ij"))
+            near = 4 * np.minimum(sizes[i], sizes_b[j]) >= 3 * np.maximum(sizes[i], sizes_b[j])
             i, j = i[near], j[near]
-            equal = np.concatenate([(regs[i[k : k + 4096]] == regs[j[k : k + 4096]]).sum(1) for k in range(0, len(i), 4096)] or [np.zeros(0)])
+            equal = np.concatenate([(regs[i[k : k + 4096]] == regs_b[j[k : k + 4096]]).sum(1) for k in range(0, len(i), 4096)] or [np.zeros(0)])
             near = equal >= 0.4 * sketch.m
             i, j = i[near], j[near]
-            guess = np.concatenate([sketch.similarity(regs[i[k : k + 2048]], regs[j[k : k + 2048]], sizes[i[k : k + 2048]], sizes[j[k : k + 2048]]) for k in range(0, len(i), 2048)] or [np.zeros(0)])
+            guess = np.concatenate([sketch.similarity(regs[i[k : k + 2048]], regs_b[j[k : k + 2048]], sizes[i[k : k + 2048]], sizes_b[j[k : k + 2048]]) for k in range(0, len(i), 2048)] or [np.zeros(0)])
             near = guess >= LEAST_ESTIMATE
-            i, j = i[near], j[near]
-            if not len(i):
-                continue
+            if near.any():
+                out.append((row["block"], row["block_b"], i[near].astype(np.int32), j[near].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 4, kinds)], names=["block", "block_b", "i", "j"])
+
+
+def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two blocks and their candidates to links (u, v) that join, within them, what is linked: at most one for each text."""
+    lean()
+    for batch in batches:
+        us, vs = [], []
+        for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+            one = row["block"] == row["block_b"]
+            mid = 0 if one else len(row["reps"])
+            reps = row["reps"] if one else row["reps"] + row["reps_b"]
+            sizes = np.array(row["sizes"] if one else row["sizes"] + row["sizes_b"])
+            texts = row["texts"] if one else row["texts"] + row["texts_b"]
+            i, j = np.array(row["i"]), np.array(row["j"]) + mid
             need = np.unique(np.concatenate([i, j]))
             sets = dict(zip(need.tolist(), shingle_sets([texts[k] for k in need])))
             li, lj = np.unique(i), np.unique(j)
             shared = _intersections([sets[k] for k in li.tolist()], [sets[k] for k in lj.tolist()])
-            inter = shared[np.searchsorted(li, i), np.searchsorted(lj, j)].astype(np.int64)
+            inter = shared[np.searchsorted(li, i), np.searchsorted(lj, j)]
             union = sizes[i] + sizes[j] - inter
             linked = 100 * inter >= 75 * union
             root = {}
@@ -156,8 +168,9 @@ def near_duplicates(docs: DataFrame, label_rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
     Texts of equal word sequences are one class; classes that share a band of registers meet in blocks of texts ordered by
-    the least class they can reach over shared bands; block pairs are confirmed on full shingle sets, after the size ratio
-    and the likelihood estimate. No pair leaves a block pair, only links that join its classes.
+    the least class they can reach over shared bands. Block pairs are compared by sizes and registers alone, after the size
+    ratio and the likelihood estimate; only those with candidates get their texts, for confirmation on full shingle sets.
+    What leaves a block pair are links that join its classes.
 
     A null or wordless text has an empty set and is linked with nothing; a row without doc_id can't name or join a group,
     so its component is null and it is kept. Rows that repeat a doc_id are one node: their texts' classes are linked. An empty
@@ -192,15 +205,21 @@ def near_duplicates(docs: DataFrame, label_rounds: int = 3) -> DataFrame:
     wide = seats.join(met.where("least <> most").select("band"), "band", "left_semi")
     a, b = wide.alias("a"), wide.alias("b")
     apart = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.block") < F.col("b.block"))).select(F.col("a.block").alias("block"), F.col("b.block").alias("block_b"))
-    alone = packs.select("*", F.col("block").alias("block_b"), *[F.lit(None).cast(packs.schema[c].dataType).alias(f"{c}_b") for c in packs.columns[1:]])
-    second = packs.select(*[F.col(c).alias(f"{c}_b") for c in packs.columns])
-    two = apart.distinct().join(second, "block_b").join(packs, "block").select(*alone.columns)
+    alone = packs.select("block", F.col("block").alias("block_b"))
+    marks = packs.select("block", "sizes", "registers")
+    other = lambda df: df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns])
+    # the second block's columns are null where it is the first
+    nothing = lambda df: [F.lit(None).cast(df.schema[c].dataType).alias(f"{c}_b") for c in df.columns if c != "block"]
+    meet = lambda ids, df: ids.where("block = block_b").join(df, "block").select("*", *nothing(df)).unionByName(ids.where("block <> block_b").join(df, "block").join(other(df), "block_b"))
+    likely = meet(alone.union(apart.distinct()), marks).select("block", "block_b", "sizes", "sizes_b", "registers", "registers_b")
+    likely, likely_at = stored(likely.mapInArrow(candidates, "block long, block_b long, i array<int>, j array<int>"), "candidates", parts)
+    both = meet(likely, packs.select("block", "reps", "sizes", "texts")).select("block", "block_b", "i", "j", "reps", "reps_b", "sizes", "sizes_b", "texts", "texts_b")
     owned = named.join(classes, "digest").select("doc_id", "rep")
     several = owned.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     same = owned.join(several.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links, links_at = stored(alone.union(two).mapInArrow(confirm, "u long, v long").union(same), "links", parts)
+    links, links_at = stored(both.mapInArrow(confirm, "u long, v long").union(same), "links", parts)
     joined, _ = components(links, parts)
-    discard(spark, members_at, labels_at, packs_at, links_at)
+    discard(spark, members_at, labels_at, packs_at, likely_at, links_at)
     found = table.join(classes, "digest", "left").join(joined, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

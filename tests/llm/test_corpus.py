@@ -580,3 +580,15 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, SF).where("length > 0").count() > 100
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10**9])
+def test_components_with_hubs(spark, monkeypatch, hot):
+    """Whether nodes count as hot or not, components are those of the graph: stars, a chain, a ring."""
+    from foliant.llm import components
+
+    monkeypatch.setattr(components, "HOT", hot)
+    edges = [(1, i) for i in range(2, 60)] + [(i, i + 1) for i in range(100, 130)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(-5, 59), (300, 300)]
+    got, _ = components.components(spark.createDataFrame(edges, "u long, v long"))
+    want = {i: -5 for i in [-5, *range(1, 60)]} | dict.fromkeys(range(100, 131), 100) | dict.fromkeys(range(200, 209), 200)
+    assert {r.node: r.component for r in got.collect()} == want
