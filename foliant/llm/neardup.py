@@ -19,6 +19,8 @@ BANDS, ROWS = 32, 4
 LEAST_ESTIMATE = 0.55
 #: Texts and bytes in a block at most (a longer text is a block of its own).
 BLOCK_ROWS, BLOCK_BYTES = 128, 1 << 20
+#: Meetings that one copy of a block serves; a block that more others meet is copied.
+ROOM = 64
 
 SKETCHES = "doc_id long, mark long, n_shingles long, digest binary, registers binary"
 BLOCKS = "block long, reps array<long>, sizes array<long>, registers array<binary>, texts array<binary>"
@@ -100,10 +102,11 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two blocks' sizes and registers to their pairs (i, j: places in the blocks) that may be linked, by size ratio, equal registers and likelihood."""
+    """Rows of two blocks' sizes, registers and components to their pairs (i, j: places in the blocks) of texts in different components
+    that may be linked, by size ratio, equal registers and likelihood."""
     lean()
     sketch = SetSketch(BANDS * ROWS)
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
     for batch in batches:
         out = []
         for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
@@ -111,7 +114,8 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes, sizes_b = np.array(row["sizes"]), np.array(row["sizes" if one else "sizes_b"])
             regs, regs_b = (np.array([np.frombuffer(x, dtype=np.uint16) for x in row[c]]) for c in ("registers", "registers" if one else "registers_b"))
             i, j = np.triu_indices(len(sizes), 1) if one else (x.ravel() for x in np.meshgrid(np.arange(len(sizes)), np.arange(len(sizes_b)), indexing="ij"))
-            near = 4 * np.minimum(sizes[i], sizes_b[j]) >= 3 * np.maximum(sizes[i], sizes_b[j])
+            comps, comps_b = np.array(row["comps"]), np.array(row["comps" if one else "comps_b"])
+            near = (4 * np.minimum(sizes[i], sizes_b[j]) >= 3 * np.maximum(sizes[i], sizes_b[j])) & (comps[i] != comps_b[j])
             i, j = i[near], j[near]
             equal = np.concatenate([(regs[i[k : k + 4096]] == regs_b[j[k : k + 4096]]).sum(1) for k in range(0, len(i), 4096)] or [np.zeros(0)])
             near = equal >= 0.4 * sketch.m
@@ -119,8 +123,8 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             guess = np.concatenate([sketch.similarity(regs[i[k : k + 2048]], regs_b[j[k : k + 2048]], sizes[i[k : k + 2048]], sizes_b[j[k : k + 2048]]) for k in range(0, len(i), 2048)] or [np.zeros(0)])
             near = guess >= LEAST_ESTIMATE
             if near.any():
-                out.append((row["block"], row["block_b"], i[near].astype(np.int32), j[near].astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 4, kinds)], names=["block", "block_b", "i", "j"])
+                out.append((row["block"], row["block_b"], row["room"], row["room_b"], i[near].astype(np.int32), j[near].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 6, kinds)], names=["block", "block_b", "room", "room_b", "i", "j"])
 
 
 def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +168,45 @@ def band_keys(registers: Column) -> list[Column]:
     return [F.xxhash64(F.lit(i), F.substring(registers, 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)]
 
 
+def _copied(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ids (block, block_b) with room and room_b, the copy of each block that a meeting uses, and (block, rooms) of the blocks with several copies."""
+    ends = ids.where("block <> block_b").select(F.explode(F.array("block", "block_b")).alias("block"))
+    busy = ends.groupBy("block").agg(F.floor(F.count("*") / ROOM).cast("int").alias("rooms")).where("rooms > 0")
+    room = lambda other: F.when(F.col("block") == F.col("block_b"), 0).otherwise(F.pmod(F.xxhash64(other), F.coalesce("rooms", F.lit(0)) + 1)).cast("int")
+    left = ids.join(busy, "block", "left").withColumn("room", room("block_b")).drop("rooms")
+    right = left.join(busy.withColumnRenamed("block", "block_b"), "block_b", "left").withColumn("room_b", room("block"))
+    return right.select("block", "block_b", "room", "room_b"), busy
+
+
+def _meet(ids: DataFrame, packs: DataFrame, busy: DataFrame) -> DataFrame:
+    """ids (block, block_b, room, room_b) with the columns of packs of both blocks, the second's with _b: null where it is the first."""
+    copies = packs.join(busy, "block", "left").withColumn("room", F.explode(F.sequence(F.lit(0), F.coalesce("rooms", F.lit(0))))).drop("rooms")
+    others = copies.select(*[F.col(c).alias(f"{c}_b") for c in copies.columns])
+    own = ids.where("block = block_b").join(packs, "block")
+    own = own.select("*", *[F.lit(None).cast(packs.schema[c].dataType).alias(f"{c}_b") for c in packs.columns if c != "block"])
+    return own.unionByName(ids.where("block <> block_b").join(copies, ["block", "room"]).join(others, ["block_b", "room_b"]))
+
+
+def _compared(ids: DataFrame, packs: DataFrame, comps: DataFrame, parts: int) -> tuple[DataFrame, str]:
+    """Links (u, v) between the texts of ids' pairs of blocks that are in different components by comps (block, comps), and a scratch table that they read."""
+    ids, busy = _copied(ids)
+    two = lambda *names: [n for c in names for n in (c, f"{c}_b")]
+    marks = packs.select("block", "sizes", "registers").join(comps, "block")
+    likely = _meet(ids, marks, busy).select(*two("block", "room", "sizes", "registers", "comps"))
+    likely, at = stored(likely.mapInArrow(candidates, "block long, block_b long, room int, room_b int, i array<int>, j array<int>"), "candidates", parts)
+    both = _meet(likely, packs.select("block", "reps", "sizes", "texts"), busy).select("i", "j", *two("block", "reps", "sizes", "texts"))
+    return both.mapInArrow(confirm, "u long, v long"), at
+
+
 def near_duplicates(docs: DataFrame, label_rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
     Texts of equal word sequences are one class; classes that share a band of registers meet in blocks of texts ordered by
     the least class they can reach over shared bands. Block pairs are compared by sizes and registers alone, after the size
     ratio and the likelihood estimate; only those with candidates get their texts, for confirmation on full shingle sets.
-    What leaves a block pair are links that join its classes.
+    What leaves a block pair are links that join its classes. First each block meets itself and two blocks of each of its
+    bands, which joins a group of near copies in as many meetings as it has blocks. What then shares a band and is still in
+    different components meets block by block; texts of one component needn't.
 
     A null or wordless text has an empty set and is linked with nothing; a row without doc_id can't name or join a group,
     so its component is null and it is kept. Rows that repeat a doc_id are one node: their texts' classes are linked. An empty
@@ -199,27 +235,39 @@ def near_duplicates(docs: DataFrame, label_rounds: int = 3) -> DataFrame:
     wanted = docs.join(chosen, ["doc_id", "mark"])
     ordered = wanted.repartitionByRange("label", "rep").sortWithinPartitions("label", "rep").select("rep", "n_shingles", "registers", "text")
     packs, packs_at = stored(ordered.mapInArrow(blocks, BLOCKS), "blocks")
-    home = packs.select("block", F.explode("reps").alias("rep"))
+    home = packs.select("block", F.posexplode("reps").alias("seat", "rep"))
     seats = members.select("band", "rep").join(home, "rep").select("band", "block").distinct()
-    met = seats.groupBy("band").agg(F.min("block").alias("least"), F.max("block").alias("most"))
-    wide = seats.join(met.where("least <> most").select("band"), "band", "left_semi")
-    a, b = wide.alias("a"), wide.alias("b")
-    apart = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.block") < F.col("b.block"))).select(F.col("a.block").alias("block"), F.col("b.block").alias("block_b"))
-    alone = packs.select("block", F.col("block").alias("block_b"))
-    marks = packs.select("block", "sizes", "registers")
-    other = lambda df: df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns])
-    # the second block's columns are null where it is the first
-    nothing = lambda df: [F.lit(None).cast(df.schema[c].dataType).alias(f"{c}_b") for c in df.columns if c != "block"]
-    meet = lambda ids, df: ids.where("block = block_b").join(df, "block").select("*", *nothing(df)).unionByName(ids.where("block <> block_b").join(df, "block").join(other(df), "block_b"))
-    likely = meet(alone.union(apart.distinct()), marks).select("block", "block_b", "sizes", "sizes_b", "registers", "registers_b")
-    likely, likely_at = stored(likely.mapInArrow(candidates, "block long, block_b long, i array<int>, j array<int>"), "candidates", parts)
-    both = meet(likely, packs.select("block", "reps", "sizes", "texts")).select("block", "block_b", "i", "j", "reps", "reps_b", "sizes", "sizes_b", "texts", "texts_b")
+    # every block with itself, with the first block of each of its bands and with one drawn by hash: a number linear in the seats
+    hubs = seats.groupBy("band").agg(F.min("block").alias("hub"), F.max("block").alias("most"), F.min_by("block", F.xxhash64("block", "band")).alias("drawn")).where("hub <> most")
+    spokes = seats.join(hubs, "band").select("block", F.explode(F.array("hub", "drawn")).alias("hub"))
+    pair = lambda a, b: [F.least(a, b).alias("block"), F.greatest(a, b).alias("block_b")]
+    first = packs.select("block", F.col("block").alias("block_b")).union(spokes.where("block <> hub").select(*pair("block", "hub")).distinct())
+    first, first_at = stored(first, "meetings", parts)
     owned = named.join(classes, "digest").select("doc_id", "rep")
     several = owned.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     same = owned.join(several.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links, links_at = stored(both.mapInArrow(confirm, "u long, v long").union(same), "links", parts)
-    joined, _ = components(links, parts)
-    discard(spark, members_at, labels_at, packs_at, likely_at, links_at)
+    found_links, likely_at = _compared(first, packs, packs.select("block", F.col("reps").alias("comps")), parts)
+    links, links_at = stored(found_links.union(same), "links", parts)
+    joined, joined_at = components(links, parts)
+    discard(spark, links_at, likely_at, labels_at)
+    # a band whose texts are all in one component is done; in the others, blocks meet that hold texts of different components
+    placed = home.join(joined, F.col("rep") == F.col("node"), "left").select("block", "seat", "rep", F.coalesce("component", "rep").alias("comp"))
+    sides = members.select("band", "rep").join(placed, "rep").groupBy("band", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    undone = sides.groupBy("band").agg(F.min("lo").alias("low"), F.max("hi").alias("high"), F.count("*").alias("n")).where("low <> high and n > 1")
+    wide = sides.join(undone.select("band"), "band", "left_semi")
+    a, b = wide.alias("a"), wide.alias("b")
+    differ = F.least("a.lo", "b.lo") != F.greatest("a.hi", "b.hi")
+    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.block") < F.col("b.block")) & differ).select(F.col("a.block").alias("block"), F.col("b.block").alias("block_b"))
+    rest, rest_at = stored(rest.distinct().join(first, ["block", "block_b"], "left_anti"), "meetings", parts)
+    if not rest.isEmpty():
+        comps = placed.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("seat", "comp"))), lambda x: x["comp"]).alias("comps"))
+        found_links, likely_at = _compared(rest, packs, comps, parts)
+        known = joined.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        links, links_at = stored(found_links.union(known), "links", parts)
+        discard(spark, joined_at, likely_at)
+        joined, _ = components(links, parts)
+        discard(spark, links_at)
+    discard(spark, members_at, packs_at, first_at, rest_at)
     found = table.join(classes, "digest", "left").join(joined, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

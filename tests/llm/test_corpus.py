@@ -71,6 +71,34 @@ def test_near_duplicates_edges(odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("strangers", [0, 40])
+def test_hot_group_meets_in_linear_number(spark, monkeypatch, strangers):
+    """A large group of near copies is joined through a few blocks of its bands; texts outside it still find each other."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i, k in enumerate(rng.integers(0, 200, 1500).tolist())]
+    for i in range(strangers):  # pairs of their own that share two thirds of the group's words, and so some of its bands
+        own = base[:140] + [f"s{i // 2}y{k}" for k in range(60)]
+        rows.append((5000 + i, " ".join(own[:-1] + [f"z{i}"])))
+    seen = []
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neardup, "ROOM", 8)
+    real = neardup.stored
+
+    def noted(df, label, *rest):
+        made = real(df, label, *rest)
+        if label in ("meetings", "blocks"):
+            seen.append((label, made[0].count()))
+        return made
+
+    monkeypatch.setattr(neardup, "stored", noted)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i] for i in range(1500)} == {0}
+    assert all(got[5000 + i] == 5000 + i - i % 2 for i in range(strangers))
+    blocks, first, rest = (n for _, n in seen)
+    assert first <= 10 * blocks and rest <= 10 * blocks
+
+
 def test_sketch_estimates_jaccard():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64))
