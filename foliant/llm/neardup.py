@@ -47,8 +47,8 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, n_shingles, registers, text), in label order, to rows of up to BLOCK_ROWS texts."""
+def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
+    """(rep, n_shingles, registers, text), in label order, to rows of up to so many texts."""
     from pyspark import TaskContext
 
     lean()
@@ -63,7 +63,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for rep, k, reg, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), utf8(batch.column(3))):
-            if held and (len(held) >= BLOCK_ROWS or size + len(text) > BLOCK_BYTES):
+            if held and (len(held) >= most or size + len(text) > BLOCK_BYTES):
                 yield row()
                 n, held, size = n + 1, [], 0
             held.append((rep, k, reg, text))
@@ -198,7 +198,7 @@ def _compared(ids: DataFrame, packs: DataFrame, comps: DataFrame, parts: int) ->
     return both.mapInArrow(confirm, "u long, v long"), at
 
 
-def near_duplicates(docs: DataFrame, label_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, label_rounds: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
     Texts of equal word sequences are one class; classes that share a band of registers meet in blocks of texts ordered by
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, label_rounds: int = 3) -> DataFrame:
     chosen = reps.select("doc_id", "mark", "n_shingles", "registers").join(labels, F.col("doc_id") == F.col("rep"))
     wanted = docs.join(chosen, ["doc_id", "mark"])
     ordered = wanted.repartitionByRange("label", "rep").sortWithinPartitions("label", "rep").select("rep", "n_shingles", "registers", "text")
-    packs, packs_at = stored(ordered.mapInArrow(blocks, BLOCKS), "blocks")
+    packs, packs_at = stored(ordered.mapInArrow(lambda batches: blocks(batches, block_rows), BLOCKS), "blocks")
     home = packs.select("block", F.posexplode("reps").alias("seat", "rep"))
     seats = members.select("band", "rep").join(home, "rep").select("band", "block").distinct()
     # every block with itself, with the first block of each of its bands and with one drawn by hash: a number linear in the seats

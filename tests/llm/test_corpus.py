@@ -77,11 +77,10 @@ def test_hot_group_meets_in_linear_number(spark, monkeypatch, strangers):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i, k in enumerate(rng.integers(0, 200, 1500).tolist())]
-    for i in range(strangers):  # pairs of their own that share two thirds of the group's words, and so some of its bands
-        own = base[:140] + [f"s{i // 2}y{k}" for k in range(60)]
+    for i in range(strangers):  # pairs of their own, far apart in order, that share over half of the group's words, and so some of its bands
+        own = base[:140] + [f"s{i % 20}y{k}" for k in range(60)]
         rows.append((5000 + i, " ".join(own[:-1] + [f"z{i}"])))
     seen = []
-    monkeypatch.setattr(neardup, "BLOCK_ROWS", 16)
     monkeypatch.setattr(neardup, "ROOM", 8)
     real = neardup.stored
 
@@ -92,11 +91,13 @@ def test_hot_group_meets_in_linear_number(spark, monkeypatch, strangers):
         return made
 
     monkeypatch.setattr(neardup, "stored", noted)
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=4).collect()}
     assert {got[i] for i in range(1500)} == {0}
-    assert all(got[5000 + i] == 5000 + i - i % 2 for i in range(strangers))
+    assert all(got[5000 + i] == 5000 + i % 20 for i in range(strangers))
     blocks, first, rest = (n for _, n in seen)
-    assert first <= 10 * blocks and rest <= 10 * blocks
+    print("meetings", blocks, first, rest)
+    assert blocks >= 375 and first <= 70 * blocks  # all pairs: over 180 a block
+    assert 0 < rest < blocks * blocks / 8 if strangers else rest == 0
 
 
 def test_sketch_estimates_jaccard():
