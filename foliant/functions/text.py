@@ -34,7 +34,7 @@ def normalize_text(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Lower case, punctuation to spaces, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\W+", " "))  # no white space is in \w
 
 
 def char_shingles(text: Column, k: int = 5) -> Column:

@@ -4,7 +4,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from foliant.functions import formulas, signatures
+from foliant.functions import formulas, signatures, text
 from foliant.operators import records
 from foliant.sources import pdf, pdf_writer
 
@@ -133,6 +133,41 @@ def test_all_pairs_of_signatures(spark):
         assert got == {(i, j) for i, x in rows for j, y in rows if i < j and alike(x, y) >= t}
 
 
+def test_all_pairs_sends_few_signatures_and_meets_strangers_once(spark, monkeypatch):
+    """Of classes with common bands only those that may agree enough are judged; a hot bucket is dealt into parts, its links into blocks."""
+    import random
+
+    rnd = random.Random(2)
+    fresh = lambda: rnd.randrange(1 << 62)
+    common, copied = [fresh() for _ in range(128)], [fresh() for _ in range(128)]
+    strangers = [[c if i < 40 else fresh() for i, c in enumerate(common)] for _ in range(60)]  # ten common bands, 40 places
+    copies = [[c if rnd.random() > 0.12 else fresh() for c in copied] for _ in range(60)]
+    rows = [(f"k{i:03}", s) for i, s in enumerate([*strangers, *copies, copies[0], None])]
+    df = spark.createDataFrame(rows, "id string, signature array<long>")
+    monkeypatch.setattr(signatures, "BUCKET", 16)
+    monkeypatch.setattr(signatures, "BLOCK", 8)
+    least = df.where("signature is not null").groupBy("signature").agg(F.min("id").alias("class"))
+    met = [tuple(r) for r in signatures._meetings(least, 128, 32).collect()]
+    assert len(met) == len(set(met)) < 60 * 59 / 2 + 100 and all(a >= "k060" for a, _ in met)
+    got = {(r.a, r.b): r.similarity for r in signatures.all_pairs(df, 0.75)[0].collect()}
+    alike = {(i, j): sum(x == y for x, y in zip(a, b)) / 128 for i, a in rows[:120] for j, b in rows[:120] if i < j}
+    assert got == {k: v for k, v in alike.items() if v >= 0.75} and len(got) > 500
+
+
+def test_signatures_of_far_characters(spark):
+    """Pieces of characters that fit no packed key, alone and among others, and a long text; each has the minima of all pieces."""
+    import hashlib
+
+    whole = lambda b: int.from_bytes(hashlib.sha256(b.encode()).digest()[:8], "little")
+    texts = ["漢字" * 20, "abc 漢 defghijk lmnop qrstuv ß 𝒳 xyz", "w" * 30, " ".join(str(i * i) for i in range(3000)), " \n " + "a" * 19 + " \t", " \n " + "b" * 20 + " "]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(texts)), "id int, t string").orderBy("id").select(signatures.signature(F.col("t"), 128).alias("s"), text.normalize(F.col("t")).alias("n"), "id").collect()]
+    normal = [r.n for r in spark.createDataFrame(list(enumerate(texts)), "id int, t string").orderBy("id").select(text.normalize(F.col("t")).alias("n")).collect()]
+    seeds = [whole(f"minhash-seed-{i}") for i in range(128)]
+    for i, (s, n) in enumerate(zip(got, normal)):
+        pieces = {whole(n[j : j + 5]) for j in range(len(n) - 4)}
+        assert (s is None) if i == 4 else [x % 2**64 for x in s] == [min(p ^ seed for p in pieces) for seed in seeds]
+
+
 def test_masks_of_nulls_and_synonyms(spark):
     from foliant.operators import fulltext
 
