@@ -36,6 +36,14 @@ def quantiles(df: DataFrame, value: str, qs: list[float], group: list[str] | Non
     return asked.where((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place)).select(*group, "q", value)
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of a column of doubles that is the same in any order of rows: their decimals, 18 places, are added and rounded once.
+
+    Where one isn't finite or the decimals don't fit (1e20), the doubles are added."""
+    decimal = value.try_cast("decimal(38,18)")
+    return F.when(F.count(decimal) == F.count(value), F.coalesce(F.try_sum(decimal).cast("double"), F.sum(value))).otherwise(F.sum(value))
+
+
 def dashboard(meta: DataFrame) -> DataFrame:
     """One row of totals, in one pass: averages rounded down, weighted OCR share, alert counts."""
     pages = F.coalesce("num_pages", F.lit(0))

@@ -139,6 +139,18 @@ def test_quantiles_of_skewed_groups(spark):
     assert got == {(g, q): v[min(int(len(v) * q), len(v) - 1)] for g, v in by.items() for q in (0.0, 0.5, 1.0)}
 
 
+def test_metrics_sums_are_exact_in_any_order(spark, tmp_path):
+    from foliant.plans.extra import e20
+
+    small, far = [0.000004] * 1000, 90000000000.0  # each is lost beside the large one
+    rows = [("a", v) for v in [far, *small]] + [("b", v) for v in [*small, None, far]] + [("c", 1e300), ("c", 1e300), ("d", float("inf")), ("e", 9e19), ("e", 9e19), ("f", None)]
+    spark.createDataFrame(rows, "event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = {r.line for r in e20(spark, str(tmp_path)).collect()}
+    assert {"a_sum 90000000000.004000", "b_sum 90000000000.004000", "e_sum 180000000000000000000.000000", "a_count 1001", "d_sum Infinity"} <= lines
+    assert not any(x.startswith("f_") for x in lines) and len(f"{2e300:.0f}") == max(len(x.split(" ")[1].split(".")[0]) for x in lines if x.startswith("c_sum"))
+
+
 def test_signature_bands_find_nearly_all_pairs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), signatures.signature(F.col("text")).alias("signature"))
     pairs = lambda found: {(r.a, r.b) for r in found[0].collect()}
